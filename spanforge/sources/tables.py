@@ -254,9 +254,11 @@ def build_order_tree(spark: SparkSession, sf_dir: str, size: int = CHUNK) -> Dat
     heap = F.coalesce("heap_bytes", F.lit(0)).cast("long")
     skip = {"done", "live", "n", "heap_bytes", "self_ns", "heap_net_self", "heap_gross_self"}
     skip |= {"nk", "ck", "ok", "ln", "lp", "ls"}
+    order_key = F.when(F.col("ok") >= 0, F.col("ok"))
     shaped = cut(
         up.select(
             *[c for c in numbered.columns if c not in skip],
+            order_key.alias("o_key"),
             (F.col("event_index") + F.coalesce("n", F.lit(0))).alias("last_index"),
             F.slice(F.array("__p0", "__p1", "__p2"), F.lit(1), F.col("depth")).alias("path"),
             (F.col("done") - F.col("self_ns")).alias("ts_ns"),
