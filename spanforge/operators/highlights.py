@@ -276,6 +276,7 @@ def concentration(
         .groupBy("log_id")
         .agg(
             F.max(F.col("n_before") + need).cast("long").alias("signatures"),
+            F.max(F.col("before") + need * F.col("v")).cast("long").alias("held"),
             F.first("rows").alias("total"),
         )
     )

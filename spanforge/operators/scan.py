@@ -21,8 +21,8 @@ Spec = tuple[str, Column]
 
 
 def slice_of(index: str = "event_index", size: int = CHUNK) -> Column:
-    """Slice number of a dense index."""
-    return F.floor(F.col(index) / F.lit(size)).cast("long")
+    """Slice number of a dense index (integer division, so exact at any size)."""
+    return F.expr(f"`{index}` div {size}")
 
 
 def _local(fn: str, expr: Column, window) -> Column:
@@ -111,7 +111,7 @@ def following(
         flipped,
         keys,
         ["__back"],
-        [F.floor(F.col("__back") / F.lit(size)).cast("long")],
+        [slice_of("__back", size)],
         specs,
         inclusive=False,
     )
@@ -121,8 +121,5 @@ def following(
 def covered_slices(first: str, last: str, size: int = CHUNK) -> Column:
     """The slices an index interval touches; nearly always one or two."""
     return F.explode(
-        F.sequence(
-            F.floor(F.col(first) / F.lit(size)).cast("long"),
-            F.floor(F.col(last) / F.lit(size)).cast("long"),
-        )
+        F.sequence(slice_of(first, size), slice_of(last, size))
     )

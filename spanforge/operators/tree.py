@@ -62,7 +62,7 @@ def with_chain(
         F.col("event_index").alias("index"),
         *[c.alias(n) for n, c in fields.items()],
     )
-    below = F.concat("chain", F.array(link).cast(deep.schema["chain"].dataType))
+    below = F.concat("chain", F.array(link))
     out = lookup(spans, "parent_index", deep, {"chain": below}, size)
     return out.withColumn("chain", F.coalesce("chain", F.array().cast(deep.schema["chain"].dataType)))
 
@@ -120,7 +120,7 @@ def call_stack(spans: DataFrame, cond: Column) -> DataFrame:
         F.col("type").alias("a_type"),
         F.col("text").alias("a_text"),
     )
-    full = F.concat("chain", F.array(own).cast(rows.schema["chain"].dataType))
+    full = F.concat("chain", F.array(own))
     return rows.select(*KEY, F.explode(full).alias("f")).select(
         *KEY,
         F.col("f.at").alias("position"),

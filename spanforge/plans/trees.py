@@ -433,12 +433,12 @@ SELECT log_id, count(*) FILTER (WHERE before < 0.8 * whole) AS signatures, total
 
 @query("g26_concentration", TREE + _TALLY.format(src="tree") + _CONC)
 def _(spark, sf):
-    return highlights.concentration(highlights.tallies(order_tree(spark, sf)))
+    return highlights.concentration(highlights.tallies(order_tree(spark, sf))).drop("held")
 
 
 @query("g26_concentration_traces", TRACE + _TALLY.format(src="trace") + _CONC)
 def _(spark, sf):
-    return highlights.concentration(highlights.tallies(user_traces(spark, sf)))
+    return highlights.concentration(highlights.tallies(user_traces(spark, sf))).drop("held")
 
 
 @query(
