@@ -123,3 +123,21 @@ def covered_slices(first: str, last: str, size: int = CHUNK) -> Column:
     return F.explode(
         F.sequence(slice_of(first, size), slice_of(last, size))
     )
+
+
+def whole(
+    df: DataFrame, keys: Sequence[str], chunk: Column, specs: Mapping[str, Spec]
+) -> DataFrame:
+    """Add group-wide "sum" | "max" | "min" values without bringing a group into one task.
+
+    The group value is joined per slice, so the join has no key with more rows than a slice.
+    """
+    base = df.withColumn("__slice", chunk)
+    totals = base.groupBy(*keys, "__slice").agg(
+        *[_slice_total(fn, expr, []).alias(f"__t_{n}") for n, (fn, expr) in specs.items()]
+    )
+    over = W.partitionBy(*keys)
+    values = totals.select(
+        *keys, "__slice", *[_local(fn, F.col(f"__t_{n}"), over).alias(n) for n, (fn, _) in specs.items()]
+    )
+    return base.join(values, [*keys, "__slice"], "left").drop("__slice")
