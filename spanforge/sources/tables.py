@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.operators.rollup import rollup
+from spanforge.operators.rollup import rollup, subtree_sums
 from spanforge.operators.scan import running, slice_of
 from spanforge.schema import CHUNK, METRICS
 from spanforge.session import cut
@@ -294,3 +294,93 @@ def order_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "user_traces", build_user_traces)
+
+
+def order_logs(spark: SparkSession, sf_dir: str, size: int = CHUNK) -> DataFrame:
+    """The order tree written out as trace-log lines, one log per region.
+
+    Line numbers follow from the tree: a line's place is the entries up to it plus the exits
+    before it, and those are the frames opened so far minus the ones still open.
+    """
+    spans = order_tree(spark, sf_dir)
+    frame = F.col("is_parent").cast("long")
+    counted = subtree_sums(spans, {"frames": frame}, size)
+    opened = running(
+        counted, ["log_id"], ["event_index"], [slice_of("event_index", size)], {"opened": ("sum", frame)}, inclusive=False
+    )
+    header = 2
+    start = F.col("event_index") + F.col("opened") - F.col("depth") + header
+    end = F.col("last_index") + F.col("opened") + F.col("frames") - F.col("depth") + header
+    stamp = lambda c: F.concat(F.lit("10:00:00.0 ("), F.col(c).cast("string"), F.lit(")|"))
+    t = F.col("type")
+    at = F.concat(F.lit("["), F.coalesce("line_number", F.lit(0)).cast("string"), F.lit("]"))
+
+    def body(*cases, otherwise):
+        expr = None
+        for name, pieces in cases:
+            value = F.concat_ws("|", *[p if not isinstance(p, str) else F.lit(p) for p in pieces])
+            expr = F.when(t == name, value) if expr is None else expr.when(t == name, value)
+        return expr.otherwise(F.concat_ws("|", *[p if not isinstance(p, str) else F.lit(p) for p in otherwise]))
+
+    rows = lambda c: F.concat(F.lit("Rows:"), F.col(c).cast("string"))
+    first = body(
+        ("CODE_UNIT_STARTED", ["CODE_UNIT_STARTED", "[EXTERNAL]", "01p", F.col("text")]),
+        ("SOQL_EXECUTE_BEGIN", ["SOQL_EXECUTE_BEGIN", at, "Aggregations:0", F.col("text")]),
+        ("DML_BEGIN", ["DML_BEGIN", at, "Op:Update", F.concat(F.lit("Type:"), "sobject_type"), rows("dml_rows_self")]),
+        ("SOSL_EXECUTE_BEGIN", ["SOSL_EXECUTE_BEGIN", at, F.substring("text", 7, 10_000)]),
+        ("HEAP_ALLOCATE", ["HEAP_ALLOCATE", at, F.col("text")]),
+        otherwise=["METHOD_ENTRY", at, "01p", F.col("text")],
+    )
+    last = body(
+        ("CODE_UNIT_STARTED", ["CODE_UNIT_FINISHED", F.col("text")]),
+        ("SOQL_EXECUTE_BEGIN", ["SOQL_EXECUTE_END", at, rows("soql_rows_self")]),
+        ("DML_BEGIN", ["DML_END", at]),
+        ("SOSL_EXECUTE_BEGIN", ["SOSL_EXECUTE_END", at, rows("sosl_rows_self")]),
+        otherwise=["METHOD_EXIT", at, "01p", F.col("text")],
+    )
+    pair = F.when(
+        F.col("is_parent"),
+        F.array(
+            F.struct(start.alias("line_no"), F.concat(stamp("ts_ns"), first).alias("line")),
+            F.struct(end.alias("line_no"), F.concat(stamp("exit_ns"), last).alias("line")),
+        ),
+    ).otherwise(F.array(F.struct(start.alias("line_no"), F.concat(stamp("ts_ns"), first).alias("line"))))
+    lines = opened.select("log_id", F.explode(pair).alias("l")).select("log_id", "l.line_no", "l.line")
+    region = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("log_id"), "r_name")
+    top = region.select(
+        "log_id",
+        F.explode(
+            F.array(
+                F.struct(F.lit(1).cast("long").alias("line_no"), F.lit("64.0 APEX_CODE,FINE;APEX_PROFILING,NONE;DB,INFO").alias("line")),
+                F.struct(
+                    F.lit(2).cast("long").alias("line_no"),
+                    F.concat(F.lit("10:00:00.0 (0)|USER_INFO|[EXTERNAL]|005|"), F.lower("r_name"), F.lit("@example.com|(GMT+00:00) GMT|GMT")).alias("line"),
+                ),
+            )
+        ).alias("l"),
+    ).select("log_id", "l.*")
+    return lines.unionByName(top)
+
+
+def user_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user traces as logs without exits: heap and limit lines, exceptions, open methods,
+    skip markers and unsupported types."""
+    e = user_traces(spark, sf_dir)
+    ts = F.col("ts_ns").cast("string")
+    second = (F.col("ts_ns") / F.lit(1_000_000_000)).cast("long") % 86400
+    clock = F.format_string(
+        "%02d:%02d:%02d.%d", (second / 3600).cast("int"), (second % 3600 / 60).cast("int"), (second % 60).cast("int"), F.lit(5)
+    )
+    head = F.concat(clock, F.lit(" ("), ts, F.lit(")|"))
+    cents = F.col("cents").cast("string")
+    mod = lambda n: (F.col("cents") % n).cast("string")
+    kind = F.col("type")
+    line = (
+        F.when(kind == "click", F.concat(head, F.lit("HEAP_ALLOCATE|[1]|Bytes:"), cents))
+        .when((kind == "view") & (F.col("cents") % 2 == 0), F.concat(F.lit("*** Skipped "), cents, F.lit(" bytes of detailed log")))
+        .when(kind == "view", F.concat(head, F.lit("NOT_KNOWN_"), F.when(F.col("cents") % 3 == 0, "A").otherwise("B"), F.lit("|x")))
+        .when(kind == "purchase", F.concat(head, F.lit("LIMIT_USAGE|[1]|SOQL|"), mod(100), F.lit("|100")))
+        .when(kind == "error", F.concat(head, F.lit("EXCEPTION_THROWN|["), mod(7), F.lit("]|System.LimitException: Too many SOQL queries: "), mod(3)))
+        .otherwise(F.concat(head, F.lit("METHOD_ENTRY|["), mod(5), F.lit("]|01p|Foo.bar()")))
+    )
+    return e.select("log_id", F.col("event_index").alias("line_no"), line.alias("line"))
