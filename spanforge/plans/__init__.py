@@ -1,6 +1,6 @@
 """Registered queries; importing the package fills the registry."""
 
-from spanforge.plans import database, logs, rollups, trees  # noqa: F401
+from spanforge.plans import database, limits, logs, rollups, trees  # noqa: F401
 from spanforge.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
