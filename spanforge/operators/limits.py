@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,29 +111,25 @@ def reported_caps(observations: DataFrame) -> DataFrame:
 # ---- gathering of small deltas -----------------------------------------------------------------
 
 
-def _gather(pending: int, values: list[int], cuts: list[bool], limit: int) -> tuple[list[bool], list[int]]:
-    """Run the automaton from `pending`: per row, whether it releases the sum and what is pending
-    after it. A row with `cuts` is a report: it releases the sum before it."""
-    released, left = [], []
+def _pending(values: list[int], cuts: list[bool], limit: int) -> int:
+    """Pending sum at the end, from 0. A row with `cuts` is a report: it releases what is pending."""
+    pending = 0
     for value, report in zip(values, cuts, strict=True):
         pending = 0 if report else pending + value
-        full = abs(pending) >= limit
-        released.append(full)
-        if full:
+        if abs(pending) >= limit:
             pending = 0
-        left.append(pending)
-    return released, left
+    return pending
 
 
 def _transfer(values: list[int], cuts: list[bool], limit: int) -> list[tuple[int, int, bool]]:
     """The end state as a function of the start state, as runs (first start, end, moves): within a
     run the end is constant, or moves along with the start. Starts that meet stay together, so the
     number of runs falls quickly."""
+    if limit == 1 or any(cuts):
+        return [(1 - limit, _pending(values, cuts, limit), False)]
     runs = [(1 - limit, 1 - limit, True)]  # (first start, state of it, moves with the start)
     top = limit - 1
-    for value, report in zip(values, cuts, strict=True):
-        if report:
-            return [(1 - limit, _gather(0, values, cuts, limit)[1][-1], False)]
+    for value in values:
         out: list[tuple[int, int, bool]] = []
         for i, (first, state, moves) in enumerate(runs):
             last = runs[i + 1][0] - 1 if i + 1 < len(runs) else top
@@ -168,94 +164,181 @@ def _apply(runs: list[tuple[int, int, bool]], start: int) -> int:
     return found[1] + (start - found[0]) if found[2] else found[1]
 
 
-def _slices(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Regroup sorted batches so that each yielded frame is one whole slice."""
-    held: list[pd.DataFrame] = []
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        change = (pdf[keys] != pdf[keys].shift()).any(axis=1)
-        bounds = [i for i, c in enumerate(change) if c] + [len(pdf)]
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            part = pdf.iloc[a:b]
-            if held and tuple(held[0][keys].iloc[0]) != tuple(part[keys].iloc[0]):
-                yield pd.concat(held)
-                held = []
-            held.append(part)
-    if held:
-        yield pd.concat(held)
+def _compose(f: tuple[float, float, int], value: int, kind: str, cap: float) -> tuple[float, float, int]:
+    """Append one observation to x -> max(low, min(high, x + add))."""
+    low, high, add = f
+    if kind == "delta":
+        return low + value, high + value, add + value
+    if kind == "cumulative":
+        return value, value, 0
+    # max(value, min(x, cap))
+    return max(min(low, cap), value), max(min(high, cap), value), add
 
 
-def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in _slices(batches, [*NS, "slice"]):
-        limit = int(pdf["threshold"].iloc[0])
-        runs = _transfer(pdf["value"].tolist(), (pdf["kind"] != "delta").tolist(), limit)
-        head = pdf.iloc[:1][[*NS, "slice"]]
-        yield head.assign(
-            first=[[r[0] for r in runs]], state=[[r[1] for r in runs]], moves=[[r[2] for r in runs]]
-        )
+def _tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)], strict=True)
 
 
-def _starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Chain the slice functions of a series; the state is one number."""
-    key, pending = None, 0
-    for pdf in batches:
-        out = []
-        for row in pdf.itertuples(index=False):
-            if (row.log_id, row.namespace, row.metric) != key:
-                key, pending = (row.log_id, row.namespace, row.metric), 0
-            out.append(pending)
-            pending = _apply(list(zip(row.first, row.state, row.moves, strict=True)), pending)
-        yield pdf[[*NS, "slice"]].assign(pending=out)
-
-
-def _released(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in _slices(batches, [*NS, "slice"]):
-        limit, start = int(pdf["threshold"].iloc[0]), pdf["pending"].iloc[0]
-        start = 0 if pd.isna(start) else int(start)
-        released, left = _gather(start, pdf["value"].tolist(), (pdf["kind"] != "delta").tolist(), limit)
-        yield pdf[[*NS, "event_index", "ts_ns", "rank", "kind", "value", "slice"]].assign(
-            released=released, pending=left
-        )
+def _batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= size:
+            yield _batch(held, schema)
+            held = []
+    if held:
+        yield _batch(held, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    arrays = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+_SLICE_KEY = [("log_id", pa.string()), ("namespace", pa.string()), ("metric", pa.string()), ("slice", pa.int64())]
+_SUMMARY = pa.schema(
+    [
+        *_SLICE_KEY,
+        ("first", pa.list_(pa.int64())),
+        ("state", pa.list_(pa.int64())),
+        ("moves", pa.list_(pa.bool_())),
+        ("low", pa.float64()),
+        ("high", pa.float64()),
+        ("add", pa.int64()),
+        ("tracked", pa.int64()),
+        ("deltas", pa.bool_()),
+    ]
+)
+_START = pa.schema(
+    [*_SLICE_KEY, ("pending", pa.int64()), ("base", pa.int64()), ("tracked", pa.int64()), ("deltas", pa.bool_())]
+)
+_VALUE = pa.schema(
+    [
+        *_SLICE_KEY,
+        ("ts_ns", pa.int64()),
+        ("rank", pa.int32()),
+        ("event_index", pa.int64()),
+        ("kind", pa.string()),
+        ("value", pa.int64()),
+        ("released", pa.bool_()),
+        ("pending", pa.int64()),
+        ("used", pa.int64()),
+        ("tracked", pa.int64()),
+        ("saw_delta", pa.bool_()),
+    ]
+)
+_KEY_DDL = "log_id string, namespace string, metric string, slice long"
+_INF = float("inf")
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per slice: what it does to the pending sum and to the running value."""
+
+    def close(key, values, reports, fold, threshold):
+        runs = _transfer(values, reports, threshold)
+        deltas = [v for v, r in zip(values, reports, strict=True) if not r]
+        return (*key, [r[0] for r in runs], [r[1] for r in runs], [r[2] for r in runs], *fold, sum(deltas), bool(deltas))
+
+    def rows():
+        key, values, reports, fold, threshold = None, [], [], (-_INF, _INF, 0), 1
+        for *head, _ts, _rank, _index, kind, value, limit, cap in _tuples(batches):
+            if tuple(head) != key:
+                if key is not None:
+                    yield close(key, values, reports, fold, threshold)
+                key, values, reports, fold = tuple(head), [], [], (-_INF, _INF, 0)
+            threshold = limit
+            values.append(value)
+            reports.append(kind != "delta")
+            fold = _compose(fold, value, kind, _INF if cap is None else cap)
+        if key is not None:
+            yield close(key, values, reports, fold, threshold)
+
+    yield from _batched(rows(), _SUMMARY)
+
+
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chain the slice functions of each series; the state is four numbers."""
+
+    def rows():
+        key, pending, base, tracked, seen = None, 0, 0, 0, False
+        for log_id, ns, metric, number, first, state, moves, low, high, add, more, deltas in _tuples(batches):
+            if (log_id, ns, metric) != key:
+                key, pending, base, tracked, seen = (log_id, ns, metric), 0, 0, 0, False
+            yield (*key, number, pending, base, tracked, seen)
+            pending = _apply(list(zip(first, state, moves, strict=True)), pending)
+            base = int(max(low, min(high, base + add)))
+            tracked, seen = tracked + more, seen or deltas
+
+    yield from _batched(rows(), _START)
+
+
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Work each slice from its known start."""
+
+    def rows():
+        key, x, tracked, seen, pending = None, 0, 0, False, 0
+        for *head, ts, rank, index, kind, value, limit, cap, p0, b0, t0, d0 in _tuples(batches):
+            if tuple(head) != key:
+                key, pending, x, tracked, seen = tuple(head), p0, b0, t0, d0
+            top = _INF if cap is None else cap
+            released = False
+            if kind == "delta":
+                x, tracked, seen, pending = x + value, tracked + value, True, pending + value
+                released = abs(pending) >= limit
+            elif kind == "cumulative":
+                x = value
+            else:
+                x = max(value, min(x, top))
+            if released or kind != "delta":
+                pending = 0
+            yield (*key, ts, rank, index, kind, value, released, pending, min(x, top), tracked, seen)
 
+    yield from _batched(rows(), _VALUE)
 
-def _sorted(df: DataFrame, *keys: str) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys, *[c for c in ["slice", *ORDER] if c in df.columns and c not in keys])
 
+def _sorted(df: DataFrame, *keys: str) -> DataFrame:
+    more = [c for c in ["slice", *ORDER] if c in df.columns and c not in keys]
+    return df.repartition(*keys).sortWithinPartitions(*keys, *more)
 
-def coalesce_deltas(observations: DataFrame, slice_ns: int = SECOND) -> DataFrame:
-    """Gather deltas per namespace and metric until they reach 1/500 of the limit (at least 1).
 
-    Expects a `limit` column. Adds `shown`: whether the row is a point of the series. The values
-    themselves stay as they came, since sums are the same wherever they are cut. A pending sum
-    is released before a report, dated at its last delta, and at the end of the series.
-    """
+def _worked(observations: DataFrame, caps: DataFrame, slice_ns: int) -> DataFrame:
+    """Every observation with the state after it: released, pending, used, tracked, saw_delta."""
     threshold = F.greatest(F.lit(1), F.floor(F.col("limit") / POINTS)).cast("long")
-    rows = observations.withColumns(
-        {"threshold": threshold, "slice": F.expr(f"ts_ns div {slice_ns}")}
-    )
-    # With threshold 1 every delta is a point: no order needed, no Python.
-    direct = rows.filter(F.col("threshold") == 1)
-    gathered = rows.filter(F.col("threshold") > 1)
-    by_slice = _sorted(
-        gathered.select(*NS, "slice", *ORDER, "kind", "value", "threshold"), *NS, "slice"
+    rows = cut(
+        observations.withColumns({"threshold": threshold, "slice": F.expr(f"ts_ns div {slice_ns}")})
+        .join(caps, NS, "left")
+        .select(*NS, "slice", *ORDER, "kind", "value", "threshold", "cap")
     )
-    key_ddl = "log_id string, namespace string, metric string, slice long"
-    functions = by_slice.mapInPandas(
-        _summaries, f"{key_ddl}, first array<long>, state array<long>, moves array<boolean>"
+    functions = _sorted(rows, *NS, "slice").mapInArrow(
+        _summaries,
+        f"{_KEY_DDL}, first array<long>, state array<long>, moves array<boolean>, low double, high double, "
+        "add long, tracked long, deltas boolean",
     )
-    starts = _sorted(functions, *NS).mapInPandas(_starts, f"{key_ddl}, pending long")
-    joined = gathered.select(*NS, "slice", *ORDER, "kind", "value", "threshold").join(
-        starts, [*NS, "slice"], "left"
+    starts = _sorted(functions, *NS).mapInArrow(
+        _starts, f"{_KEY_DDL}, pending long, base long, tracked long, deltas boolean"
     )
-    released = _sorted(joined, *NS, "slice").mapInPandas(
-        _released,
-        "log_id string, namespace string, metric string, event_index long, ts_ns long, rank int, "
-        "kind string, value long, slice long, released boolean, pending long",
+    joined = rows.join(starts, [*NS, "slice"])
+    return _sorted(joined, *NS, "slice").mapInArrow(
+        _values,
+        f"{_KEY_DDL}, ts_ns long, rank int, event_index long, kind string, value long, released boolean, "
+        "pending long, used long, tracked long, saw_delta boolean",
     )
-    ends = cut(released)
+
+
+def worked_series(observations: DataFrame, slice_ns: int = SECOND) -> DataFrame:
+    """Observations (with a `limit` column) gathered and folded, one row each.
+
+    Deltas of a namespace and metric are gathered until they reach 1/500 of the limit (at least
+    1); `shown` tells whether the row is a point of the series. A pending sum is released before a
+    report, dated at its last delta, and at the end of the series. `used` is the value shown after
+    the row and `tracked` the sum of deltas so far; sums are the same wherever they are cut.
+    """
+    worked = cut(_worked(observations, reported_caps(observations), slice_ns))
     flagged = running(
-        ends.withColumns({"b_ts": -F.col("ts_ns"), "b_rank": -F.col("rank"), "b_idx": -F.col("event_index"), "b_slice": -F.col("slice")}),
+        worked.withColumns(
+            {"b_ts": -F.col("ts_ns"), "b_rank": -F.col("rank"), "b_idx": -F.col("event_index"), "b_slice": -F.col("slice")}
+        ),
         NS,
         ["b_ts", "b_rank", "b_idx"],
         [F.col("b_slice")],
@@ -265,96 +348,17 @@ def coalesce_deltas(observations: DataFrame, slice_ns: int = SECOND) -> DataFram
     # Before a report and at the end of the series, what is pending shows.
     flushed = F.coalesce(F.col("next_kind") != "delta", F.lit(True)) & (F.col("pending") != 0)
     shown = (F.col("kind") != "delta") | F.col("released") | flushed
-    slow = flagged.select(*NS, *ORDER, "kind", "value", "slice", shown.alias("shown"))
-    fast = direct.select(*NS, *ORDER, "kind", "value", "slice", F.lit(True).alias("shown"))
-    return slow.unionByName(fast)
-
-
-# ---- the value shown ---------------------------------------------------------------------------
-
-
-def _compose(f: tuple[float, float, int], value: int, kind: str, cap: float) -> tuple[float, float, int]:
-    """Append one observation to x -> max(low, min(high, x + add))."""
-    low, high, add = f
-    inf = float("inf")
-    if kind == "delta":
-        return low + value, high + value, add + value
-    if kind == "cumulative":
-        return value, value, 0
-    # max(value, min(x, cap))
-    high = min(high, cap) if cap != inf else high
-    low = min(low, cap) if cap != inf else low
-    return max(low, value), max(high, value), add
-
-
-def fold_limits(observations: DataFrame, caps: DataFrame) -> DataFrame:
-    """Value shown after each observation, and the sum of tracked deltas so far.
-
-    Every observation acts on the running value as x -> max(low, min(high, x + add)); such
-    functions chain, so slices are summed up, chained, and replayed from their start value.
-    """
-    rows = observations.join(caps, NS, "left")
-    by_slice = _sorted(rows.select(*NS, "slice", *ORDER, "kind", "value", "cap", "shown"), *NS, "slice")
-    key_ddl = "log_id string, namespace string, metric string, slice long"
-    functions = by_slice.mapInPandas(_fold_summaries, f"{key_ddl}, low double, high double, add long, tracked long, deltas boolean")
-    starts = _sorted(functions, *NS).mapInPandas(_fold_starts, f"{key_ddl}, base long, tracked long, deltas boolean")
-    joined = rows.select(*NS, "slice", *ORDER, "kind", "value", "cap", "shown").join(starts, [*NS, "slice"])
-    return _sorted(joined, *NS, "slice").mapInPandas(
-        _fold_values,
-        "log_id string, namespace string, metric string, event_index long, ts_ns long, rank int, slice long, "
-        "shown boolean, used long, tracked long, saw_delta boolean",
+    return flagged.select(
+        *NS, *ORDER, "slice", "kind", "value", shown.alias("shown"), "used", "tracked", "saw_delta"
     )
 
 
-def _cap(pdf: pd.DataFrame) -> float:
-    cap = pdf["cap"].iloc[0]
-    return float("inf") if pd.isna(cap) else float(cap)
-
-
-def _fold_summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    inf = float("inf")
-    for pdf in _slices(batches, [*NS, "slice"]):
-        cap, f = _cap(pdf), (-inf, inf, 0)
-        for value, kind in zip(pdf["value"].tolist(), pdf["kind"].tolist(), strict=True):
-            f = _compose(f, value, kind, cap)
-        deltas = pdf["kind"] == "delta"
-        yield pdf.iloc[:1][[*NS, "slice"]].assign(
-            low=f[0], high=f[1], add=f[2], tracked=int(pdf["value"][deltas].sum()), deltas=bool(deltas.any())
-        )
+def coalesce_deltas(observations: DataFrame, slice_ns: int = SECOND) -> DataFrame:
+    return worked_series(observations, slice_ns).select(*NS, *ORDER, "kind", "value", "shown")
 
 
-def _fold_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    key, base, tracked, seen = None, 0, 0, False
-    for pdf in batches:
-        out = []
-        for row in pdf.itertuples(index=False):
-            if (row.log_id, row.namespace, row.metric) != key:
-                key, base, tracked, seen = (row.log_id, row.namespace, row.metric), 0, 0, False
-            out.append((base, tracked, seen))
-            base = int(max(row.low, min(row.high, base + row.add)))
-            tracked, seen = tracked + row.tracked, seen or row.deltas
-        a, b, c = zip(*out, strict=True) if out else ((), (), ())
-        yield pdf[[*NS, "slice"]].assign(base=list(a), tracked=list(b), deltas=list(c))
-
-
-def _fold_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in _slices(batches, [*NS, "slice"]):
-        cap = _cap(pdf)
-        x, tracked, seen = int(pdf["base"].iloc[0]), int(pdf["tracked"].iloc[0]), bool(pdf["deltas"].iloc[0])
-        used, sums, saw = [], [], []
-        for value, kind in zip(pdf["value"].tolist(), pdf["kind"].tolist(), strict=True):
-            if kind == "delta":
-                x, tracked, seen = x + value, tracked + value, True
-            elif kind == "cumulative":
-                x = value
-            else:
-                x = int(max(value, min(x, cap)))
-            used.append(int(min(x, cap)))
-            sums.append(tracked)
-            saw.append(seen)
-        yield pdf[[*NS, "event_index", "ts_ns", "rank", "slice", "shown"]].assign(
-            used=used, tracked=sums, saw_delta=saw
-        )
+def fold_limits(observations: DataFrame, slice_ns: int = SECOND) -> DataFrame:
+    return worked_series(observations, slice_ns).select(*NS, *ORDER, "used", "tracked", "saw_delta")
 
 
 def limit_series(
@@ -369,8 +373,7 @@ def limit_series(
     change, so the sums are running sums of changes and no namespace is repeated per point.
     """
     limited = with_limit(observations, limits, defaults).filter(F.col("limit") > 0)
-    gathered = coalesce_deltas(limited, slice_ns)
-    folded = cut(fold_limits(gathered, reported_caps(observations)).filter("shown"))
+    folded = cut(worked_series(limited, slice_ns).filter("shown"))
     before = running(
         folded, NS, ORDER, [F.col("slice")], {"prev": ("last", F.struct("used", "tracked", "saw_delta"))}, inclusive=False
     )

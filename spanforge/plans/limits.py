@@ -129,8 +129,7 @@ def _(spark, sf):
 
 @query("l5_fold_limits", OBSERVED + "SELECT log_id, namespace, event_index, used, tracked FROM shown")
 def _(spark, sf):
-    obs = observed(spark, sf)
-    folded = lim.fold_limits(lim.coalesce_deltas(lim.with_limit(obs, None), DAY), lim.reported_caps(obs))
+    folded = lim.fold_limits(lim.with_limit(observed(spark, sf), None), DAY)
     return folded.select("log_id", "namespace", "event_index", "used", "tracked")
 
 
