@@ -76,8 +76,7 @@ _CLAUSES = ["WHERE", "WITH", "GROUP BY", "HAVING", "ORDER BY", "LIMIT", "OFFSET"
 def _flat(query: Column) -> Column:
     """Outer level of a query: string literals reduced to their quotes and leading wildcard,
     white space collapsed, nested parentheses blanked."""
-    kept = F.regexp_replace(query, r"'%(?:[^'\\]|\\.)*'", "'%'")
-    kept = F.regexp_replace(kept, r"'(?!%')(?:[^'\\]|\\.)*'", "''")
+    kept = F.regexp_replace(query, r"'(%?)(?:[^'\\]|\\.)*'", "'$1'")
     return F.regexp_replace(kept, r"\s+", " ")
 
 
