@@ -16,17 +16,22 @@ FLOW_RUNNING = ["FLOW_ELEMENT_LIMIT_USAGE", "FLOW_BULK_ELEMENT_LIMIT_USAGE"]
 FLOW_LABELLED = ["FLOW_START_INTERVIEW_LIMIT_USAGE", "FLOW_INTERVIEW_FINISHED_LIMIT_USAGE"]
 
 
+def _dimension(df: DataFrame, *cols: str) -> DataFrame:
+    """The type table, or some of its columns; its size is fixed, so it is broadcast."""
+    dim = type_dimension(df.sparkSession)
+    return F.broadcast(dim.select("type", *cols) if cols else dim)
+
+
 def tag_lines(lines: DataFrame, size: int = CHUNK) -> DataFrame:
     """Each line with its role, and the index of the event it is or belongs to.
 
     Events number from 1 in line order; 0 is the log itself.
     """
-    dim = F.broadcast(type_dimension(lines.sparkSession).withColumn("known", F.lit(True)))
-    parts = F.split("line", r"\|")
-    typed = lines.select(
-        "log_id", "line_no", "line", parts.alias("parts"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("type")
-    ).join(dim, "type", "left")
-    known = F.coalesce("known", F.lit(False))
+    kind = F.coalesce(F.get(F.split("line", r"\|", 3), F.lit(1)), F.lit(""))
+    typed = lines.select("log_id", "line_no", "line", kind.alias("type")).join(
+        _dimension(lines, "accepts_text"), "type", "left"
+    )
+    known = F.col("accepts_text").isNotNull()
     counted = running(
         typed,
         ["log_id"],
@@ -34,7 +39,7 @@ def tag_lines(lines: DataFrame, size: int = CHUNK) -> DataFrame:
         [slice_of("line_no", size)],
         {
             "event_index": ("sum", known.cast("long")),
-            "host_text": ("last", F.when(known, F.col("accepts_text"))),
+            "host_text": ("last", F.col("accepts_text")),
         },
     )
     named = (F.col("type") != "") & F.col("type").rlike("^[A-Z_]*$")
@@ -48,7 +53,7 @@ def tag_lines(lines: DataFrame, size: int = CHUNK) -> DataFrame:
         .when(F.col("line").rlike(SETTINGS_LINE), "settings")
         .otherwise("invalid")
     )
-    return counted.withColumn("role", role).drop("known", "host_text")
+    return counted.select("log_id", "line_no", "line", "type", "event_index", "accepts_text", role.alias("role"))
 
 
 def parse_errors(tagged: DataFrame) -> DataFrame:
@@ -61,35 +66,30 @@ def parse_errors(tagged: DataFrame) -> DataFrame:
     invalid = tagged.filter(F.col("role") == "invalid").select(
         "log_id", F.concat(F.lit("Invalid log line: "), "line").alias("message"), "line_no"
     )
+    time_field = F.substring_index("line", "|", 1)
     bad_time = tagged.filter(
-        (F.col("role") == "event") & (F.get("parts", F.lit(0)) != "") & x.ts_ns(x.part(0)).isNull()
+        (F.col("role") == "event") & (time_field != "") & x.ts_ns(time_field).isNull()
     ).select(
-        "log_id",
-        F.concat(F.lit("Unable to parse timestamp: "), F.get("parts", F.lit(0))).alias("message"),
-        "line_no",
+        "log_id", F.concat(F.lit("Unable to parse timestamp: "), time_field).alias("message"), "line_no"
     )
     return unsupported.unionByName(invalid).unionByName(bad_time)
 
 
 def with_continuations(tagged: DataFrame) -> DataFrame:
-    """Event lines with `extra`, their continuation lines, and the truncation markers after them."""
+    """Event lines with `extra`, their continuation lines.
+
+    Only events of types that accept text can have any; the others are not joined.
+    """
+    events = tagged.filter(F.col("role") == "event").drop("role")
     extra = (
         tagged.filter(F.col("role") == "text")
         .groupBy("log_id", "event_index")
         .agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("e"))
         .select("log_id", "event_index", F.array_join("e.line", "\n").alias("extra"))
     )
-    marks = (
-        tagged.filter(F.col("role") == "max_size")
-        .groupBy("log_id", "event_index")
-        .agg(F.lit(True).alias("marker_after"))
-    )
-    return (
-        tagged.filter(F.col("role") == "event")
-        .drop("role")
-        .join(extra, ["log_id", "event_index"], "left")
-        .join(marks, ["log_id", "event_index"], "left")
-        .withColumn("marker_after", F.coalesce("marker_after", F.lit(False)))
+    hosts = events.filter("accepts_text").join(extra, ["log_id", "event_index"], "left")
+    return hosts.unionByName(
+        events.filter("NOT accepts_text").withColumn("extra", F.lit(None).cast("string"))
     )
 
 
@@ -105,7 +105,8 @@ def to_fields(hosted: DataFrame) -> DataFrame:
     """All fields that need only the event itself."""
     t = F.col("type")
     field = F.when(F.col("has_line"), x.part(2))
-    base = hosted.withColumns(
+    split = hosted.drop("accepts_text").withColumn("parts", F.split("line", r"\|"))
+    base = split.join(_dimension(hosted), "type").withColumns(
         {
             "ts_ns": F.coalesce(x.ts_ns(x.part(0)), F.lit(0).cast("long")),
             "line_number": F.when(F.col("has_line"), x.line_number(field)).otherwise(0),
@@ -200,7 +201,6 @@ def to_fields(hosted: DataFrame) -> DataFrame:
         "is_exit",
         "ends_at_next",
         "discontinuity",
-        "marker_after",
         (F.col("kind") == "span").alias("is_parent"),
         "line_number",
         "is_external",
@@ -234,16 +234,18 @@ def resolve_namespaces(fields: DataFrame, size: int = CHUNK) -> DataFrame:
     it, and no join key gathers more rows than a slice.
     """
     slice_ = slice_of("event_index", size)
-    wanted = fields.filter(F.col("candidate").isNotNull()).select("log_id", slice_.alias("__slice")).distinct()
+    asking = fields.filter(F.col("candidate").isNotNull()).withColumn("__slice", slice_)
     seen = known_namespaces(fields).select(
         "log_id", F.col("namespace").alias("candidate"), F.col("first_index").alias("__first")
     )
-    table = wanted.join(seen, "log_id")
-    looked = fields.withColumn("__slice", slice_).join(table, ["log_id", "__slice", "candidate"], "left")
+    table = asking.select("log_id", "__slice").distinct().join(seen, "log_id")
     hit = F.col("__first") < F.col("event_index")
-    return looked.withColumn("own_ns", F.when(hit, F.col("candidate")).otherwise(F.col("own_ns"))).drop(
-        "__slice", "__first", "candidate"
+    looked = (
+        asking.join(table, ["log_id", "__slice", "candidate"], "left")
+        .withColumn("own_ns", F.when(hit, F.col("candidate")).otherwise(F.col("own_ns")))
+        .drop("__slice", "__first", "candidate")
     )
+    return looked.unionByName(fields.filter(F.col("candidate").isNull()).drop("candidate"))
 
 
 def to_events(lines: DataFrame, size: int = CHUNK) -> DataFrame:

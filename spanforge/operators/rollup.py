@@ -8,34 +8,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.operators.scan import covered_slices, running, slice_of
-from spanforge.schema import CHUNK, METRICS
+from spanforge.schema import CHUNK, KEY, METRICS
 
 
-def subtree_sums(df: DataFrame, seeds: Mapping[str, Column], size: int = CHUNK) -> DataFrame:
-    """Add the sum of each seed over the row and everything below it.
+def frame_totals(df: DataFrame, seeds: Mapping[str, Column], size: int = CHUNK) -> DataFrame:
+    """Per frame, the sum of each seed over the frame and everything below it.
 
-    A subtree is the index interval [event_index, last_index], so its sum is a difference of two
-    prefix sums: one sort per slice and one equi-join, independent of depth.
+    A subtree is the index interval [event_index, last_index], so its sum is the running sum at
+    the end of the interval minus the one before its start. Each frame puts a mark behind its
+    last row; rows that are neither frames nor carry a seed stay out. One sort per slice,
+    whatever the depth.
     """
     names = list(seeds)
+    is_frame = F.col("last_index") > F.col("event_index")
+    valued = [F.coalesce(seeds[n], F.lit(0)).cast("long").alias(n) for n in names]
+    any_seed = is_frame
+    for n in names:
+        any_seed = any_seed | (F.coalesce(seeds[n], F.lit(0)) != 0)
+    opens = df.filter(any_seed).select(
+        "log_id",
+        F.col("event_index").alias("at"),
+        F.lit(0).alias("end"),
+        F.when(is_frame, F.col("event_index")).alias("frame"),
+        *valued,
+    )
+    ends = df.filter(is_frame).select(
+        "log_id",
+        F.col("last_index").alias("at"),
+        F.lit(1).alias("end"),
+        F.col("event_index").alias("frame"),
+        *[F.lit(0).cast("long").alias(n) for n in names],
+    )
     cum = running(
-        df,
+        opens.unionByName(ends),
         ["log_id"],
-        ["event_index"],
-        [slice_of("event_index", size)],
-        {f"__cum_{n}": ("sum", seed) for n, seed in seeds.items()},
+        ["at", "end"],
+        [slice_of("at", size)],
+        {f"__cum_{n}": ("sum", F.col(n)) for n in names},
     )
-    ends = cum.select(
-        "log_id",
-        F.col("event_index").alias("last_index"),
-        *[F.col(f"__cum_{n}").alias(f"__end_{n}") for n in names],
+    side = F.when(F.col("end") == 1, 1).otherwise(-1)
+    return (
+        cum.filter(F.col("frame").isNotNull())
+        .groupBy("log_id", F.col("frame").alias("event_index"))
+        .agg(*[F.sum(side * F.col(f"__cum_{n}") + F.col(n)).alias(n) for n in names])
     )
-    return cum.join(ends, ["log_id", "last_index"]).select(
+
+
+def subtree_sums(df: DataFrame, seeds: Mapping[str, Column], size: int = CHUNK) -> DataFrame:
+    """Add the sum of each seed over the row and everything below it."""
+    totals = frame_totals(df, seeds, size)
+    named = totals.select(*KEY, *[F.col(n).alias(f"__t_{n}") for n in seeds])
+    return df.join(named, KEY, "left").select(
         *df.columns,
-        *[
-            (F.col(f"__end_{n}") - F.col(f"__cum_{n}") + F.coalesce(seeds[n], F.lit(0))).alias(n)
-            for n in names
-        ],
+        *[F.coalesce(f"__t_{n}", seed, F.lit(0)).cast("long").alias(n) for n, seed in seeds.items()],
     )
 
 
@@ -62,21 +87,27 @@ def rollup_max(df: DataFrame, seed: str, out: str) -> DataFrame:
     )
 
 
-def heap_seed(events: DataFrame, bytes_col: str = "heap_bytes", size: int = CHUNK) -> DataFrame:
-    """Net, gross and live-heap seeds of the allocation leaves, in log order."""
-    live = running(
-        events,
+def live_heap(leaves: DataFrame, bytes_col: str, size: int = CHUNK) -> DataFrame:
+    """Add `live`, the heap held after each allocation leaf, in log order, never below 0."""
+    summed = running(
+        leaves,
         ["log_id"],
         ["event_index"],
         [slice_of("event_index", size)],
-        {"__live": ("sum", F.coalesce(bytes_col, F.lit(0)))},
+        {"__live": ("sum", F.col(bytes_col))},
     )
-    seen = F.col(bytes_col).isNotNull()
-    return live.select(
-        *events.columns,
-        F.coalesce(bytes_col, F.lit(0)).alias("heap_net_self"),
-        F.greatest(F.coalesce(bytes_col, F.lit(0)), F.lit(0)).alias("heap_gross_self"),
-        F.when(seen, F.greatest(F.col("__live"), F.lit(0))).otherwise(0).alias("heap_seed"),
+    return summed.withColumn("live", F.greatest(F.col("__live"), F.lit(0))).drop("__live")
+
+
+def heap_peaks(df: DataFrame, bytes_col: str = "heap_net_self", size: int = CHUNK) -> DataFrame:
+    """Per row, the most live heap seen at it or below it; rows without heap are absent."""
+    leaves = df.filter(~F.col("is_parent") & (F.col(bytes_col) != 0)).select(*KEY, "path", bytes_col)
+    held = live_heap(leaves, bytes_col, size).filter(F.col("live") > 0)
+    every = F.explode(F.concat("path", F.array("event_index")))
+    return (
+        held.select("log_id", "live", every.alias("event_index"))
+        .groupBy(*KEY)
+        .agg(F.max("live").alias("heap_peak"))
     )
 
 
@@ -93,7 +124,7 @@ def with_durations(df: DataFrame) -> DataFrame:
         df.filter(F.col("dur_total") != 0), {"__child_time": F.col("dur_total")}
     )
     return (
-        df.join(child, ["log_id", "event_index"], "left")
+        df.join(child, KEY, "left")
         .withColumn("dur_self", F.col("dur_total") - F.coalesce("__child_time", F.lit(0)))
         .drop("__child_time")
     )
@@ -105,23 +136,20 @@ def rollup(
     extra: Mapping[str, Column] | None = None,
     size: int = CHUNK,
 ) -> DataFrame:
-    """Totals of every counter, heap self of frames and heap peaks from the leaf seeds.
+    """Totals of every counter, heap self of frames and heap peaks.
 
-    Expects `<metric>_self` seeds, `heap_seed`, `path` and `last_index`, from a table that is
-    cheap to read several times. Heap self of a frame is what its non-frame children allocated
-    directly; the other self counters stay on their row. `extra` adds further subtree sums.
+    Expects `<metric>_self` seeds, `path` and `last_index`, from a table that is cheap to read
+    several times. Heap self of a frame is what its non-frame children allocated directly; the
+    other self counters stay on their row. `extra` adds further subtree sums.
     """
     seeds = {f"{m}_total": F.col(f"{m}_self") for m in metrics} | dict(extra or {})
     summed = subtree_sums(df, seeds, size)
     heap = [m for m in metrics if m.startswith("heap_")]
     leaves = df.filter(~F.col("is_parent") & (F.col("heap_net_self") != 0))
     own = direct_child_sums(leaves, {f"__{m}": F.col(f"{m}_self") for m in heap})
-    joined = summed.join(own, ["log_id", "event_index"], "left").join(
-        max_below(df, "heap_seed", "__below"), ["log_id", "event_index"], "left"
-    )
-    replaced = {f"{m}_self" for m in heap} | {"heap_seed"}
+    joined = summed.join(own, KEY, "left").join(heap_peaks(df, size=size), KEY, "left")
     return joined.select(
-        *[c for c in summed.columns if c not in replaced],
+        *[c for c in summed.columns if c not in {f"{m}_self" for m in heap}],
         *[
             F.when(F.col("is_parent"), F.coalesce(f"__{m}", F.lit(0)))
             .otherwise(F.col(f"{m}_self"))
@@ -129,7 +157,7 @@ def rollup(
             .alias(f"{m}_self")
             for m in heap
         ],
-        F.greatest("heap_seed", F.coalesce("__below", F.lit(0))).alias("heap_peak"),
+        F.coalesce("heap_peak", F.lit(0)).alias("heap_peak"),
     )
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.operators import stack
-from spanforge.operators.rollup import direct_child_sums, heap_seed, rollup
+from spanforge.operators.rollup import direct_child_sums, rollup
 from spanforge.operators.scan import running, slice_of
 from spanforge.operators.tree import chain_of
-from spanforge.schema import CHUNK, KEY, METRICS
+from spanforge.schema import CHUNK, KEY
 from spanforge.session import cut
 
 PACKAGE = "ENTERING_MANAGED_PKG"
@@ -26,34 +26,42 @@ FLOW_COUNTERS = {
 }
 
 
-def pair(events: DataFrame, size: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Run the stack over all logs: placed events, closed frames, structure issues."""
-    narrow = events.select(
-        *KEY,
+def pair(
+    events: DataFrame, marks: DataFrame, size: int = CHUNK
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Run the stack over all logs: placed events, closed frames, structure issues.
+
+    `marks` are the size markers (log_id, event_index of the event before them).
+    """
+    slice_ = slice_of("event_index", size).alias("slice")
+    rows = events.select(
+        "log_id",
+        slice_,
+        "event_index",
+        F.lit(False).alias("mark"),
         "ts_ns",
         "type",
-        "ends",
+        (F.col("is_parent") & (F.size("ends") == 0)).alias("endless"),
         F.when(F.col("is_external"), -1).otherwise(F.col("line_number")).cast("int").alias("line"),
-        "is_exit",
-        F.col("ends_at_next").alias("next"),
-        F.col("is_parent").alias("parent"),
-        F.col("discontinuity").alias("unwinds"),
         F.coalesce("own_ns", F.lit("")).alias("ns"),
-        F.col("marker_after").alias("mark"),
+    ).unionByName(
+        marks.select("log_id", slice_, "event_index", F.lit(True).alias("mark")), allowMissingColumns=True
+    )
+    # Slices behind the one with a log's first marker: none in nearly every log.
+    first_mark = marks.groupBy("log_id").agg(F.min(slice_of("event_index", size)).alias("marked"))
+    late = (
+        events.select("log_id", slice_)
+        .distinct()
+        .join(first_mark, "log_id")
+        .filter(F.col("slice") > F.col("marked"))
+        .select("log_id", "slice", F.lit(True).alias("past"))
+    )
+    ordered = (
+        rows.repartition("log_id", "slice")
+        .join(late, ["log_id", "slice"], "left")
+        .sortWithinPartitions("log_id", "slice", "event_index", "mark")
+        .select("log_id", "slice", "event_index", "mark", "ts_ns", "type", "endless", "line", "ns", "past")
     )
-    slice_ = slice_of("event_index", size)
-    flagged = running(
-        narrow,
-        ["log_id"],
-        ["event_index"],
-        [slice_],
-        {"__past": ("max", F.when(F.col("mark"), 1))},
-        inclusive=False,
-    ).select(
-        "log_id", slice_.alias("slice"), "event_index", "ts_ns", "type", "ends", "line", "is_exit",
-        "next", "parent", "unwinds", "ns", "mark", F.col("__past").isNotNull().alias("past"),
-    )
-    ordered = flagged.repartition("log_id", "slice").sortWithinPartitions("log_id", "slice", "event_index")
     first = cut(ordered.mapInArrow(stack.run_slices, stack.OUT_DDL))
     ops = (
         first.filter(F.col("kind") == "op")
@@ -148,30 +156,32 @@ def _merge_packages(spans: DataFrame, size: int = CHUNK) -> DataFrame:
     return kept.unionByName(gone)
 
 
-def structure(events: DataFrame, size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+_NARROW = [*KEY, "ts_ns", "type", "is_parent", "own_ns", "n_rows", "bytes"]
+
+
+def structure(events: DataFrame, marks: DataFrame, size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """All events with their place in the tree (`in_tree` false for consumed exits and merged
-    packages), exits, durations and counter seeds; and the structure issues."""
-    placed, closed, issues = pair(events, size)
+    packages), exits, durations and counter seeds; and the structure issues. Texts stay out."""
+    placed, closed, issues = pair(events, marks, size)
+    narrow = events.select(*_NARROW)
     exits = events.select(
         "log_id",
         F.col("event_index").alias("exit_index"),
         F.col("type").alias("exit_type"),
         F.when(~F.col("text").endswith(")"), F.col("own_ns")).alias("exit_ns_name"),
         F.col("n_rows").alias("exit_rows"),
-    )
-    # Only method, SOQL and SOSL spans look at the event that closed them.
-    looks = closed.join(
-        events.filter(F.col("type").isin("METHOD_ENTRY", "SOQL_EXECUTE_BEGIN", "SOSL_EXECUTE_BEGIN")).select(*KEY),
-        KEY,
-        "left_semi",
-    )
-    from_exit = looks.filter(F.col("exit_index").isNotNull()).join(exits, ["log_id", "exit_index"]).select(
-        *KEY, "exit_type", "exit_ns_name", "exit_rows"
-    )
+    ).filter(F.col("exit_ns_name").isNotNull() | F.col("exit_rows").isNotNull())
+    # Only a class reference or a query end tells something about the span it closes.
+    from_exit = closed.filter(F.col("exit_index").isNotNull()).select(*KEY, "exit_index").join(
+        exits, ["log_id", "exit_index"]
+    ).select(*KEY, "exit_type", "exit_ns_name", "exit_rows")
     next_ts = (
         events.filter(F.col("type") == PACKAGE)
         .select("log_id", "event_index", (F.col("event_index") + 1).alias("next_index"))
-        .join(events.select("log_id", F.col("event_index").alias("next_index"), F.col("ts_ns").alias("next_ts")), ["log_id", "next_index"])
+        .join(
+            events.select("log_id", F.col("event_index").alias("next_index"), F.col("ts_ns").alias("next_ts")),
+            ["log_id", "next_index"],
+        )
         .select(*KEY, "next_ts")
     )
     t = F.col("type")
@@ -180,50 +190,59 @@ def structure(events: DataFrame, size: int = CHUNK) -> tuple[DataFrame, DataFram
     )
     own_exit_ns = F.when((t == "METHOD_ENTRY") & (F.col("exit_ns_name") != ""), F.col("exit_ns_name"))
     joined = (
-        events.join(placed, KEY, "left")
+        narrow.join(placed, KEY, "left")
         .join(closed, KEY, "left")
         .join(from_exit, KEY, "left")
         .join(next_ts, KEY, "left")
     )
-    shaped = joined.select(
-        *[c for c in events.columns if c != "n_rows"],
-        F.col("path").isNotNull().alias("in_tree"),
-        F.coalesce("path", F.array().cast("array<bigint>")).alias("path"),
-        F.coalesce(F.try_element_at("path", F.lit(-1)), F.lit(0)).alias("parent_index"),
-        F.coalesce(F.size("path"), F.lit(0)).alias("depth"),
-        F.coalesce("close_last", "event_index").alias("last_index"),
-        F.coalesce(own_exit_ns, inherited, F.lit("")).alias("namespace"),
-        F.coalesce("exit_ns", "next_ts").alias("exit_ns"),
-        "exit_index",
-        F.coalesce("is_truncated", F.lit(False)).alias("is_truncated"),
-        (t == "DML_BEGIN").cast("long").alias("dml_count_self"),
-        (t == "SOQL_EXECUTE_BEGIN").cast("long").alias("soql_count_self"),
-        (t == "SOSL_EXECUTE_BEGIN").cast("long").alias("sosl_count_self"),
-        F.when(t == "DML_BEGIN", F.col("n_rows")).otherwise(0).cast("long").alias("dml_rows_self"),
-        _read_rows("SOQL").alias("soql_rows_self"),
-        _read_rows("SOSL").alias("sosl_rows_self"),
-        (t == "EXCEPTION_THROWN").cast("long").alias("thrown_self"),
-        F.when(t.isin("HEAP_ALLOCATE", "BULK_HEAP_ALLOCATE"), F.col("bytes")).alias("heap_bytes"),
-    )
-    based = cut(shaped)
-    merged = _merge_packages(based, size)
-    end = F.coalesce("run_exit", "exit_ns")
-    timed = F.coalesce(end, F.lit(0)) != 0
-    return (
-        based.join(merged, KEY, "left")
+    in_tree = F.col("path").isNotNull()
+    heap = F.when(t.isin("HEAP_ALLOCATE", "BULK_HEAP_ALLOCATE"), F.col("bytes"))
+    count = lambda cond: F.when(in_tree & cond, 1).otherwise(0).cast("long")
+    based = cut(
+        joined.select(
+            *KEY,
+            "ts_ns",
+            "type",
+            "is_parent",
+            in_tree.alias("in_tree"),
+            F.coalesce("path", F.array().cast("array<bigint>")).alias("path"),
+            F.coalesce(F.try_element_at("path", F.lit(-1)), F.lit(0)).alias("parent_index"),
+            F.coalesce(F.size("path"), F.lit(0)).alias("depth"),
+            F.coalesce("close_last", "event_index").alias("last_index"),
+            F.coalesce(own_exit_ns, inherited, F.lit("")).alias("namespace"),
+            F.coalesce("exit_ns", "next_ts").alias("exit_ns"),
+            "exit_index",
+            F.coalesce("is_truncated", F.lit(False)).alias("is_truncated"),
+            count(t == "DML_BEGIN").alias("dml_count_self"),
+            count(t == "SOQL_EXECUTE_BEGIN").alias("soql_count_self"),
+            count(t == "SOSL_EXECUTE_BEGIN").alias("sosl_count_self"),
+            F.when(t == "DML_BEGIN", F.col("n_rows")).otherwise(0).cast("long").alias("dml_rows_self"),
+            F.when(in_tree, _read_rows("SOQL")).otherwise(0).cast("long").alias("soql_rows_self"),
+            F.when(in_tree, _read_rows("SOSL")).otherwise(0).cast("long").alias("sosl_rows_self"),
+            count(t == "EXCEPTION_THROWN").alias("thrown_self"),
+            F.coalesce(heap, F.lit(0)).alias("heap_net_self"),
+            F.greatest(F.coalesce(heap, F.lit(0)), F.lit(0)).alias("heap_gross_self"),
+        )
+    )
+    end = F.col("exit_ns")
+    total = F.when(F.col("is_parent") & (F.coalesce(end, F.lit(0)) != 0), end - F.col("ts_ns")).otherwise(0)
+    others = based.filter(t != PACKAGE).withColumn("dur_total", total.cast("long"))
+    # Package spans are rare and the only ones that can merge; the rest is not joined.
+    run_end = F.coalesce("run_exit", "exit_ns")
+    run_total = F.when(F.col("timed") & (F.coalesce(run_end, F.lit(0)) != 0), run_end - F.col("ts_ns")).otherwise(0)
+    packages = (
+        based.filter(t == PACKAGE)
+        .join(_merge_packages(based, size), KEY, "left")
         .withColumns(
             {
                 "in_tree": F.col("in_tree") & ~F.coalesce("gone", F.lit(False)),
-                "dur_total": F.when(t == PACKAGE, F.when(F.col("timed") & timed, end - F.col("ts_ns")).otherwise(0))
-                .when(timed & F.col("is_parent"), end - F.col("ts_ns"))
-                .otherwise(0)
-                .cast("long"),
-                "exit_ns": end,
+                "dur_total": run_total.cast("long"),
+                "exit_ns": run_end,
             }
         )
-        .drop("run_exit", "gone", "timed"),
-        issues,
+        .drop("run_exit", "gone", "timed")
     )
+    return others.unionByName(packages), issues
 
 
 def _read_rows(kind: str) -> Column:
@@ -235,28 +254,26 @@ def _read_rows(kind: str) -> Column:
     return F.coalesce(F.when(t == f"{kind}_EXECUTE_BEGIN", closing), own, F.lit(0)).cast("long")
 
 
-def build_spans(events: DataFrame, size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """Spans with totals (flow residuals included), and the structure issues."""
-    placed, issues = structure(events, size)
-    seeded = heap_seed(cut(placed), size=size)
-    # Rows outside the tree keep the index dense but must add nothing.
-    quiet = {
-        c: F.when(F.col("in_tree"), F.col(c)).otherwise(0)
-        for c in [*[f"{m}_self" for m in METRICS], "heap_seed"]
-    }
-    base = cut(seeded.withColumns(quiet).drop("heap_bytes"))
-    rolled = rollup(base, size=size)
-    child = direct_child_sums(
-        base.filter(F.col("in_tree") & (F.col("dur_total") != 0)), {"__child_time": F.col("dur_total")}
-    )
-    timed = (
-        rolled.join(child, KEY, "left")
+def build_spans(events: DataFrame, marks: DataFrame, size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """Spans with totals (flow residuals included), and the structure issues.
+
+    Tree and counters are worked on a table without texts; those join in once at the end.
+    """
+    tree, issues = structure(events, marks, size)
+    tree = cut(tree.filter("in_tree").drop("in_tree"))
+    child = direct_child_sums(tree.filter(F.col("dur_total") != 0), {"__child_time": F.col("dur_total")})
+    rolled = (
+        rollup(tree, size=size)
+        .join(child, KEY, "left")
         .withColumn("dur_self", F.col("dur_total") - F.coalesce("__child_time", F.lit(0)))
-        .filter("in_tree")
-        .drop("__child_time", "in_tree")
+        .drop("__child_time", "ts_ns", "type", "is_parent")
     )
-    spans = cut(timed)
-    return flow_names(flow_residuals(spans, size), size), issues
+    texts = events.drop("n_rows", "own_ns")
+    spans = cut(rolled.join(texts, KEY))
+    flows = spans.filter(F.col("type").isin("FLOW_START_INTERVIEWS_BEGIN", *FLOW_ELEMENTS)).limit(1)
+    if flows.isEmpty():
+        return spans, issues
+    return cut(flow_names(flow_residuals(spans, size), size)), issues
 
 
 def flow_names(spans: DataFrame, size: int = CHUNK) -> DataFrame:

@@ -23,6 +23,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 
+from spanforge.functions import event_types
+
 OP = pa.struct(
     [
         ("op", pa.string()),
@@ -66,6 +68,7 @@ OUT_DDL = (
     "next:boolean,parent:boolean,unwinds:boolean,ns:string,flag:string,sure:long,maybe:long,marker:long>"
 )
 EMIT_ROWS = 20_000
+_EVENT_COLUMNS = ["log_id", "slice", "event_index", "anchor", "path", "ns"]
 
 # Frame and event fields, as tuples for speed:
 # event: (index, ts, type, ends, line, is_exit, next, parent, unwinds, ns)
@@ -73,15 +76,28 @@ IDX, TS, TYPE, ENDS, LINE, IS_EXIT, NEXT, PARENT, UNWINDS, NS = range(10)
 
 
 class Writer:
-    """Collects output rows and turns them into Arrow batches."""
+    """Collects output rows and turns them into Arrow batches, placed events column by column."""
 
     def __init__(self) -> None:
         self.rows: list[dict] = []
+        self.events: list[list] = [[] for _ in _EVENT_COLUMNS]
 
     def add(self, **row) -> None:
         self.rows.append(row)
 
+    def event(self, *values) -> None:
+        for column, value in zip(self.events, values, strict=True):
+            column.append(value)
+
     def drain(self, force: bool = False) -> Iterator[pa.RecordBatch]:
+        n = len(self.events[0])
+        if n and (force or n >= EMIT_ROWS):
+            given = dict(zip(_EVENT_COLUMNS, self.events, strict=True)) | {"kind": ["event"] * n}
+            columns = [
+                pa.array(given[f.name], f.type) if f.name in given else pa.nulls(n, f.type) for f in OUT
+            ]
+            self.events = [[] for _ in _EVENT_COLUMNS]
+            yield pa.RecordBatch.from_arrays(columns, schema=OUT)
         if self.rows and (force or len(self.rows) >= EMIT_ROWS):
             columns = [pa.array([r.get(f.name) for r in self.rows], f.type) for f in OUT]
             self.rows = []
@@ -165,10 +181,7 @@ class Machine:
         return False
 
     def placed(self, event, ns) -> None:
-        self.out.add(
-            log_id=self.log_id, slice=self.slice, kind="event", event_index=event[IDX],
-            path=[f[IDX] for f in self.stack], ns=ns,
-        )
+        self.out.event(self.log_id, self.slice, event[IDX], None, [f[IDX] for f in self.stack], ns)
 
 
 class Slice(Machine):
@@ -244,10 +257,8 @@ class Slice(Machine):
             self.op("touch", event)
             self.touched = True
         ns = event[NS] or (self.stack[-1][NS] if self.stack else "")
-        self.out.add(
-            log_id=self.log_id, slice=self.slice, kind="event", event_index=event[IDX],
-            anchor=self.seq - 1, path=[f[IDX] for f in self.stack], ns=ns,
-        )
+        path = [f[IDX] for f in self.stack]
+        self.out.event(self.log_id, self.slice, event[IDX], self.seq - 1, path, ns)
         if self.stack or event[PARENT]:
             self.sure, self.maybe = event[TS], None
         else:
@@ -286,8 +297,17 @@ class FirstSlice(Machine):
             seq += 1
 
 
+def _kinds() -> dict[str, tuple]:
+    """type -> (ends, is_exit, next, parent, unwinds)."""
+    return {r[0]: (r[2], r[10], r[11], r[1] == "span", r[12]) for r in event_types.rows()}
+
+
 def run_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass 1. Input is sorted by log, slice and event index; state never spans a slice."""
+    """Pass 1. Input is sorted by log, slice, event index and mark; state never spans a slice.
+
+    A row with `mark` is not an event: the size marker after the event of the same index.
+    """
+    kinds = _kinds()
     out = Writer()
     key = None
     machine: Slice | FirstSlice | None = None
@@ -295,23 +315,28 @@ def run_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     marker = None
     for batch in batches:
         cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-        for log_id, number, idx, ts, kind, ends, line, is_exit, nxt, parent, unwinds, ns, mark, past in zip(*cols, strict=True):
+        for log_id, number, idx, mark, ts, kind, endless, line, ns, past in zip(*cols, strict=True):
             if (log_id, number) != key:
                 if machine is not None:
                     machine.finish(last, marker)
                 key = (log_id, number)
                 machine = FirstSlice(out, log_id) if number == 0 else Slice(out, log_id, number)
-                marker = None
-            event = (idx, ts, kind, ends, line, is_exit, nxt, parent, unwinds, ns or "")
+                marker, marked = None, bool(past)
+            if mark:
+                # Until the next event comes the marker only waits.
+                marker, marked = last[TS], True
+                continue
+            ends, is_exit, nxt, parent, unwinds = kinds[kind]
+            event = (idx, ts, kind, [] if endless else ends, line, is_exit, nxt, parent, unwinds, ns or "")
             if number == 0:
                 if marker is not None:
                     machine.max_size_ts = marker
                 machine.step(event)
-            elif past:
+            elif marked:
                 machine.step_raw(event, marker)
             else:
                 machine.step(event)
-            marker = ts if mark else None
+            marker = None
             last = event
             yield from out.drain()
     if machine is not None:

@@ -150,7 +150,7 @@ def _(spark, sf):
 
 _LINT = (
     STATEMENTS
-    + """, q AS (SELECT log_id, text, count(*) AS n, sum(dur_total) AS t, min(event_index) AS pos FROM st WHERE kind = 'SOQL' GROUP BY ALL
+    + """, q AS (SELECT log_id, text, count(*) AS n, sum(dur_total) AS t, min(event_index) AS pos FROM st WHERE kind = 'SOQL' GROUP BY log_id, text
   QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY count(*) DESC, min(event_index)) <= 250)
 """
 )

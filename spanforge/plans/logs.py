@@ -236,17 +236,17 @@ def _(spark, sf):
     "r2_heap_seed",
     _HOSTED
     + """, h AS (SELECT log_id, idx AS event_index, CASE type WHEN 'click' THEN cents END AS b FROM ev WHERE is_event)
-SELECT log_id, event_index, coalesce(b, 0) AS heap_net_self, greatest(coalesce(b, 0), 0) AS heap_gross_self,
-  CASE WHEN b IS NULL THEN 0 ELSE CAST(sum(coalesce(b, 0)) OVER (PARTITION BY log_id ORDER BY event_index) AS BIGINT) END AS heap_seed
-FROM h""",
+SELECT log_id, event_index, b AS heap_bytes, CAST(sum(b) OVER (PARTITION BY log_id ORDER BY event_index) AS BIGINT) AS live
+FROM h WHERE b IS NOT NULL""",
 )
 def _(spark, sf):
-    from spanforge.operators.rollup import heap_seed
+    from spanforge.operators.rollup import live_heap
 
-    events = user_parsed(spark, sf).events.select(
-        "log_id", "event_index", F.when(F.col("type") == "HEAP_ALLOCATE", F.col("bytes")).alias("heap_bytes")
+    events = user_parsed(spark, sf).events
+    leaves = events.filter(F.col("type") == "HEAP_ALLOCATE").select(
+        "log_id", "event_index", F.col("bytes").alias("heap_bytes")
     )
-    return heap_seed(events, size=10).drop("heap_bytes")
+    return live_heap(leaves, "heap_bytes", size=10)
 
 
 @query(

@@ -19,6 +19,10 @@ def local_session(cores: str = "8", app: str = "spanforge") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Larger methods are not JIT-compiled; leave such stages to split projections.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # Small test files: let every core read some of them.
+        .config("spark.sql.files.openCostInBytes", str(256 * 1024))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")

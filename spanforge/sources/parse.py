@@ -33,8 +33,8 @@ def parse_logs(lines: DataFrame, size: int = CHUNK) -> ParsedLogs:
     """Parse body lines (see sources.logs.read_logs) of many logs at once."""
     tagged = cut(tag_lines(lines, size))
     events = cut(events_of(tagged, size))
-    spans, structure = build_spans(events, size)
-    spans = cut(spans)
+    marks = tagged.filter(tagged.role == "max_size").select("log_id", "event_index").distinct()
+    spans, structure = build_spans(events, marks, size)
     times = log_times(spans)
     # Looked-up names add nothing new, so the resolved column shows the same set.
     names = known_namespaces(events)

@@ -239,7 +239,6 @@ def build_order_tree(spark: SparkSession, sf_dir: str, size: int = CHUNK) -> Dat
             {
                 "event_index": ("sum", F.lit(1).cast("long")),
                 "done": ("sum", F.col("self_ns")),
-                "live": ("sum", F.coalesce("heap_bytes", F.lit(0))),
             },
         ).drop("ob")
     )
@@ -252,7 +251,7 @@ def build_order_tree(spark: SparkSession, sf_dir: str, size: int = CHUNK) -> Dat
         {f"__p{k}": ("last", at_level(k)) for k in range(3)},
     )
     heap = F.coalesce("heap_bytes", F.lit(0)).cast("long")
-    skip = {"done", "live", "n", "heap_bytes", "self_ns", "heap_net_self", "heap_gross_self"}
+    skip = {"done", "n", "heap_bytes", "self_ns", "heap_net_self", "heap_gross_self"}
     skip |= {"nk", "ck", "ok", "ln", "lp", "ls"}
     order_key = F.when(F.col("ok") >= 0, F.col("ok"))
     shaped = cut(
@@ -265,10 +264,6 @@ def build_order_tree(spark: SparkSession, sf_dir: str, size: int = CHUNK) -> Dat
             F.col("self_ns").alias("dur_self"),
             heap.alias("heap_net_self"),
             F.greatest(heap, F.lit(0)).alias("heap_gross_self"),
-            F.when(F.col("heap_bytes").isNotNull(), F.greatest("live", F.lit(0)))
-            .otherwise(0)
-            .cast("long")
-            .alias("heap_seed"),
         ).withColumn(
             "parent_index", F.coalesce(F.try_element_at("path", F.lit(-1)), F.lit(0).cast("long"))
         )
