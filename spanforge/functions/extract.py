@@ -75,12 +75,15 @@ def after(text: Column, mark: str) -> Column:
 
 def ts_ns(time_field: Column) -> Column:
     """Nanoseconds between the parentheses, null when they are missing."""
-    return F.regexp_extract(time_field, r"\((.*).$", 1).try_cast("long")
+    start = F.instr(time_field, "(")
+    inside = F.substring(time_field, start + 1, F.length(time_field) - start - 1)
+    return F.when(start > 0, inside.try_cast("long"))
 
 
 def line_number(field: Column) -> Column:
     """`[n]` as a number, 0 when absent or external."""
-    return F.coalesce(F.regexp_extract(field, r"^.(.*).$", 1).try_cast("int"), F.lit(0))
+    inside = F.substring(field, F.lit(2), F.length(field) - 2)
+    return F.coalesce(inside.try_cast("int"), F.lit(0))
 
 
 def is_external(field: Column) -> Column:
