@@ -281,3 +281,47 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return order_parsed(spark, sf).namespaces.select("log_id", "namespace")
+
+
+@query(
+    "t14_span_lines",
+    TREE
+    + """, cum AS (SELECT *, CAST(sum(CAST(is_parent AS INT)) OVER (PARTITION BY log_id ORDER BY event_index) AS BIGINT) AS upto FROM tree),
+placed AS (SELECT a.*, a.event_index + a.upto - CAST(a.is_parent AS INT) - a.depth + 2 AS entry_line,
+    a.last_index + z.upto - a.depth + 2 AS exit_line FROM cum a JOIN cum z ON z.log_id = a.log_id AND z.event_index = a.last_index),
+stamps AS (SELECT log_id, ts_ns AS ts, entry_line AS n FROM placed
+  UNION ALL SELECT log_id, ts_ns + dur_total, exit_line FROM placed WHERE is_parent
+  UNION ALL SELECT CAST(r_regionkey AS VARCHAR), 0, 2 FROM region),
+first AS (SELECT log_id, ts, min(n) AS n FROM stamps GROUP BY ALL)
+SELECT p.log_id, p.ts_ns, p.ts_ns + p.dur_total AS exit_ns, s.n AS start_line, e.n AS end_line FROM placed p
+JOIN first s ON s.log_id = p.log_id AND s.ts = p.ts_ns JOIN first e ON e.log_id = p.log_id AND e.ts = p.ts_ns + p.dur_total
+WHERE p.is_parent AND e.n > s.n""",
+)
+def _(spark, sf):
+    from spanforge.operators.ranges import span_lines
+
+    p = order_parsed(spark, sf)
+    found = span_lines(p.spans, p.lines, SLICE)
+    times = p.spans.select("log_id", "event_index", "ts_ns", "exit_ns")
+    return found.join(times, ["log_id", "event_index"]).select("log_id", "ts_ns", "exit_ns", "start_line", "end_line")
+
+
+@query(
+    "r6_governor_totals",
+    TREE
+    + """, b AS (SELECT log_id, event_index, 'n' || CAST(nk % 2 AS VARCHAR) AS namespace, soql_count_total AS used, heap_peak FROM tree WHERE depth = 0),
+last AS (SELECT log_id, namespace, arg_max(used, event_index) AS used, max(used) AS peak FROM b GROUP BY ALL),
+live AS (SELECT log_id, max(heap_peak) AS live FROM tree GROUP BY log_id)
+SELECT log_id, 'soqlQueries' AS metric, CAST(sum(used) AS BIGINT) AS used, 100 AS "limit" FROM last GROUP BY log_id
+UNION ALL SELECT l.log_id, 'heapSize', greatest(max(peak), any_value(live)), 100 FROM last l JOIN live USING (log_id) GROUP BY l.log_id""",
+)
+def _(spark, sf):
+    from spanforge.sources.tables import order_tree
+
+    spans = order_tree(spark, sf)
+    n = F.concat(F.lit("n"), (F.regexp_extract("text", r"(\d+)$", 1).cast("int") % 2).cast("string"))
+    blocks = spans.filter(F.col("depth") == 0).select(
+        "log_id", "event_index", n.alias("namespace"), F.col("soql_count_total").alias("used"),
+        F.explode(F.array(F.lit("soqlQueries"), F.lit("heapSize"))).alias("metric"), F.lit(100).cast("long").alias("limit"),
+    )
+    return facts.governor_totals(blocks, spans)
