@@ -325,3 +325,53 @@ def _(spark, sf):
         F.explode(F.array(F.lit("soqlQueries"), F.lit("heapSize"))).alias("metric"), F.lit(100).cast("long").alias("limit"),
     )
     return facts.governor_totals(blocks, spans)
+
+
+def supplier_lines(spark, sf, body):
+    """One line per supplier, one log per nation; `body` follows the time stamp."""
+    s = table(spark, sf, "supplier")
+    ts = (F.col("s_suppkey") + 1) * 10
+    line = F.concat(F.lit("10:00:00.0 ("), ts.cast("string"), F.lit(")|"), body)
+    return s.select(
+        F.col("s_nationkey").cast("string").alias("log_id"), (F.col("s_suppkey") + 1).alias("line_no"), line.alias("line")
+    )
+
+
+@query(
+    "p9_code_units",
+    """SELECT CAST(s_nationkey AS VARCHAR) AS log_id, (s_suppkey + 1) * 10 AS ts_ns,
+  CASE s_suppkey % 5 WHEN 0 THEN 'ns0.Cls.run()' WHEN 1 THEN 'T on A trigger event BeforeInsert' WHEN 2 THEN 'Workflow:Account'
+    WHEN 3 THEN 'VF: /apex/pk__Page' ELSE 'apex://abc.Ctrl/ACTION$run' END AS text,
+  CASE s_suppkey % 5 WHEN 0 THEN 'ns0' WHEN 1 THEN 'nsq' WHEN 2 THEN 'default' WHEN 3 THEN 'pk' ELSE 'abc' END AS namespace,
+  CASE s_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN '__sfdc_trigger' WHEN 2 THEN 'Workflow' WHEN 3 THEN 'VF' ELSE 'apex' END AS unit_type,
+  CASE s_suppkey % 5 WHEN 2 THEN 'custom' ELSE 'method' END AS cpu_type FROM supplier""",
+)
+def _(spark, sf):
+    from spanforge.operators.events import to_fields, with_continuations
+
+    k = F.col("s_suppkey") % 5
+    body = F.concat(
+        F.lit("CODE_UNIT_STARTED|[EXTERNAL]|"),
+        F.when(k == 0, "01p|ns0.Cls.run()")
+        .when(k == 1, "01q|T on A trigger event BeforeInsert|__sfdc_trigger/nsq/T")
+        .when(k == 2, "Workflow:Account")
+        .when(k == 3, "01r|VF: /apex/pk__Page")
+        .otherwise("apex://abc.Ctrl/ACTION$run"),
+    )
+    fields = to_fields(with_continuations(tag_lines(supplier_lines(spark, sf, body))))
+    return fields.select("log_id", "ts_ns", "text", F.col("own_ns").alias("namespace"), "unit_type", "cpu_type")
+
+
+@query(
+    "t7_package_runs",
+    """WITH l AS (SELECT CAST(s_nationkey AS VARCHAR) AS log_id, (s_suppkey + 1) * 10 AS ts, s_acctbal > 5000 AS ns FROM supplier),
+n AS (SELECT *, lead(ts) OVER w AS next_ts, CASE WHEN ns = lag(ns) OVER w THEN 0 ELSE 1 END AS fresh FROM l WINDOW w AS (PARTITION BY log_id ORDER BY ts)),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY log_id ORDER BY ts) AS run FROM n),
+r AS (SELECT log_id, run, min(ts) AS ts_ns, arg_max(coalesce(next_ts, ts), ts) AS run_end, count(*) AS members FROM i GROUP BY ALL)
+SELECT log_id, ts_ns, CASE WHEN max(members) OVER (PARTITION BY log_id) > 1 OR run < max(run) OVER (PARTITION BY log_id)
+  THEN run_end - ts_ns ELSE 0 END AS dur_total FROM r""",
+)
+def _(spark, sf):
+    body = F.concat(F.lit("ENTERING_MANAGED_PKG|"), F.when(F.col("s_acctbal") > 5000, "rich").otherwise("poor"))
+    spans = parse_logs(body_lines(cut(supplier_lines(spark, sf, body))), SLICE).spans
+    return spans.select("log_id", "ts_ns", "dur_total")
