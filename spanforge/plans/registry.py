@@ -38,12 +38,13 @@ item AS (
   SELECT o.log_id, o.nk, o.ck, o.ok, o.segment, CAST(l_linenumber AS BIGINT) AS ln,
          l_partkey AS lp, l_suppkey AS ls, CAST(l_quantity AS BIGINT) AS qty,
          l_returnflag AS rf, l_linestatus AS lst,
+         CAST(round(l_extendedprice * 100) AS BIGINT) AS lx,
          CASE WHEN l_returnflag = 'N'
               THEN CAST(l_quantity AS BIGINT) * CASE WHEN l_linenumber % 3 = 0 THEN -10 ELSE 10 END
          END AS hb
   FROM lineitem JOIN ord o ON l_orderkey = o.ok),
 node AS (
-  SELECT log_id, nk, -1 AS ck, -1 AS ok, -1 AS ln, -1 AS lp, -1 AS ls, 0 AS depth,
+  SELECT log_id, nk, -1 AS ck, -1 AS ok, -1 AS ln, -1 AS lp, -1 AS ls, -1 AS lx, 0 AS depth,
          'CODE_UNIT_STARTED' AS type, 'default' AS namespace, n_name AS text,
          'Code Unit' AS category, TRUE AS is_parent, 0 AS line_number,
          CAST(NULL AS VARCHAR) AS sobject_type, 0 AS dur_self,
@@ -51,11 +52,11 @@ node AS (
          0 AS soql_rows_self, 0 AS sosl_rows_self, CAST(NULL AS BIGINT) AS hb
   FROM place
   UNION ALL
-  SELECT log_id, nk, ck, -1, -1, -1, -1, 1, 'METHOD_ENTRY', 'default', segment, 'Apex', TRUE, 0,
+  SELECT log_id, nk, ck, -1, -1, -1, -1, -1, 1, 'METHOD_ENTRY', 'default', segment, 'Apex', TRUE, 0,
          NULL, 10, 0, 0, 0, 0, 0, 0, NULL
   FROM cust
   UNION ALL
-  SELECT log_id, nk, ck, ok, -1, -1, -1, 2,
+  SELECT log_id, nk, ck, ok, -1, -1, -1, -1, 2,
          CASE st WHEN 'F' THEN 'SOQL_EXECUTE_BEGIN' WHEN 'O' THEN 'DML_BEGIN'
                  ELSE 'SOSL_EXECUTE_BEGIN' END,
          'default',
@@ -72,7 +73,7 @@ node AS (
          CASE st WHEN 'F' THEN ok % 13 ELSE 0 END, CASE st WHEN 'P' THEN ok % 5 ELSE 0 END, NULL
   FROM ord
   UNION ALL
-  SELECT log_id, nk, ck, ok, ln, lp, ls, 3,
+  SELECT log_id, nk, ck, ok, ln, lp, ls, lx, 3,
          CASE rf WHEN 'N' THEN 'HEAP_ALLOCATE' ELSE 'METHOD_ENTRY' END,
          CASE rf WHEN 'A' THEN 'pkg' ELSE 'default' END,
          CASE rf WHEN 'N' THEN 'Bytes:' || CAST(hb AS VARCHAR)
@@ -87,7 +88,7 @@ numbered AS (
               ELSE greatest(CAST(sum(coalesce(hb, 0)) OVER w AS BIGINT), 0) END AS heap_seed,
          coalesce(hb, 0) AS hn, greatest(coalesce(hb, 0), 0) AS hg
   FROM node
-  WINDOW w AS (PARTITION BY log_id ORDER BY nk, ck, ok, ln, lp, ls)),
+  WINDOW w AS (PARTITION BY log_id ORDER BY nk, ck, ok, ln, lp, ls, lx)),
 tree AS (
   SELECT log_id, event_index, depth, type, namespace, text, category, is_parent, line_number,
          sobject_type, nk, ck, ok, dur_self, ts_ns,

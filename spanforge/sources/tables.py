@@ -117,6 +117,8 @@ def order_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").cast("long").alias("ln"),
         F.col("l_partkey").alias("lp"),
         F.col("l_suppkey").alias("ls"),
+        # Line keys repeat in places; the price tells such lines apart.
+        F.round(F.col("l_extendedprice") * 100).cast("long").alias("lx"),
         F.col("l_quantity").cast("long").alias("qty"),
         "l_returnflag",
         "l_linestatus",
@@ -142,7 +144,7 @@ def order_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         return src.select(
             "log_id",
             F.col("nk").cast("long").alias("nk"),
-            *[(F.col(k) if k in keys else none).cast("long").alias(k) for k in ("ck", "ok", "ln", "lp", "ls")],
+            *[(F.col(k) if k in keys else none).cast("long").alias(k) for k in ("ck", "ok", "ln", "lp", "ls", "lx")],
             F.lit(level).alias("depth"),
             *[(c.cast("long") if n in longs else c).alias(n) for n, c in picked.items()],
         )
@@ -194,7 +196,7 @@ def order_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
             node(
                 item,
                 3,
-                ("ck", "ok", "ln", "lp", "ls"),
+                ("ck", "ok", "ln", "lp", "ls", "lx"),
                 type=F.when(heap, "HEAP_ALLOCATE").otherwise("METHOD_ENTRY"),
                 namespace=F.when(inner, "pkg").otherwise("default"),
                 text=F.when(heap, F.concat(F.lit("Bytes:"), heap_bytes.cast("string")))
@@ -234,7 +236,7 @@ def build_order_tree(spark: SparkSession, sf_dir: str, size: int = CHUNK) -> Dat
         running(
             sized.withColumn("ob", F.struct("nk", "ck", F.floor(F.col("ok") / F.lit(4096)).alias("b"))),
             ["log_id"],
-            ["nk", "ck", "ok", "ln", "lp", "ls"],
+            ["nk", "ck", "ok", "ln", "lp", "ls", "lx"],
             [F.col("ob"), F.struct("nk", F.floor(F.col("ck") / F.lit(4096)).alias("b")), F.col("nk")],
             {
                 "event_index": ("sum", F.lit(1).cast("long")),
@@ -252,7 +254,7 @@ def build_order_tree(spark: SparkSession, sf_dir: str, size: int = CHUNK) -> Dat
     )
     heap = F.coalesce("heap_bytes", F.lit(0)).cast("long")
     skip = {"done", "n", "heap_bytes", "self_ns", "heap_net_self", "heap_gross_self"}
-    skip |= {"nk", "ck", "ok", "ln", "lp", "ls"}
+    skip |= {"nk", "ck", "ok", "ln", "lp", "ls", "lx"}
     order_key = F.when(F.col("ok") >= 0, F.col("ok"))
     shaped = cut(
         up.select(
