@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import jaccard_join, packing
+from spanforge.llm import jaccard_join, packing, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,3 +64,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: sequences of 1024 tokens."""
     return packing.pack(docs, TOKENIZER, RANKS, public_tokenizers.PATTERN)
+
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query("op3_url_filter", url_filter.judge_sql(URL_RULES))
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and models over every page."""
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
