@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import jaccard_join, packing, url_filter
+from spanforge.llm import decontaminate, jaccard_join, packing, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -73,3 +73,9 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and models over every page."""
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op4_benchmark_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they leak."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
