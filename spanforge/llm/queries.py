@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanforge.llm import decontaminate, jaccard_join, packing, url_filter
+from spanforge.llm import decontaminate, jaccard_join, language_id, packing, url_filter
+from spanforge.llm.stage import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -79,3 +81,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the benchmark items that they leak."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by a model of three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(fold(F.col("doc_id"), 4) != 2))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: documents with a main language."""
+    return language_id.keep_identified(docs, language_id.fit(docs))
