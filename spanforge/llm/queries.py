@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import decontaminate, jaccard_join, language_id, packing, url_filter
+from spanforge.llm import decontaminate, jaccard_join, language_id, packing, secret_scan, url_filter
 from spanforge.llm.stage import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a main language."""
     return language_id.keep_identified(docs, language_id.fit(docs))
+
+
+@query("op9_secret_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secret_scan.scan(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: secrets replaced by a mark."""
+    return secret_scan.redact(docs)
