@@ -13,8 +13,9 @@ rows. The steps, none of which lists all pairs of a group:
 2. these pairs are compared by a folded sketch and then exactly, and linked nodes form components,
 3. keys whose nodes are in several components are what is left. Since pairs share 1 + S keys, each node may
    leave out its S most common keys (in one global order) and still meet every partner, which removes
-   parts made of widespread passages. In the keys that remain, nodes outside the key's main component meet
-   those of other components; these pairs are verified like the first.
+   parts made of widespread passages. In the keys that remain, the folded sketches of nodes outside the
+   key's main component are compared with those of other components, block by block inside tasks; only
+   pairs that may link become rows, and are verified like the first.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from spanforge.llm.tokens import U, chain, mix, owners, signed, unsigned, words
 
 BITS = 1 << 20  # sketch bits a part
 FOLDED = 2048  # bits of the folded sketch
+BLOCK = 2048  # nodes of a key compared in one task
 BLOOM = 1 << 25  # bits of the filter of nodes whose sets are fetched; a fixed size
 
 
@@ -194,18 +196,71 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (key[-1], node[-1], extra[-1], first[-1], bool(give[-1]))
 
 
+def _near(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
+    """Do sizes and folded sketches (along the last axis) allow a link?"""
+    apart = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int32)
+    return (apart <= (nx + ny) * (100 - percent) // (100 + percent)) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+
+
+def _unfold(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=U).reshape(-1, FOLDED // 64)
+
+
 def _close(percent: int):
-    """Keep pairs whose sizes and folded sketches allow a link."""
+    """Keep pairs that may link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ok = _near(_unfold(batch.column("fa")), _unfold(batch.column("fb")), np.asarray(batch.column("na")), np.asarray(batch.column("nb")), percent)
+                yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
+def _across(half: np.ndarray, node: np.ndarray, part: np.ndarray, size: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of one group that are in different components and may link, as rows (a, b)."""
+    names, counts = np.unique(part, return_counts=True)
+    main = part == names[counts.argmax()]
+    if half[0] == 2:
+        jobs = [(np.flatnonzero(~main), np.arange(len(node)))]
+    else:
+        jobs = [(np.flatnonzero((half == 0) & ~main), np.flatnonzero(half == 1)), (np.flatnonzero((half == 0) & main), np.flatnonzero((half == 1) & ~main))]
+    out = [np.zeros((0, 2), dtype=np.int64)]
+    for left, right in jobs:
+        for at in range(0, len(left), 16):
+            x = left[at : at + 16]
+            ok = _near(bits[x][:, None], bits[right][None], size[x][:, None], size[right][None], percent)
+            ok &= part[x][:, None] != part[right][None]
+            i, j = np.nonzero(ok)
+            out.append(np.stack([np.minimum(node[x[i]], node[right[j]]), np.maximum(node[x[i]], node[right[j]])], axis=1))
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def _compare(percent: int):
+    """Over rows sorted by group: the pairs of `_across`. A group has at most two blocks of nodes."""
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, FOLDED // 64) for c in ("fa", "fb"))
-            na, nb = np.asarray(batch.column("na")), np.asarray(batch.column("nb"))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            ok = (apart <= (na + nb) * (100 - percent) // (100 + percent)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-            yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
+            columns = [np.asarray(batch.column(c)) for c in ("g", "half", "node", "part", "size")] + [_unfold(batch.column("folded"))]
+            edges = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
+            for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                if held and held[-1][0][0] != columns[0][a]:
+                    yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                    held = []
+                held.append([c[a:b] for c in columns])
+        if held:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, half, node, part, size, bits in groups(batches):
+            if (part != part[0]).any():
+                got = _across(half, node, part, size, bits, percent)
+                if len(got):
+                    yield pa.record_batch([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
 
     return run
 
@@ -278,26 +333,24 @@ def jaccard_components(
 
     member = met.join(label.toDF("node", "part"), "node", "left")
     member = cut(member.select("key", "node", "extra", F.coalesce("part", "node").alias("part")), kept)
-    per_key = member.groupBy("key").agg(
-        F.count("*").alias("many"), F.min("part").alias("low"), F.max("part").alias("high")
-    )
+    per_key = member.groupBy("key").agg(F.count("*").alias("many"), F.min("part").alias("low"), F.max("part").alias("high"))
     rank = Window.partitionBy("node", "band").orderBy(F.col("many").desc(), F.col("key").desc())
     rest = (
         member.join(cut(per_key, kept), "key")
         .withColumn("band", F.expr("cast(extra div 4096 as int)"))
         .withColumn("place", F.row_number().over(rank))
         .filter("place > extra % 4096 AND low <> high")
-        .select("key", "node", "part")
-    )
-    rest = cut(rest, kept)
-    main = cut(
-        rest.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main")), kept
+        .select("key", "node", "part", "many")
     )
-    sided = cut(rest.join(main, "key"), kept)
-    left = sided.filter("part <> main").select("key", F.col("node").alias("x"), F.col("part").alias("px"))
-    right = sided.select("key", F.col("node").alias("y"), F.col("part").alias("py"), (F.col("part") == F.col("main")).alias("in_main"))
-    pairs = left.join(right, "key").filter("px <> py AND (in_main OR x < y)")
-    pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), kept)
+    # keys of many nodes are dealt out as pairs of blocks of about BLOCK nodes
+    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node", "key"), blocks).cast("int")
+    dealt = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    half = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    dealt = cut(dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), half.alias("half"), "node", "part"), kept)
+    sided = dealt.join(sets.select("node", "size", "folded"), "node").select("g", "half", "node", "part", "size", "folded")
+    pairs = sided.repartition("g").sortWithinPartitions("g").mapInArrow(_compare(percent), "a long, b long").distinct()
+    pairs = cut(pairs, kept)
     label = components(links.union(_linked(pairs, sets, percent, kept)), kept)
 
     named = own.join(label.toDF("node", "part"), "node", "left")
