@@ -344,8 +344,8 @@ def jaccard_components(
     )
     # keys of many nodes are dealt out as pairs of blocks of about BLOCK nodes
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", "key"), blocks).cast("int")
-    dealt = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    mine = F.pmod(F.xxhash64("node", "key"), blocks).cast("int")
+    dealt = rest.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     half = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     dealt = cut(dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), half.alias("half"), "node", "part"), kept)
     sided = dealt.join(sets.select("node", "size", "folded"), "node").select("g", "half", "node", "part", "size", "folded")
