@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import decontaminate, jaccard_join, language_id, packing, secret_scan, url_filter
+from spanforge.llm import decontaminate, embedding_dedup, jaccard_join, language_id, packing, secret_scan, url_filter
 from spanforge.llm.stage import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: secrets replaced by a mark."""
     return secret_scan.redact(docs)
+
+
+@query("op10_embedding_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked embeddings of equal label at cosine 0.98."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
