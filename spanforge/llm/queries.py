@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import decontaminate, embedding_dedup, jaccard_join, language_id, packing, secret_scan, url_filter
+from spanforge.llm import decontaminate, embedding_dedup, jaccard_join, language_id, lm_score, packing, secret_scan, url_filter
 from spanforge.llm.stage import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,11 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linked embeddings of equal label at cosine 0.98."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op1_lm_scoring")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of four fifths of them."""
+    held_out = fold(F.col("doc_id"), 5) == 1
+    found = lm_score.score(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
