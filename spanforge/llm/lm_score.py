@@ -253,6 +253,38 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, offsets[:-1]) if len(values) else np.zeros(len(offsets) - 1)
 
 
+ROWS = "id long, same long, key long, times int, n_tokens long, known long, base double, own double"
+
+
+def text_rows(part: pa.RecordBatch, t: np.ndarray, offsets: np.ndarray, found: np.ndarray, base: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+    """ROWS of a part with columns id and same (a hash of the text): one of each text with its sums, `times`
+    0, and one of each different word of it that is not frequent. A text's own row has a random key, so such
+    rows spread over all partitions of a join on words and match nothing."""
+    rare = np.flatnonzero(found < 0)
+    doc = owners(offsets)[rare]
+    order = np.lexsort((t[rare], doc))
+    key, doc = t[rare][order], doc[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    head = np.flatnonzero(new)
+    times = np.diff(np.append(head, len(key)))
+    n, m = part.num_rows, len(head)
+    who = np.concatenate([np.arange(n), doc[head]])
+    same, none = np.asarray(part.column("same")), np.zeros(m)
+    known = _sums((found >= 0).astype(np.int64), offsets)
+    columns = [
+        part.column("id").take(pa.array(who)),
+        pa.array(same[who]),
+        pa.array(signed(np.concatenate([mix(unsigned(same), 53), key[head]]))),
+        pa.array(np.concatenate([np.zeros(n, np.int32), times.astype(np.int32)])),
+        pa.array(np.concatenate([np.diff(offsets), none.astype(np.int64)])),
+        pa.array(np.concatenate([known, none]).astype(np.int64)),
+        pa.array(np.concatenate([_sums(base, offsets), none])),
+        pa.array(np.concatenate([_sums(own, offsets), none])),
+    ]
+    return pa.record_batch(columns, [c.split()[0] for c in ROWS.split(", ")])
+
+
 def score(
     docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", share: int = WORDS, grams: int = GRAMS, kept: list[str] | None = None
 ) -> DataFrame:
@@ -277,37 +309,9 @@ def score(
             for part in slices(batch, "text"):
                 t, offsets = tokens(part.column("text"))
                 found, base, own = token_scores(model, t, offsets)
-                rare = np.flatnonzero(found < 0)
-                doc = owners(offsets)[rare]
-                order = np.lexsort((t[rare], doc))
-                key, doc = t[rare][order], doc[order]
-                new = np.ones(len(key), dtype=bool)
-                new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-                head = np.flatnonzero(new)
-                times = np.diff(np.append(head, len(key)))
-                who = np.concatenate([np.arange(part.num_rows), doc[head]])
-                n, m = part.num_rows, len(head)
-                none = np.zeros(m)
-                known = _sums((found >= 0).astype(np.int64), offsets)
-                ids = part.column("id").take(pa.array(who))
-                same = np.asarray(part.column("same"))
-                yield pa.record_batch(
-                    [
-                        ids,
-                        pa.array(same[who]),
-                        # rows of texts have a key of their own: they spread over all partitions and match nothing
-                        pa.array(signed(np.concatenate([mix(unsigned(same), 53), key[head]]))),
-                        pa.array(np.concatenate([np.zeros(n, np.int32), times.astype(np.int32)])),
-                        pa.array(np.concatenate([np.diff(offsets), none.astype(np.int64)])),
-                        pa.array(np.concatenate([known, none.astype(np.int64)]).astype(np.int64)),
-                        pa.array(np.concatenate([_sums(base, offsets), none])),
-                        pa.array(np.concatenate([_sums(own, offsets), none])),
-                    ],
-                    ["id", "same", "key", "times", "n_tokens", "known", "base", "own"],
-                )
-
-    schema = "id long, same long, key long, times int, n_tokens long, known long, base double, own double"
-    rows = source.drop("learn").mapInArrow(run, schema).join(vocabulary, "key", "left")
+                yield text_rows(part, t, offsets, found, base, own)
+
+    rows = source.drop("learn").mapInArrow(run, ROWS).join(vocabulary, "key", "left")
     rare = F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(model.unseen()))
     sums = rows.groupBy("id", "same").agg(
         F.count_if(F.col("times") == 0).alias("copies"),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import decontaminate, embedding_dedup, jaccard_join, language_id, lm_score, packing, secret_scan, url_filter
+from spanforge.llm import decontaminate, embedding_dedup, jaccard_join, kn_quality, language_id, lm_score, packing, secret_scan, url_filter
 from spanforge.llm.stage import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 5) == 1
     found = lm_score.score(table(spark, sf_dir, "documents"), ~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op7_quality_classifier")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of all documents under a model of those labelled good."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    small = labels.count() <= 2_000_000  # ids of 16 MB; beyond that a shuffle
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.join(F.broadcast(labels) if small else labels, "doc_id", "left")
+    return kn_quality.judge(docs, F.col("quality") == 1)
