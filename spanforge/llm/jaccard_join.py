@@ -20,7 +20,7 @@ rows. The steps, none of which lists all pairs of a group:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,17 +42,22 @@ def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of each text's distinct shingles of `n` words, and where each text's begin. Fewer
     words make one shingle of all of them; no words make none."""
     w = words(texts)
-    own, m = owners(w.offsets), len(w.hashes)
-    left = w.offsets[own + 1] - np.arange(m)
-    out = w.hashes.copy()
+    return distinct(w.hashes, w.offsets, n)
+
+
+def distinct(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for words that are at hand: those from offsets[i] to offsets[i + 1] are one text's."""
+    own, m = owners(offsets), len(hashes)
+    left = offsets[own + 1] - np.arange(m)
+    out = hashes.copy()
     for k in range(1, n):
         inside = np.flatnonzero(left > k)
-        out[inside] = chain(out[inside], w.hashes[inside + k])
-    short = (np.diff(w.offsets) < n)[own] & (np.arange(m) == w.offsets[own])
+        out[inside] = chain(out[inside], hashes[inside + k])
+    short = (np.diff(offsets) < n)[own] & (np.arange(m) == offsets[own])
     out[short] = mix(out[short], 3)
     keep = (left >= n) | short
     out, own = out[keep], own[keep]
-    begin = np.searchsorted(own, np.arange(len(texts) + 1))
+    begin = np.searchsorted(own, np.arange(len(offsets)))
     parts = [np.unique(out[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
     return np.concatenate([np.zeros(0, U), *parts]), np.cumsum([0, *map(len, parts)])
 
@@ -105,6 +110,18 @@ def fold(keys: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+SETS = "node long, size long, folded binary, set binary"
+
+
+def set_rows(keys: np.ndarray, at: np.ndarray, node: np.ndarray, bloom: np.ndarray) -> pa.RecordBatch:
+    """SETS of the non-empty sets whose node is in the filter."""
+    size, bit = np.diff(at), node % U(BLOOM)
+    hit = np.flatnonzero((size > 0) & (bloom[(bit >> U(6)).astype(np.int64)] >> (bit & U(63)) & U(1) == 1))
+    sets = [keys[at[i] : at[i + 1]] for i in hit]
+    columns = [pa.array(signed(node[hit])), pa.array(size[hit]), pa.array([fold(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+    return pa.record_batch(columns, ["node", "size", "folded", "set"])
+
+
 def _sets(n: int, with_id: bool, bloom: np.ndarray | None):
     """Per document (id, node, size); or, for nodes in the filter, (node, size, folded sketch, set)."""
 
@@ -116,18 +133,7 @@ def _sets(n: int, with_id: bool, bloom: np.ndarray | None):
                 if with_id:
                     yield pa.record_batch([part.column("id"), pa.array(signed(node)), pa.array(size)], ["id", "node", "size"])
                     continue
-                bit = node % U(BLOOM)
-                hit = np.flatnonzero((size > 0) & (bloom[(bit >> U(6)).astype(np.int64)] >> (bit & U(63)) & U(1) == 1))
-                sets = [keys[at[i] : at[i + 1]] for i in hit]
-                yield pa.record_batch(
-                    [
-                        pa.array(signed(node[hit])),
-                        pa.array(size[hit]),
-                        pa.array([fold(s) for s in sets], pa.binary()),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
-                    ],
-                    ["node", "size", "folded", "set"],
-                )
+                yield set_rows(keys, at, node, bloom)
 
     return run
 
@@ -302,29 +308,17 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, kept: list[str]) ->
     return cut(joined.mapInArrow(_verify(percent), "a long, b long"), kept)
 
 
-def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 4, percent: int = 85, kept: list[str] | None = None
-) -> DataFrame:
-    """`(id_col, n_shingles, component_id, node)` for every row of `docs`.
-
-    Two rows link when 100 * |intersection| >= percent * |union| of their shingle sets. Rows with a null,
-    empty or blank text have an empty set and link with nothing: their component is their own id. A null
-    id takes part; it is named only if no id of the component is known. Repeated rows and ids give a row
-    each. Other columns are not read; an empty table gives no rows. `node` is the hash of the set.
-    """
-    kept = [] if kept is None else kept
-    source = docs.selectExpr(f"cast(`{id_col}` as long) AS id", f"`{text_col}` AS text")
-    own = cut(source.mapInArrow(_sets(words_each, True, None), "id long, node long, size long"), kept)
-    rows = source.select("text").mapInArrow(_parts(words_each, percent), "key long, node long, extra int")
+def meet(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """Rows (key, node, extra) of keys with two nodes or more, each beside the first node of its key."""
     met = rows.repartition("key").sortWithinPartitions("key", "node")
-    met = cut(met.mapInArrow(_meetings, "key long, node long, extra int, first long"), kept)
-
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(met.select("node").distinct()))
+    return cut(met.mapInArrow(_meetings, "key long, node long, extra int, first long"), kept)
 
-    def fetch(batches):
-        return _sets(words_each, False, bits.value)(batches)
 
-    sets = source.select("text").mapInArrow(fetch, "node long, size long, folded binary, set binary")
+def resolve(met: DataFrame, fetch: Callable[[np.ndarray], DataFrame], percent: int, kept: list[str]) -> DataFrame:
+    """(node, component_id) of the nodes that link with another they share a key with. `met` comes from
+    `meet`; extra % 4096 of a node's keys in band extra div 4096 may be left out. `fetch` gives SETS for the
+    nodes in a filter."""
+    sets = fetch(_filter_bits(met.select("node").distinct()))
     sets = cut(sets.groupBy("node").agg(F.first("size").alias("size"), F.first("folded").alias("folded"), F.first("set").alias("set")), kept)
 
     stars = met.filter("first <> node").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct()
@@ -351,8 +345,29 @@ def jaccard_components(
     sided = dealt.join(sets.select("node", "size", "folded"), "node").select("g", "half", "node", "part", "size", "folded")
     pairs = sided.repartition("g").sortWithinPartitions("g").mapInArrow(_compare(percent), "a long, b long").distinct()
     pairs = cut(pairs, kept)
-    label = components(links.union(_linked(pairs, sets, percent, kept)), kept)
+    return components(links.union(_linked(pairs, sets, percent, kept)), kept)
+
+
+def jaccard_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 4, percent: int = 85, kept: list[str] | None = None
+) -> DataFrame:
+    """`(id_col, n_shingles, component_id, node)` for every row of `docs`.
+
+    Two rows link when 100 * |intersection| >= percent * |union| of their shingle sets. Rows with a null,
+    empty or blank text have an empty set and link with nothing: their component is their own id. A null
+    id takes part; it is named only if no id of the component is known. Repeated rows and ids give a row
+    each. Other columns are not read; an empty table gives no rows. `node` is the hash of the set.
+    """
+    kept = [] if kept is None else kept
+    source = docs.selectExpr(f"cast(`{id_col}` as long) AS id", f"`{text_col}` AS text")
+    own = cut(source.mapInArrow(_sets(words_each, True, None), "id long, node long, size long"), kept)
+    rows = source.select("text").mapInArrow(_parts(words_each, percent), "key long, node long, extra int")
+    met = meet(rows, kept)
+
+    def fetch(bits: np.ndarray) -> DataFrame:
+        return source.select("text").mapInArrow(_sets(words_each, False, bits), SETS)
 
+    label = resolve(met, fetch, percent, kept)
     named = own.join(label.toDF("node", "part"), "node", "left")
     named = cut(named.select("id", "node", "size", F.coalesce("part", "node").alias("part")), kept)
     least = cut(named.filter("size > 0").groupBy("part").agg(F.min("id").alias("least")), kept)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import decontaminate, embedding_dedup, jaccard_join, kn_quality, language_id, lm_score, packing, secret_scan, url_filter
+from spanforge.llm import decontaminate, embedding_dedup, jaccard_join, kn_quality, language_id, lm_score, packing, paragraph_dedup, secret_scan, url_filter
 from spanforge.llm.stage import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     docs = docs.join(F.broadcast(labels) if small else labels, "doc_id", "left")
     return kn_quality.judge(docs, F.col("quality") == 1)
+
+
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of 50 words or more that occur again."""
+    return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
