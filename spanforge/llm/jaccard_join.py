@@ -110,13 +110,18 @@ def fold(keys: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def in_filter(node: np.ndarray, bloom: np.ndarray) -> np.ndarray:
+    bit = node % U(BLOOM)
+    return bloom[(bit >> U(6)).astype(np.int64)] >> (bit & U(63)) & U(1) == 1
+
+
 SETS = "node long, size long, folded binary, set binary"
 
 
 def set_rows(keys: np.ndarray, at: np.ndarray, node: np.ndarray, bloom: np.ndarray) -> pa.RecordBatch:
     """SETS of the non-empty sets whose node is in the filter."""
-    size, bit = np.diff(at), node % U(BLOOM)
-    hit = np.flatnonzero((size > 0) & (bloom[(bit >> U(6)).astype(np.int64)] >> (bit & U(63)) & U(1) == 1))
+    size = np.diff(at)
+    hit = np.flatnonzero((size > 0) & in_filter(node, bloom))
     sets = [keys[at[i] : at[i + 1]] for i in hit]
     columns = [pa.array(signed(node[hit])), pa.array(size[hit]), pa.array([fold(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
     return pa.record_batch(columns, ["node", "size", "folded", "set"])
@@ -171,35 +176,40 @@ def _parts(n: int, percent: int):
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (key, node): every distinct node of a run of two or more, beside its first."""
-    last = None  # (key, node, extra, first node, first already given)
+    """Over rows sorted by (key, node): every distinct node of a run of two or more, beside its first; and
+    once, with extra -1, a node that a key has more than once."""
+    last = None  # (key, node, extra, first node of the run, is that row given, is it a repetition)
     for batch in batches:
         key, node, extra = (np.asarray(batch.column(c)) for c in ("key", "node", "extra"))
         if not len(key):
             continue
-        fresh = np.ones(len(key), dtype=bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        if last is not None and key[0] == last[0] and node[0] == last[1]:
-            fresh[0] = False
-        key, node, extra = key[fresh], node[fresh], extra[fresh]
-        if not len(key):
-            continue
-        head = np.ones(len(key), dtype=bool)
-        head[1:] = key[1:] != key[:-1]
-        carried = last is not None and key[0] == last[0]
-        if carried:
-            head[0] = False
-        place = np.maximum.accumulate(np.where(head, np.arange(len(key)), -1))
-        first = np.where(place >= 0, node[np.maximum(place, 0)], last[3] if last else 0)
-        more = np.zeros(len(key), dtype=bool)
-        more[:-1] = ~head[1:]  # another node follows in the run
-        give = ~head | more
-        rows = [key[give], node[give], extra[give], first[give]]
-        if carried and not last[4]:
-            rows = [np.r_[np.array([x], dtype=r.dtype), r] for x, r in zip((last[0], last[1], last[2], last[3]), rows, strict=True)]
-        if len(rows[0]):
-            yield pa.record_batch([pa.array(r) for r in rows], ["key", "node", "extra", "first"])
-        last = (key[-1], node[-1], extra[-1], first[-1], bool(give[-1]))
+        again = np.zeros(len(key), dtype=bool)
+        again[1:] = (key[1:] == key[:-1]) & (node[1:] == node[:-1])
+        again[0] = last is not None and key[0] == last[0] and node[0] == last[1]
+        second = again.copy()
+        second[1:] &= ~again[:-1]
+        second[0] &= last is None or not last[5]
+        rows = [(key[second], node[second], np.full(second.sum(), -1, dtype=np.int32), node[second])]
+        ended_again = bool(again[-1])
+        key, node, extra = key[~again], node[~again], extra[~again]
+        if len(key):
+            head = np.ones(len(key), dtype=bool)
+            head[1:] = key[1:] != key[:-1]
+            carried = last is not None and key[0] == last[0]
+            head[0] = not carried
+            place = np.maximum.accumulate(np.where(head, np.arange(len(key)), -1))
+            first = np.where(place >= 0, node[np.maximum(place, 0)], last[3] if last else 0)
+            give = ~head
+            give[:-1] |= ~head[1:]  # another node follows in the run
+            if carried and not last[4]:
+                rows.append(tuple(np.array([x]) for x in last[:4]))
+            rows.append((key[give], node[give], extra[give], first[give]))
+            last = (key[-1], node[-1], extra[-1], first[-1], bool(give[-1]), ended_again)
+        else:
+            last = (*last[:5], ended_again)
+        key, node, extra, first = (np.concatenate(c) for c in zip(*rows, strict=True))
+        if len(key):
+            yield pa.record_batch([pa.array(key), pa.array(node), pa.array(extra.astype(np.int32)), pa.array(first)], ["key", "node", "extra", "first"])
 
 
 def _near(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
@@ -284,7 +294,7 @@ def _verify(percent: int):
     return run
 
 
-def _filter_bits(found: DataFrame) -> np.ndarray:
+def filter_bits(found: DataFrame) -> np.ndarray:
     """A bit for every node, as words; what reaches the driver is bounded by BLOOM."""
     bit = F.expr(f"cast(pmod(node, {BLOOM}) as long)")
     word = found.select((bit / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(node, {BLOOM}) % 64 as int))").alias("v"))
@@ -309,7 +319,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, kept: list[str]) ->
 
 
 def meet(rows: DataFrame, kept: list[str]) -> DataFrame:
-    """Rows (key, node, extra) of keys with two nodes or more, each beside the first node of its key."""
+    """Rows (key, node, extra) of keys with two nodes or more, each beside the first node of its key; and,
+    with extra -1, nodes that a key has several times."""
     met = rows.repartition("key").sortWithinPartitions("key", "node")
     return cut(met.mapInArrow(_meetings, "key long, node long, extra int, first long"), kept)
 
@@ -318,7 +329,8 @@ def resolve(met: DataFrame, fetch: Callable[[np.ndarray], DataFrame], percent: i
     """(node, component_id) of the nodes that link with another they share a key with. `met` comes from
     `meet`; extra % 4096 of a node's keys in band extra div 4096 may be left out. `fetch` gives SETS for the
     nodes in a filter."""
-    sets = fetch(_filter_bits(met.select("node").distinct()))
+    met = met.filter("extra >= 0")
+    sets = fetch(filter_bits(met.select("node").distinct()))
     sets = cut(sets.groupBy("node").agg(F.first("size").alias("size"), F.first("folded").alias("folded"), F.first("set").alias("set")), kept)
 
     stars = met.filter("first <> node").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct()
