@@ -125,3 +125,11 @@ def leaks(
     return found.filter(part >= share).select(
         F.col("id").alias(id_col), "text_hash", "item_id", "n_windows", "found", part.alias("share"), "reparameterised"
     )
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: list[str] | None = None) -> DataFrame:
+    """`docs`, all columns, without the rows that leak an item."""
+    kept = [] if kept is None else kept
+    found = leaks(docs, benchmark, id_col, text_col, kept=kept).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__same")).distinct()
+    same = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    return docs.join(cut(found, kept), F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (same == F.col("__same")), "left_anti")

@@ -128,7 +128,7 @@ def set_rows(keys: np.ndarray, at: np.ndarray, node: np.ndarray, bloom: np.ndarr
 
 
 def _sets(n: int, with_id: bool, bloom: np.ndarray | None):
-    """Per document (id, node, size); or, for nodes in the filter, (node, size, folded sketch, set)."""
+    """Per document (id, same, node, size); or, for nodes in the filter, (node, size, folded sketch, set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +136,7 @@ def _sets(n: int, with_id: bool, bloom: np.ndarray | None):
                 keys, at = shingles(part.column("text"), n)
                 node, size = nodes(keys, at), np.diff(at)
                 if with_id:
-                    yield pa.record_batch([part.column("id"), pa.array(signed(node)), pa.array(size)], ["id", "node", "size"])
+                    yield pa.record_batch([part.column("id"), part.column("same"), pa.array(signed(node)), pa.array(size)], ["id", "same", "node", "size"])
                     continue
                 yield set_rows(keys, at, node, bloom)
 
@@ -360,29 +360,54 @@ def resolve(met: DataFrame, fetch: Callable[[np.ndarray], DataFrame], percent: i
     return components(links.union(_linked(pairs, sets, percent, kept)), kept)
 
 
+def linked_rows(docs: DataFrame, id_col: str, text_col: str, words_each: int, percent: int, kept: list[str]) -> DataFrame:
+    """(id, same, node, size, part) of every row: a hash of its text, one of its set, the size of that, and
+    what rows of a component share."""
+    text = F.col(f"`{text_col}`")
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("same"), text.alias("text"))
+    own = cut(source.mapInArrow(_sets(words_each, True, None), "id long, same long, node long, size long"), kept)
+    met = meet(source.select("text").mapInArrow(_parts(words_each, percent), "key long, node long, extra int"), kept)
+    label = resolve(met, lambda bits: source.select("text").mapInArrow(_sets(words_each, False, bits), SETS), percent, kept)
+    named = own.join(label.toDF("node", "part"), "node", "left")
+    return cut(named.select("id", "same", "node", "size", F.coalesce("part", "node").alias("part")), kept)
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 4, percent: int = 85, kept: list[str] | None = None
 ) -> DataFrame:
-    """`(id_col, n_shingles, component_id, node)` for every row of `docs`.
+    """`(id_col, n_shingles, component_id)` for every row of `docs`.
 
     Two rows link when 100 * |intersection| >= percent * |union| of their shingle sets. Rows with a null,
     empty or blank text have an empty set and link with nothing: their component is their own id. A null
     id takes part; it is named only if no id of the component is known. Repeated rows and ids give a row
-    each. Other columns are not read; an empty table gives no rows. `node` is the hash of the set.
+    each. Other columns are not read; an empty table gives no rows.
     """
     kept = [] if kept is None else kept
-    source = docs.selectExpr(f"cast(`{id_col}` as long) AS id", f"`{text_col}` AS text")
-    own = cut(source.mapInArrow(_sets(words_each, True, None), "id long, node long, size long"), kept)
-    rows = source.select("text").mapInArrow(_parts(words_each, percent), "key long, node long, extra int")
-    met = meet(rows, kept)
+    named = linked_rows(docs, id_col, text_col, words_each, percent, kept)
+    least = cut(named.filter("size > 0").groupBy("part").agg(F.min("id").alias("least")), kept)
+    full = named.filter("size > 0").join(least, "part").select("id", "size", F.col("least").alias("component_id"))
+    none = named.filter("size = 0").select("id", "size", F.col("id").alias("component_id"))
+    return full.union(none).toDF(id_col, "n_shingles", "component_id")
 
-    def fetch(bits: np.ndarray) -> DataFrame:
-        return source.select("text").mapInArrow(_sets(words_each, False, bits), SETS)
 
-    label = resolve(met, fetch, percent, kept)
-    named = own.join(label.toDF("node", "part"), "node", "left")
-    named = cut(named.select("id", "node", "size", F.coalesce("part", "node").alias("part")), kept)
-    least = cut(named.filter("size > 0").groupBy("part").agg(F.min("id").alias("least")), kept)
-    full = named.filter("size > 0").join(least, "part").select("id", "size", F.col("least").alias("component_id"), "node")
-    none = named.filter("size = 0").select("id", "size", F.col("id").alias("component_id"), "node")
-    return full.union(none).toDF(id_col, "n_shingles", "component_id", "node")
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, percent: int = 80, kept: list[str] | None = None
+) -> DataFrame:
+    """`docs`, all columns, with one row of each component: that with the smallest id (a null one last),
+    then text hash; of rows that repeat both, any one. Rows without words all stay. An empty table stays
+    empty."""
+    kept = [] if kept is None else kept
+    named = linked_rows(docs, id_col, text_col, words_each, percent, kept).filter("size > 0")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "same")
+    chosen = cut(named.groupBy("part").agg(F.min(place).alias("chosen")), kept)
+    judged = named.join(chosen, "part").groupBy("id", "same").agg(F.count("*").alias("rows"), F.bool_or(place == F.col("chosen")).alias("stays"))
+    judged = cut(judged.filter("rows > 1 OR NOT stays").toDF("__id", "__same", "__rows", "__stays"), kept)
+    same = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    here = lambda d: d.withColumn("__text", same)
+    match = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__same"))
+    stay = here(docs).join(judged, match, "left_anti")
+    again = judged.filter("__stays")
+    if again.limit(1).count():
+        once = here(docs).join(again, match, "left_semi").dropDuplicates([id_col, "__text"])
+        stay = stay.unionByName(once)
+    return stay.drop("__text")

@@ -54,7 +54,7 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.a = d.doc_id GRO
 @query("op2_ngram_jaccard_join", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linked documents by 4-word shingles at 85 %."""
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 @query("op5_packing")
@@ -136,3 +136,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of 50 words or more that occur again."""
     return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one document of each group of near copies (five words, 80 %)."""
+    return jaccard_join.one_of_each(docs)
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: documents that leak no benchmark item."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
