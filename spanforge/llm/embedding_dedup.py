@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def _project(trees: int, levels: int, seed: int):
                     a = np.random.default_rng([seed, int(d)]).standard_normal((trees * levels, int(d)))
                     axes[d] = a / np.linalg.norm(a, axis=1, keepdims=True)
                 here = np.flatnonzero(dim == d)
-                x = np.array(batch.column("v").take(pa.array(here)).to_pylist(), dtype=np.float64)
+                x = batch.column("v").take(pa.array(here)).flatten().to_numpy().astype(np.float64).reshape(len(here), -1)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 ps = x @ axes[d].T
                 # equal projections of different vectors are told apart, far below any margin
@@ -83,29 +84,27 @@ def grow(vectors: DataFrame, trees: int, leaf: int, margin: float, levels: int,
 def _links(cells: np.ndarray, mine: np.ndarray, node: np.ndarray, weight: np.ndarray, x: np.ndarray, half: np.ndarray, least: float):
     """Of one leaf: per node the weight of linked nodes whose smallest common leaf it is, and a root."""
     norm = np.sqrt((x * x).sum(axis=1))
-    n = len(node)
     near = (x @ x.T) / (norm[:, None] * norm[None]) >= least
     np.fill_diagonal(near, False)
     if half[0] != 2:
         near &= half[:, None] != half[None]
+    some = np.flatnonzero(near.any(axis=1))
+    near, node, weight, cells = near[some][:, some], node[some], weight[some], cells[some]
+    n = len(some)
     label = np.arange(n)
-    while True:
-        low = np.minimum(label, np.where(near, label[None], n).min(axis=1, initial=n))
+    while n:
+        low = np.minimum(label, np.where(near, label[None], n).min(axis=1))
         low = low[low]
         if (low == label).all():
             break
         label = low
-    i, j = np.nonzero(np.triu(near))
-    links = np.zeros(n, dtype=np.int64)
-    for at in range(0, len(i), 4096):
-        a, b = i[at : at + 4096], j[at : at + 4096]
-        same = cells[a][:, :, None] == cells[b][:, None, :]
-        common = np.where(same & (cells[a] != -1)[:, :, None], cells[a][:, :, None], np.iinfo(np.int64).max).min(axis=(1, 2))
-        first = common == mine
-        np.add.at(links, a[first], weight[b[first]])
-        np.add.at(links, b[first], weight[a[first]])
-    some = near.any(axis=1)
-    return node[some], links[some], node[label[some]]
+    # pairs that share a smaller leaf are counted there
+    smaller = np.unique(cells[(cells != -1) & (cells < mine)])
+    held = np.zeros((n, len(smaller)), dtype=np.float32)
+    i, j = np.nonzero((cells != -1) & (cells < mine))
+    held[i, np.searchsorted(smaller, cells[i, j])] = 1
+    first = near & (held @ held.T == 0)
+    return node, first @ weight, node[label]
 
 
 def _compare(least: float):
@@ -129,16 +128,16 @@ def _compare(least: float):
             t = pa.Table.from_batches(held)
             if t.num_rows < 2:
                 continue
-            lists = t["leaves"].to_pylist()
-            cells = np.full((len(lists), max(map(len, lists))), -1, dtype=np.int64)
-            for k, some in enumerate(lists):
-                cells[k, : len(some)] = some
-            x = np.array(t["v"].to_pylist(), dtype=np.float64)
+            lists = t["leaves"].combine_chunks()
+            sizes = pc.list_value_length(lists).to_numpy()
+            cells = np.full((len(sizes), sizes.max()), -1, dtype=np.int64)
+            cells[np.arange(sizes.max())[None] < sizes[:, None]] = lists.flatten().to_numpy()
+            x = t["v"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(sizes), -1)
             node, half = t["node"].to_numpy(), t["half"].to_numpy()
             # two nodes' shared leaf is compared in one task or one pair of blocks: count it there
             out = _links(cells, t["leaf"][0].as_py(), node, t["weight"].to_numpy(), x, half, least)
             if len(out[0]):
-                yield pa.record_batch([pa.array(c) for c in out], ["node", "links", "root"])
+                yield pa.record_batch([pa.array(c.astype(np.int64)) for c in out], ["node", "links", "root"])
 
     return run
 
