@@ -1,8 +1,10 @@
 """Near-duplicates among embeddings by a forest of random-projection trees.
 
 A tree splits a cell near the median of a random projection; vectors close to the split go to both sides
-(spill). Cells of more than `leaf` vectors are split again, whatever the number of vectors. Only vectors of
-one leaf are compared, exactly; links of all trees are counted once and joined into components.
+(spill). Cells of more than `leaf` vectors are split again, whatever the number of vectors, but for cells
+that are mostly one cluster narrower than the spill: no split helps there, and they are compared as pairs of
+blocks. Only vectors of one leaf are compared, exactly; links of all trees are counted once and joined into
+components.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from spanforge.llm.components import components
 from spanforge.llm.stage import cut, one_row
 
-SPILL = 0.1  # largest part of a cell that goes to the other side as well, on each side of the median
+CHILD = 0.75  # a cell is split only if each side, with its spill, has this part of it at most
 
 
 def _project(trees: int, levels: int, seed: int):
@@ -61,20 +63,18 @@ def grow(vectors: DataFrame, trees: int, leaf: int, margin: float, levels: int,
     active, done = cut(active, kept), []
     for level in range(levels):
         p = F.get("ps", F.lit(level))
-        big = active.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx(p, [0.5 - SPILL, 0.5, 0.5 + SPILL], 500).alias("q"))
-        big = cut(big.filter(F.col("n") > leaf).select("cell", "q"), kept)
+        big = active.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx(p, [1 - CHILD, 0.5, CHILD], 500).alias("q"))
+        low, mid, high = (F.get("q", F.lit(k)) for k in range(3))
+        big = big.filter((F.col("n") > leaf) & (mid + margin <= high) & (mid - margin >= low))
+        big = cut(big.select("cell", mid.alias("mid")), kept)
         if not big.limit(1).count():
             break
-        low, mid, high = (F.get("q", F.lit(k)) for k in range(3))
         sides = F.array_compact(
-            F.array(
-                F.when(p <= mid + F.least(F.lit(margin), high - mid), F.xxhash64("cell", F.lit(1))),
-                F.when(p > mid - F.least(F.lit(margin), mid - low), F.xxhash64("cell", F.lit(2))),
-            )
+            F.array(F.when(p <= F.col("mid") + margin, F.xxhash64("cell", F.lit(1))), F.when(p > F.col("mid") - margin, F.xxhash64("cell", F.lit(2))))
         )
         both = active.join(big, "cell", "left")
-        done.append(cut(both.filter("q IS NULL").select("node", "cell"), kept))
-        active = cut(both.filter("q IS NOT NULL").select("node", F.explode(sides).alias("cell"), "ps"), kept)
+        done.append(cut(both.filter("mid IS NULL").select("node", "cell"), kept))
+        active = cut(both.filter("mid IS NOT NULL").select("node", F.explode(sides).alias("cell"), "ps"), kept)
     leaves = active.select("node", "cell")
     for part in done:
         leaves = leaves.union(part)
@@ -175,7 +175,7 @@ def near_duplicates(
     )
     nodes = cut(nodes.withColumn("dim", F.size("v")), kept)
     sizes = one_row(nodes.groupBy("grp").agg(F.count("*").alias("n"), F.any_value("dim").alias("d")).agg(F.max("n").alias("n"), F.min("d").alias("d")))
-    levels = 1 if not sizes["n"] else 3 + max(0, math.ceil(math.log(sizes["n"] / leaf) / math.log(1 / (0.5 + SPILL))))
+    levels = 1 if not sizes["n"] else 3 + max(0, math.ceil(math.log(sizes["n"] / leaf) / math.log(1 / CHILD)))
     # a linked pair's difference in a projection has about this deviation
     margin = 1.25 * math.sqrt(max(2 - 2 * least, 0) / (sizes["d"] or 1))
     leaves = cut(grow(nodes.select("node", "grp", "dim", "v"), trees, leaf, margin, levels, seed, kept), kept)
