@@ -209,7 +209,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         new = np.ones(len(path), dtype=bool)
         new[1:] = (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])
         head = np.flatnonzero(new) if len(path) and path[0] >= 0 else np.zeros(0, np.int64)
-        tail = np.append(head[1:], len(path)) - 1
+        tail = np.append(head[1:], len(path))[: len(head)] - 1
         start, stop = text.begins[head], text.begins[tail] + text.size[tail]
         name = [model.langs[k] for k in path[head]] if len(head) else []
         values = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(name, pa.string())], fields=list(spans.value_type))
