@@ -9,7 +9,7 @@ Nodes are sets of shingles (by a 64-bit hash), not documents, so copies cost not
 rows. The steps, none of which lists all pairs of a group:
 
 1. rows (part key, node) are shuffled and sorted; runs of a key are streamed and each node is paired with
-   the first of its run only,
+   the first of its run and two others before it only,
 2. these pairs are compared by a folded sketch and then exactly, and linked nodes form components,
 3. keys whose nodes are in several components are what is left. Since pairs share 1 + S keys, each node may
    leave out its S most common keys (in one global order) and still meet every partner, which removes
@@ -176,9 +176,9 @@ def _parts(n: int, percent: int):
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (key, node): every distinct node of a run of two or more, beside its first; and
-    once, with extra -1, a node that a key has more than once."""
-    last = None  # (key, node, extra, first node of the run, is that row given, is it a repetition)
+    """Over rows sorted by (key, node): every distinct node of a run of two or more, beside the first of the
+    run and two before it; and once, with extra -1, a node that a key has more than once."""
+    last = None  # (key, node, extra, first node of the run, node before, node long before, is that row given, is it a repetition)
     for batch in batches:
         key, node, extra = (np.asarray(batch.column(c)) for c in ("key", "node", "extra"))
         if not len(key):
@@ -188,8 +188,8 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again[0] = last is not None and key[0] == last[0] and node[0] == last[1]
         second = again.copy()
         second[1:] &= ~again[:-1]
-        second[0] &= last is None or not last[5]
-        rows = [(key[second], node[second], np.full(second.sum(), -1, dtype=np.int32), node[second])]
+        second[0] &= last is None or not last[7]
+        rows = [(key[second], node[second], np.full(second.sum(), -1, dtype=np.int32), node[second], node[second], node[second])]
         ended_again = bool(again[-1])
         key, node, extra = key[~again], node[~again], extra[~again]
         if len(key):
@@ -199,17 +199,21 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head[0] = not carried
             place = np.maximum.accumulate(np.where(head, np.arange(len(key)), -1))
             first = np.where(place >= 0, node[np.maximum(place, 0)], last[3] if last else 0)
+            before = np.where(head, node, np.concatenate([[last[1] if carried else 0], node[:-1]]))
+            # one more, eight places before in the run where there are so many
+            far = np.arange(len(node)) - 8
+            earlier = np.where((far >= 0) & (far >= place), node[np.maximum(far, 0)], node)
             give = ~head
             give[:-1] |= ~head[1:]  # another node follows in the run
-            if carried and not last[4]:
-                rows.append(tuple(np.array([x]) for x in last[:4]))
-            rows.append((key[give], node[give], extra[give], first[give]))
-            last = (key[-1], node[-1], extra[-1], first[-1], bool(give[-1]), ended_again)
+            if carried and not last[6]:
+                rows.append(tuple(np.array([x]) for x in last[:6]))
+            rows.append((key[give], node[give], extra[give], first[give], before[give], earlier[give]))
+            last = (key[-1], node[-1], extra[-1], first[-1], before[-1], earlier[-1], bool(give[-1]), ended_again)
         else:
-            last = (*last[:5], ended_again)
-        key, node, extra, first = (np.concatenate(c) for c in zip(*rows, strict=True))
+            last = (*last[:7], ended_again)
+        key, node, extra, first, before, earlier = (np.concatenate(c) for c in zip(*rows, strict=True))
         if len(key):
-            yield pa.record_batch([pa.array(key), pa.array(node), pa.array(extra.astype(np.int32)), pa.array(first)], ["key", "node", "extra", "first"])
+            yield pa.record_batch([pa.array(x) for x in (key, node, extra.astype(np.int32), first, before, earlier)], ["key", "node", "extra", "first", "before", "earlier"])
 
 
 def _near(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
@@ -319,10 +323,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, kept: list[str]) ->
 
 
 def meet(rows: DataFrame, kept: list[str]) -> DataFrame:
-    """Rows (key, node, extra) of keys with two nodes or more, each beside the first node of its key; and,
+    """Rows (key, node, extra) of keys with two nodes or more, each beside the first of its key and two before; and,
     with extra -1, nodes that a key has several times."""
     met = rows.repartition("key").sortWithinPartitions("key", "node")
-    return cut(met.mapInArrow(_meetings, "key long, node long, extra int, first long"), kept)
+    return cut(met.mapInArrow(_meetings, "key long, node long, extra int, first long, before long, earlier long"), kept)
 
 
 def resolve(met: DataFrame, fetch: Callable[[np.ndarray], DataFrame], percent: int, kept: list[str]) -> DataFrame:
@@ -333,7 +337,8 @@ def resolve(met: DataFrame, fetch: Callable[[np.ndarray], DataFrame], percent: i
     sets = fetch(filter_bits(met.select("node").distinct()))
     sets = cut(sets.groupBy("node").agg(F.first("size").alias("size"), F.first("folded").alias("folded"), F.first("set").alias("set")), kept)
 
-    stars = met.filter("first <> node").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct()
+    near = met.select("node", F.explode(F.array("first", "before", "earlier")).alias("other")).filter("other <> node")
+    stars = near.select(F.least("other", "node").alias("a"), F.greatest("other", "node").alias("b")).distinct()
     links = _linked(cut(stars, kept), sets, percent, kept)
     label = components(links, kept)
 
