@@ -209,7 +209,7 @@ def to_fields(hosted: DataFrame) -> DataFrame:
         F.when(t == "CODE_UNIT_STARTED", unit["unit_type"]).alias("unit_type"),
         own_ns.alias("own_ns"),
         candidate.alias("candidate"),
-        F.when((t == "DML_BEGIN") & x.part(4).startswith("Type:"), F.substring(x.part(4), 6, 100000)).alias("sobject_type"),
+        F.when((t == "DML_BEGIN") & x.part(4).startswith("Type:"), F.substr(x.part(4), F.lit(6))).alias("sobject_type"),
         F.when(t == "SOQL_EXECUTE_BEGIN", F.coalesce(aggregations, F.lit(0))).alias("aggregations"),
         F.when(t == "SOQL_EXECUTE_EXPLAIN", x.plan_fields(x.part_or_empty(3))).alias("plan"),
         F.struct(*[limit[n].alias(n) for n in limit]).alias("limit_obs"),

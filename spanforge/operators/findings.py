@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as tx
@@ -27,7 +26,6 @@ DEBUG_LINES = 50
 NEAR_LIMIT = 0.8
 HOT_SHARE = 0.2
 ROWS_PER_QUERY = 1.5
-LINTED_TEXTS = 250
 TRUNCATION, LIMIT, OTHER = 0, 1, 2
 SEVERITIES = ["Error", "Warning", "Info"]
 
@@ -282,18 +280,11 @@ def find_debug(spans: DataFrame) -> DataFrame:
     )
 
 
-def linted_texts(spans: DataFrame, max_texts: int | None = LINTED_TEXTS) -> DataFrame:
-    """Distinct query texts, most frequent first, with one boolean per lint rule.
-
-    The checks look at the most repeated texts only; `max_texts=None` checks all. In-trigger is
-    judged at the first run.
-    """
+def linted_texts(spans: DataFrame) -> DataFrame:
+    """Distinct query texts with one boolean per lint rule. In-trigger is judged at the first run."""
     rows = spans.filter(F.col("type") == "SOQL_EXECUTE_BEGIN")
     keys = ["log_id", "text"]
     texts = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("event_index").alias("event_index"))
-    if max_texts is not None:
-        order = W.partitionBy("log_id").orderBy(F.desc("n"), "event_index")
-        texts = texts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max_texts)
     timed = texts.join(group_time(rows.select(*keys, "event_index", "last_index", "dur_total"), keys), keys)
     located = timed.join(rows.select(*KEY, "path"), KEY)
     linked = chain_of(located, spans, {"a_text": F.col("text")})
@@ -319,11 +310,11 @@ def find_lint(texts: DataFrame) -> DataFrame:
     )
 
 
-def find_statistics(spans: DataFrame, max_texts: int | None = LINTED_TEXTS) -> DataFrame:
+def find_statistics(spans: DataFrame) -> DataFrame:
     """Findings that need nothing but spans."""
     parts = [
         find_exceptions(spans),
-        find_lint(linted_texts(spans, max_texts)),
+        find_lint(linted_texts(spans)),
         find_repeats_line(spans),
         find_repeats_text(spans),
         find_row_at_a_time(spans),
@@ -337,13 +328,13 @@ def find_statistics(spans: DataFrame, max_texts: int | None = LINTED_TEXTS) -> D
     return out
 
 
-def findings(spans: DataFrame, issues: DataFrame, totals: DataFrame, max_texts: int | None = LINTED_TEXTS) -> DataFrame:
+def findings(spans: DataFrame, issues: DataFrame, totals: DataFrame) -> DataFrame:
     """All findings of all logs."""
     return (
         find_truncation(issues)
         .unionByName(find_limits(spans, totals))
         .unionByName(find_anomalies(issues))
-        .unionByName(find_statistics(spans, max_texts))
+        .unionByName(find_statistics(spans))
     )
 
 
@@ -389,7 +380,7 @@ def scope_findings(found: DataFrame, proof: DataFrame, spans: DataFrame, selecte
     return found.join(direct.unionByName(by_proof).distinct(), ["log_id", "id"], "left_semi")
 
 
-def findings_coverage(spans: DataFrame, logs: DataFrame, max_texts: int | None = LINTED_TEXTS) -> DataFrame:
+def findings_coverage(spans: DataFrame, logs: DataFrame) -> DataFrame:
     """Whether plans were logged, linted of distinct query texts, and the log time."""
     queries = spans.filter(F.col("type") == "SOQL_EXECUTE_BEGIN")
     distinct = queries.groupBy("log_id", "text").agg(F.lit(1).alias("one"))
@@ -402,11 +393,10 @@ def findings_coverage(spans: DataFrame, logs: DataFrame, max_texts: int | None =
         .agg(F.lit(True).alias("plans"))
     )
     n = F.coalesce("distinct_texts", F.lit(0))
-    linted = n if max_texts is None else F.least(n, F.lit(max_texts))
     return logs.join(texts, "log_id", "left").join(plans, "log_id", "left").select(
         "log_id",
         F.coalesce("plans", F.lit(False)).alias("plans_known"),
-        linted.alias("linted"),
+        n.alias("linted"),
         n.alias("distinct_texts"),
         F.col("duration_ns").alias("log_ns"),
     )

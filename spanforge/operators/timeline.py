@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.operators.rollup import lookup
-from spanforge.operators.scan import covered_slices, running
+from spanforge.operators.scan import covered_slices, running, slice_of, whole
 from spanforge.operators.tree import covered
 from spanforge.schema import CATEGORIES, CHUNK, KEY
 from spanforge.session import cut
@@ -18,7 +18,7 @@ PRIORITY = ["DML", "SOQL", "Callout", "Apex", "Code Unit", "System", "Automation
 WEIGHTS = {"DML": 2.5, "SOQL": 2.5, "Callout": 1.5, "System": 0.8, "Automation": 0.8, "Validation": 0.8}
 
 # Marker kinds by rising severity.
-SEVERITY_RANK = {"skip": 1, "unexpected": 2, "error": 3, "exception": 4}
+SEVERITY_RANK = {"skip": 1, "unexpected": 2, "exception": 3}
 
 
 def timed_spans(spans: DataFrame) -> DataFrame:
@@ -47,12 +47,23 @@ def _priority() -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("category")), F.lit(99))
 
 
-def bucket_frames(frame_rows: DataFrame, width_ns: int) -> DataFrame:
-    """Frames by depth and time bucket: count, and the category that wins by priority, time, count."""
+def wide_frames(frame_rows: DataFrame, width_ns: int) -> DataFrame:
+    """Frames wider than a bucket, which are drawn as they are."""
+    return frame_rows.filter(F.col("total_ns") > width_ns)
+
+
+def bucket_categories(frame_rows: DataFrame, width_ns: int) -> DataFrame:
+    """Frames no wider than a bucket by depth, bucket of their start and category."""
     bucket = F.expr(f"start_ns div {width_ns}")
-    per_category = frame_rows.groupBy("log_id", "depth", bucket.alias("bucket"), "category").agg(
-        F.count("*").alias("n"), F.sum("total_ns").alias("time")
+    narrow = frame_rows.filter(F.col("total_ns") <= width_ns)
+    return narrow.groupBy("log_id", "depth", bucket.alias("bucket"), "category").agg(
+        F.count("*").alias("events"), F.sum("total_ns").alias("time_ns")
     )
+
+
+def bucket_frames(frame_rows: DataFrame, width_ns: int) -> DataFrame:
+    """Buckets of `bucket_categories`: count, time, and the category that wins by priority, time, count."""
+    per_category = bucket_categories(frame_rows, width_ns).withColumnsRenamed({"events": "n", "time_ns": "time"})
     wins = F.struct((-_priority()).alias("p"), "time", "n")
     return per_category.groupBy("log_id", "depth", "bucket").agg(
         F.sum("n").alias("events"),
@@ -68,11 +79,12 @@ def frames_in(frame_rows: DataFrame, t0: int, t1: int, d0: int, d1: int) -> Data
     )
 
 
-def _in_buckets(frame_rows: DataFrame, n_buckets: int) -> DataFrame:
-    """Frames repeated once per bucket they touch (at most n_buckets), with the overlap."""
-    ends = frame_rows.groupBy("log_id").agg(F.max("end_ns").alias("whole_ns"))
-    # One row per log on the small side; a hot log's frames are split by the skew join.
-    joined = frame_rows.join(ends, "log_id")
+def _in_buckets(frame_rows: DataFrame, n_buckets: int, size: int) -> DataFrame:
+    """Frames repeated once per bucket they touch (at most n_buckets), with the overlap.
+
+    The length of the log joins in per slice of its frames, so no join key has more rows than a slice.
+    """
+    joined = whole(frame_rows, ["log_id"], slice_of("event_index", size), {"whole_ns": ("max", F.col("end_ns"))})
     width = F.col("whole_ns") / F.lit(n_buckets)
     first = F.greatest(F.lit(0), F.floor(F.col("start_ns") / width)).cast("long")
     last = F.least(F.lit(n_buckets - 1), F.floor(F.col("end_ns") / width)).cast("long")
@@ -82,29 +94,34 @@ def _in_buckets(frame_rows: DataFrame, n_buckets: int) -> DataFrame:
     return spread.withColumn("overlap", overlap)
 
 
-def density(frame_rows: DataFrame, n_buckets: int) -> DataFrame:
-    """Per bucket: deepest frame, frames touching it, and self time by share of overlap.
+def _every_bucket(frame_rows: DataFrame, n_buckets: int) -> DataFrame:
+    logs = frame_rows.select("log_id").distinct()
+    return logs.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_buckets - 1).cast("long"))))
 
-    Empty buckets are not stored; they are 0.
-    """
+
+def density(frame_rows: DataFrame, n_buckets: int, size: int = CHUNK) -> DataFrame:
+    """Per bucket, empty ones included: deepest frame, frames touching it, self time by share of overlap."""
     length = F.col("end_ns") - F.col("start_ns")
     share = F.when(length > 0, F.col("overlap") / length).otherwise(0.0)
-    return _in_buckets(frame_rows, n_buckets).groupBy("log_id", "bucket").agg(
-        F.max("depth").alias("max_depth"),
-        F.count("*").alias("events"),
-        F.sum(F.col("self_ns") * share).alias("self_ns"),
+    touched = _in_buckets(frame_rows, n_buckets, size).select(
+        "log_id", "bucket", "depth", F.lit(1).alias("one"), (F.col("self_ns") * share).alias("part")
+    )
+    none = _every_bucket(frame_rows, n_buckets).withColumns({"depth": F.lit(0), "one": F.lit(0), "part": F.lit(0.0)})
+    return touched.unionByName(none).groupBy("log_id", "bucket").agg(
+        F.max("depth").alias("max_depth"), F.sum("one").alias("events"), F.sum("part").alias("self_ns")
     )
 
 
 def skyline(frame_rows: DataFrame, n_buckets: int, size: int = CHUNK) -> DataFrame:
-    """Category seen from above per bucket: weighted time with no deeper frame over it.
+    """Category seen from above per bucket: weighted time with no deeper frame over it; Apex where
+    there is no frame.
 
     The time on top of a frame in a bucket is its overlap minus that of its child frames, so a
     child adds to its own category and takes from its parent's; no sweep over boundaries.
     """
     parents = frame_rows.withColumn("p_category", F.col("category"))
     linked = lookup(frame_rows, "parent_index", parents, {"p_category": F.col("p_category")}, size)
-    spread = _in_buckets(linked, n_buckets).withColumn("overlap", F.greatest("overlap", F.lit(0.0)))
+    spread = _in_buckets(linked, n_buckets, size).withColumn("overlap", F.greatest("overlap", F.lit(0.0)))
     parts = spread.select(
         "log_id", "bucket",
         F.explode(
@@ -121,7 +138,7 @@ def skyline(frame_rows: DataFrame, n_buckets: int, size: int = CHUNK) -> DataFra
     weight = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("category")), F.lit(1.0))
     # Rounding keeps a fully covered category from winning on the last bits of a difference.
     score = F.round(F.col("time") * weight, 3)
-    return (
+    seen = (
         on_top.filter(F.col("frames") > 0)
         .groupBy("log_id", "bucket")
         .agg(
@@ -135,6 +152,8 @@ def skyline(frame_rows: DataFrame, n_buckets: int, size: int = CHUNK) -> DataFra
             F.when((F.col("categories") > 1) & (F.col("score") <= 0), "Apex").otherwise(F.col("best")).alias("category"),
         )
     )
+    every = _every_bucket(frame_rows, n_buckets)
+    return every.join(seen, ["log_id", "bucket"], "left").fillna("Apex", ["category"])
 
 
 def event_at(spans: DataFrame, probes: DataFrame, slice_ns: int = SECOND, size: int = CHUNK) -> DataFrame:
@@ -170,8 +189,11 @@ def event_at(spans: DataFrame, probes: DataFrame, slice_ns: int = SECOND, size:
 
 
 def markers(issues: DataFrame, exceptions: DataFrame) -> DataFrame:
-    """Issue and exception markers with rank and width; sort by time, then severity."""
-    from_issues = issues.filter(F.col("type").isin("skip", "unexpected", "error")).select(
+    """Issue and exception markers with rank and width; sort by time, then severity.
+
+    Issues of limits and fatal errors have an exception event that is a marker already.
+    """
+    from_issues = issues.filter(F.col("type").isin("skip", "unexpected")).select(
         "log_id", "event_index", F.col("type").alias("kind"), "start_ns", "end_ns", "summary"
     )
     thrown = exceptions.select(

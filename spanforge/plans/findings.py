@@ -150,8 +150,7 @@ def _(spark, sf):
 
 _LINT = (
     STATEMENTS
-    + """, q AS (SELECT log_id, text, count(*) AS n, sum(dur_total) AS t, min(event_index) AS pos FROM st WHERE kind = 'SOQL' GROUP BY log_id, text
-  QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY count(*) DESC, min(event_index)) <= 250)
+    + """, q AS (SELECT log_id, text, count(*) AS n, sum(dur_total) AS t, min(event_index) AS pos FROM st WHERE kind = 'SOQL' GROUP BY log_id, text)
 """
 )
 
@@ -236,8 +235,7 @@ def _(spark, sf):
 _STATS = (
     _CALLED
     + """, lint AS (SELECT log_id, 'Info' AS severity, 'soql' AS rule FROM (
-    SELECT log_id, text, row_number() OVER (PARTITION BY log_id ORDER BY count(*) DESC, min(event_index)) AS rn
-    FROM st WHERE kind = 'SOQL' GROUP BY log_id, text) WHERE rn <= 250 AND contains(text, 'ORDER BY') AND NOT contains(text, 'LIMIT') GROUP BY log_id),
+    SELECT DISTINCT log_id, text FROM st WHERE kind = 'SOQL') WHERE contains(text, 'ORDER BY') AND NOT contains(text, 'LIMIT') GROUP BY log_id),
 every AS (
   SELECT * FROM lint
   UNION ALL SELECT log_id, 'Warning', 'repeat-line' FROM called GROUP BY log_id, kind, site, text HAVING count(*) >= 5
@@ -262,7 +260,7 @@ def _(spark, sf):
 @query(
     "q16_findings_coverage",
     STATEMENTS
-    + """SELECT l.log_id, FALSE AS plans_known, least(count(DISTINCT text), 250) AS linted, count(DISTINCT text) AS distinct_texts,
+    + """SELECT l.log_id, FALSE AS plans_known, count(DISTINCT text) AS linted, count(DISTINCT text) AS distinct_texts,
   any_value(exit_ns - start_ns) AS log_ns FROM logs l JOIN st USING (log_id) WHERE kind = 'SOQL' GROUP BY l.log_id""",
 )
 def _(spark, sf):
@@ -426,10 +424,10 @@ _IN_A = "(type = 'METHOD_ENTRY' AND namespace = 'pkg' AND dur_total > 45000)"
     "f1_filter_deep",
     TREE
     + f""", hit AS (SELECT * FROM tree WHERE {_IN_A})
-SELECT t.log_id, t.event_index FROM tree t WHERE {_IN_A}
-  OR (depth = 0 AND EXISTS (SELECT 1 FROM hit h WHERE h.nk = t.nk))
-  OR (depth = 1 AND EXISTS (SELECT 1 FROM hit h WHERE h.ck = t.ck))
-  OR (depth = 2 AND EXISTS (SELECT 1 FROM hit h WHERE h.ok = t.ok))""",
+SELECT log_id, event_index FROM hit
+UNION SELECT t.log_id, t.event_index FROM tree t SEMI JOIN hit h ON h.nk = t.nk WHERE t.depth = 0
+UNION SELECT t.log_id, t.event_index FROM tree t SEMI JOIN hit h ON h.ck = t.ck WHERE t.depth = 1
+UNION SELECT t.log_id, t.event_index FROM tree t SEMI JOIN hit h ON h.ok = t.ok WHERE t.depth = 2""",
 )
 def _(spark, sf):
     return grids.filter_deep(order_tree(spark, sf), F.expr(_IN_A)).select("log_id", "event_index")

@@ -89,7 +89,7 @@ numbered AS (
          coalesce(hb, 0) AS hn, greatest(coalesce(hb, 0), 0) AS hg
   FROM node
   WINDOW w AS (PARTITION BY log_id ORDER BY nk, ck, ok, ln, lp, ls, lx)),
-tree AS (
+tree AS MATERIALIZED (
   SELECT log_id, event_index, depth, type, namespace, text, category, is_parent, line_number,
          sobject_type, nk, ck, ok, dur_self, ts_ns,
          dml_count_self, soql_count_self, sosl_count_self, dml_rows_self, soql_rows_self,

@@ -40,7 +40,7 @@ _PRIO = "CASE category WHEN 'DML' THEN 0 WHEN 'SOQL' THEN 1 WHEN 'Callout' THEN
 @query(
     "x3_bucket_frames",
     FRAMES
-    + f""", c AS (SELECT log_id, depth, start_ns // 1000000 AS bucket, category, count(*) AS n, sum(total_ns) AS t FROM fr GROUP BY ALL),
+    + f""", c AS (SELECT log_id, depth, start_ns // 1000000 AS bucket, category, count(*) AS n, sum(total_ns) AS t FROM fr WHERE total_ns <= 1000000 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY log_id, depth, bucket ORDER BY {_PRIO}, t DESC, n DESC) AS rn FROM c)
 SELECT log_id, depth, bucket, CAST(sum(n) AS BIGINT) AS events, CAST(sum(t) AS BIGINT) AS time_ns,
   max(CASE WHEN rn = 1 THEN category END) AS dominant FROM r GROUP BY ALL""",
@@ -49,6 +49,22 @@ def _(spark, sf):
     return tl.bucket_frames(tl.frames(order_tree(spark, sf)), 1_000_000)
 
 
+@query(
+    "x3_bucket_categories",
+    FRAMES
+    + """SELECT log_id, depth, start_ns // 1000000 AS bucket, category, count(*) AS events, CAST(sum(total_ns) AS BIGINT) AS time_ns
+FROM fr WHERE total_ns <= 1000000 GROUP BY ALL""",
+)
+def _(spark, sf):
+    return tl.bucket_categories(tl.frames(order_tree(spark, sf)), 1_000_000)
+
+
+@query("x3_wide_frames", FRAMES + "SELECT log_id, event_index, depth, category FROM fr WHERE total_ns > 1000000")
+def _(spark, sf):
+    frames = tl.frames(order_tree(spark, sf))
+    return tl.wide_frames(frames, 1_000_000).select("log_id", "event_index", "depth", "category")
+
+
 @query(
     "x4_frames_in_region",
     FRAMES + "SELECT log_id, event_index FROM fr WHERE end_ns > 5000000 AND start_ns < 90000000 AND depth BETWEEN 1 AND 2",
@@ -64,13 +80,17 @@ sp AS (SELECT f.*, width, unnest(range(CAST(greatest(0, floor(start_ns / width))
 ov AS (SELECT *, greatest(least(CAST(end_ns AS DOUBLE), (bucket + 1) * width) - greatest(CAST(start_ns AS DOUBLE), bucket * width), 0) AS overlap FROM sp)
 """
 
+_EVERY = f", every AS (SELECT log_id, unnest(range({N})) AS bucket FROM (SELECT DISTINCT log_id FROM fr)) "
+
 
 @query(
     "x5_density",
     FRAMES
     + _SPREAD
-    + """SELECT log_id, bucket, max(depth) AS max_depth, count(*) AS events,
-  round(sum(self_ns * (overlap / (end_ns - start_ns))), 2) AS self_ns FROM ov GROUP BY ALL""",
+    + _EVERY
+    + """SELECT log_id, bucket, coalesce(max(depth), 0) AS max_depth, count(depth) AS events,
+  coalesce(round(sum(self_ns * (overlap / (end_ns - start_ns))), 2), 0.0) AS self_ns
+FROM every LEFT JOIN ov USING (log_id, bucket) GROUP BY ALL""",
 )
 def _(spark, sf):
     return tl.density(tl.frames(order_tree(spark, sf)), N).withColumn("self_ns", F.round("self_ns", 2))
@@ -83,9 +103,12 @@ def _(spark, sf):
     + """, child AS (SELECT log_id, bucket, parent_index AS event_index, sum(overlap) AS inner_t FROM ov GROUP BY ALL),
 top AS (SELECT o.log_id, o.bucket, o.category, sum(o.overlap - coalesce(c.inner_t, 0)) AS t FROM ov o
   LEFT JOIN child c USING (log_id, bucket, event_index) GROUP BY ALL),
-sc AS (SELECT *, round(t * CASE category WHEN 'DML' THEN 2.5 WHEN 'SOQL' THEN 2.5 ELSE 1 END, 3) AS score FROM top)
-SELECT log_id, bucket, category FROM sc
-QUALIFY row_number() OVER (PARTITION BY log_id, bucket ORDER BY score DESC) = 1""",
+sc AS (SELECT *, round(t * CASE category WHEN 'DML' THEN 2.5 WHEN 'SOQL' THEN 2.5 ELSE 1 END, 3) AS score FROM top),
+seen AS (SELECT log_id, bucket, category FROM sc
+QUALIFY row_number() OVER (PARTITION BY log_id, bucket ORDER BY score DESC) = 1)
+"""
+    + _EVERY
+    + "SELECT log_id, bucket, coalesce(category, 'Apex') AS category FROM every LEFT JOIN seen USING (log_id, bucket)",
 )
 def _(spark, sf):
     return tl.skyline(tl.frames(order_tree(spark, sf)), N)
@@ -115,8 +138,7 @@ def _(spark, sf):
     + """, e AS (SELECT log_id, idx, type, cents, ts_ns FROM ev WHERE is_event),
 last AS (SELECT log_id, max(ts_ns) AS last_ts FROM e GROUP BY log_id),
 skips AS (SELECT log_id, min(idx) AS host FROM ev WHERE type = 'view' AND cents % 2 = 0 AND idx > 0 AND NOT is_text GROUP BY log_id)
-SELECT log_id, idx AS event_index, 'exception' AS kind, ts_ns AS start_ns, 4 AS severity, 0 AS width_ns FROM e WHERE type = 'error'
-UNION ALL SELECT log_id, min(idx), 'error', min(ts_ns), 3, 0 FROM e WHERE type = 'error' GROUP BY log_id, cents % 3
+SELECT log_id, idx AS event_index, 'exception' AS kind, ts_ns AS start_ns, 3 AS severity, 0 AS width_ns FROM e WHERE type = 'error'
 UNION ALL SELECT e.log_id, max(idx), 'unexpected', any_value(last_ts), 2, 0 FROM e JOIN last USING (log_id) WHERE type = 'signup' GROUP BY e.log_id
 UNION ALL SELECT s.log_id, s.host, 'skip', h.ts_ns, 1, coalesce((SELECT min(n.ts_ns) FROM e n WHERE n.log_id = s.log_id
     AND n.type = 'signup' AND n.idx > s.host), l.last_ts) - h.ts_ns

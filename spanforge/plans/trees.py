@@ -478,8 +478,10 @@ def _(spark, sf):
     KEYED
     + """, sel AS (SELECT * FROM pk WHERE type = 'SOSL_EXECUTE_BEGIN')
 SELECT s.log_id, s.event_index, a.depth AS position, a.event_index AS frame_index, a.type, a.text
-FROM sel s JOIN tree a ON a.log_id = s.log_id AND ((a.depth = 0 AND a.nk = s.nk) OR (a.depth = 1 AND a.ck = s.ck)
-  OR a.event_index = s.event_index)""",
+FROM sel s JOIN (SELECT * FROM tree WHERE depth = 0) a ON a.nk = s.nk
+UNION ALL SELECT s.log_id, s.event_index, a.depth, a.event_index, a.type, a.text
+FROM sel s JOIN (SELECT * FROM tree WHERE depth = 1) a ON a.ck = s.ck
+UNION ALL SELECT log_id, event_index, depth, event_index, type, text FROM sel""",
 )
 def _(spark, sf):
     return tree.call_stack(order_tree(spark, sf), F.col("type") == "SOSL_EXECUTE_BEGIN")

@@ -324,7 +324,7 @@ def order_logs(spark: SparkSession, sf_dir: str, size: int = CHUNK) -> DataFrame
         ("CODE_UNIT_STARTED", ["CODE_UNIT_STARTED", "[EXTERNAL]", "01p", F.col("text")]),
         ("SOQL_EXECUTE_BEGIN", ["SOQL_EXECUTE_BEGIN", at, "Aggregations:0", F.col("text")]),
         ("DML_BEGIN", ["DML_BEGIN", at, "Op:Update", F.concat(F.lit("Type:"), "sobject_type"), rows("dml_rows_self")]),
-        ("SOSL_EXECUTE_BEGIN", ["SOSL_EXECUTE_BEGIN", at, F.substring("text", 7, 10_000)]),
+        ("SOSL_EXECUTE_BEGIN", ["SOSL_EXECUTE_BEGIN", at, F.substr("text", F.lit(7))]),
         ("HEAP_ALLOCATE", ["HEAP_ALLOCATE", at, F.col("text")]),
         otherwise=["METHOD_ENTRY", at, "01p", F.col("text")],
     )
