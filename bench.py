@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -47,7 +48,8 @@ def drain(df) -> None:
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "spanforge-bench")
+    shared = tempfile.mkdtemp(prefix="spanforge-bench-")
+    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "spanforge-bench", shared)
     spark.range(1000).count()
     seconds: dict[str, float] = {}
 

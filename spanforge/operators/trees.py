@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.operators.tree import contains, event_key, stack_key, with_chain
-from spanforge.schema import DEFAULT_LIMITS, METRICS
+from spanforge.schema import METRICS
 
 
 def _links() -> dict[str, Column]:
@@ -128,38 +128,43 @@ def method_metrics(spans: DataFrame) -> DataFrame:
     )
 
 
-def governor_cost(df: DataFrame, limits: Mapping[str, int] | None = None) -> DataFrame:
-    """Mean and maximum of the six used/limit percentages, and the used ones, largest first."""
-    known = DEFAULT_LIMITS | dict(limits or {})
-    shares = [
-        (label, F.col(used), known[metric])
-        for label, used, metric in COST_METRICS
-        if known[metric] > 0
-    ]
-    if not shares:
-        return df.withColumns({"governor_cost": F.lit(0.0), "governor_cost_max": F.lit(0.0)})
-    percents = F.array(*[used / F.lit(limit) * 100 for _, used, limit in shares])
-    parts = F.array(
+def log_limits(limits: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """One row per log with a column for the limit of each metric, from rows (log_id, metric, limit)."""
+    named = [F.max(F.when(F.col("metric") == m, F.col("limit"))).alias(f"__{m}") for m in metrics]
+    return limits.groupBy("log_id").agg(*named)
+
+
+def governor_cost(df: DataFrame, limits: DataFrame) -> DataFrame:
+    """Mean and maximum of the used/limit percentages, and the used ones, largest first.
+
+    `limits` are the logs' own (log_id, metric, limit), as in facts.governor_totals. A metric whose limit
+    the log does not report counts neither in the sum nor in the divisor; without any the cost is 0.
+    """
+    joined = df.join(log_limits(limits, [m for _, _, m in COST_METRICS]), "log_id", "left")
+    every = F.array(
         *[
-            F.struct(
-                (used / F.lit(limit) * 100).alias("percent"),
-                F.lit(label).alias("label"),
-                used.cast("long").alias("used"),
-                F.lit(limit).cast("long").alias("limit"),
+            F.when(
+                F.col(f"__{metric}") > 0,
+                F.struct(
+                    (F.col(used) / F.col(f"__{metric}") * 100).alias("percent"),
+                    F.lit(label).alias("label"),
+                    F.col(used).cast("long").alias("used"),
+                    F.col(f"__{metric}").cast("long").alias("limit"),
+                ),
             )
-            for label, used, limit in shares
+            for label, used, metric in COST_METRICS
         ]
     )
+    known = F.array_compact(every)
+    percents = F.transform(known, lambda p: p["percent"])
     total = F.aggregate(percents, F.lit(0.0), lambda a, x: a + x)
-    return df.withColumns(
+    return joined.withColumns(
         {
-            "governor_cost": total / F.lit(len(shares)),
-            "governor_cost_max": F.greatest(F.array_max(percents), F.lit(0.0)),
-            "governor_cost_parts": F.reverse(
-                F.array_sort(F.filter(parts, lambda p: p["used"] > 0))
-            ),
+            "governor_cost": F.coalesce(F.try_divide(total, F.size(known)), F.lit(0.0)),
+            "governor_cost_max": F.greatest(F.coalesce(F.array_max(percents), F.lit(0.0)), F.lit(0.0)),
+            "governor_cost_parts": F.reverse(F.array_sort(F.filter(known, lambda p: p["used"] > 0))),
         }
-    )
+    ).drop(*[f"__{m}" for _, _, m in COST_METRICS])
 
 
 def significant(time_ordered: bool = False) -> Column:

@@ -16,7 +16,7 @@ from spanforge.plans.database import STATEMENTS
 from spanforge.plans.limits import OBSERVED, series_of
 from spanforge.plans.logs import _HOSTED, user_parsed
 from spanforge.plans.registry import TRACE, TREE, query
-from spanforge.plans.trees import KEYED, PICK, pick
+from spanforge.plans.trees import KEYED, LOG_LIMITS, PICK, log_limits, pick
 from spanforge.sources.sinks import ns_as_ms
 from spanforge.sources.tables import order_tree, table, user_traces
 
@@ -400,18 +400,26 @@ def _(spark, sf):
 @query(
     "g20_event_vitals",
     TREE
-    + f"""SELECT log_id, count(*) AS calls, CAST(sum(dur_self) AS BIGINT) AS dur_self, CAST(sum(dur_total) AS BIGINT) AS dur_total,
+    + LOG_LIMITS
+    + f""", vit AS (SELECT log_id, count(*) AS calls, CAST(sum(dur_self) AS BIGINT) AS dur_self, CAST(sum(dur_total) AS BIGINT) AS dur_total,
   CAST(sum(soql_count_total) AS BIGINT) AS soql_count_total, max(heap_peak) AS heap_peak,
-  round(CAST(sum(dur_total) AS DOUBLE) / count(*), 3) AS avg_total, round(sum(soql_count_total) / 100.0 * 100, 6) AS soql_percent
-FROM tree WHERE {PICK} GROUP BY log_id""",
+  round(CAST(sum(dur_total) AS DOUBLE) / count(*), 3) AS avg_total, min(event_index) AS first_index,
+  sum(dml_rows_total) AS dml_rows_total, sum(sosl_rows_total) AS sosl_rows_total FROM tree WHERE {PICK} GROUP BY log_id)
+SELECT v.log_id, calls, v.dur_self, v.dur_total, v.soql_count_total, v.heap_peak, avg_total, round(v.soql_count_total * 1.0 / soql * 100, 6) AS soql_percent,
+  round(v.dml_rows_total * 1.0 / l.dml_rows * 100, 6) AS dml_rows_percent, f.type, f.namespace, coalesce(p.namespace, 'default') AS caller_namespace,
+  CASE WHEN f.type = 'SOSL_EXECUTE_BEGIN' THEN round(v.sosl_rows_total / 2000.0 * 100, 6) END AS sosl_rows_percent
+FROM vit v JOIN tree f ON f.log_id = v.log_id AND f.event_index = v.first_index
+LEFT JOIN tree p ON p.log_id = f.log_id AND p.event_index = f.parent_index LEFT JOIN lim l ON l.log_id = v.log_id""",
 )
 def _(spark, sf):
     from spanforge.operators.vitals import event_vitals
 
-    out = event_vitals(order_tree(spark, sf), pick())
+    out = event_vitals(order_tree(spark, sf), pick(), log_limits(spark, sf))
     return out.select(
         "log_id", "calls", "dur_self", "dur_total", "soql_count_total", "heap_peak",
         F.round("avg_total", 3).alias("avg_total"), F.round("soql_count_percent", 6).alias("soql_percent"),
+        F.round("dml_rows_percent", 6).alias("dml_rows_percent"), "type", "namespace", "caller_namespace",
+        F.round("sosl_rows_percent", 6).alias("sosl_rows_percent"),
     )
 
 

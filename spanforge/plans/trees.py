@@ -120,20 +120,47 @@ def _(spark, sf):
     return trees.method_metrics(order_tree(spark, sf))
 
 
+# The logs' own limits: some are higher in one log than in another, some reported in a few logs only.
+LOG_LIMITS = """, lim AS (SELECT CAST(r_regionkey AS VARCHAR) AS log_id,
+  CASE WHEN r_regionkey <> 4 THEN 100 + 10 * r_regionkey END AS soql, CASE WHEN r_regionkey IN (0, 1) THEN 150 END AS dml,
+  CASE WHEN r_regionkey = 1 THEN 0 WHEN r_regionkey = 2 THEN 20 END AS sosl, CASE WHEN r_regionkey IN (0, 3) THEN 50000 END AS soql_rows,
+  CASE WHEN r_regionkey = 0 THEN 10000 END AS dml_rows, CASE WHEN r_regionkey IN (0, 2) THEN 6000000 * (r_regionkey + 1) END AS heap FROM region)
+"""
+
+
+def log_limits(spark, sf):
+    key = F.col("r_regionkey")
+    limit = {
+        "soqlQueries": F.when(key != 4, 100 + 10 * key),
+        "dmlStatements": F.when(key.isin(0, 1), 150),
+        "soslQueries": F.when(key == 1, 0).when(key == 2, 20),
+        "queryRows": F.when(key.isin(0, 3), 50_000),
+        "dmlRows": F.when(key == 0, 10_000),
+        "heapSize": F.when(key.isin(0, 2), 6_000_000 * (key + 1)),
+    }
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), v.cast("long").alias("limit")) for m, v in limit.items()])
+    region = spark.read.parquet(f"{sf}/region.parquet")
+    return region.select(key.cast("string").alias("log_id"), F.inline(rows)).filter("limit IS NOT NULL")
+
+
+_PERCENTS = ", ".join(
+    f"CASE WHEN {limit} > 0 THEN {used} * 1.0 / {limit} * 100 END"
+    for used, limit in [
+        ("soql_count_total", "soql"), ("dml_count_total", "dml"), ("sosl_count_total", "sosl"),
+        ("soql_rows_total", "soql_rows"), ("dml_rows_total", "dml_rows"), ("heap_peak", "heap"),
+    ]
+)
+
+
 @query(
     "g7_governor_cost",
     TREE
-    + """SELECT log_id, event_index,
-  round((soql_count_total / 100.0 * 100 + dml_count_total / 150.0 * 100 + sosl_count_total / 20.0 * 100
-   + soql_rows_total / 50000.0 * 100 + dml_rows_total / 10000.0 * 100 + heap_peak / 6000000.0 * 100) / 6, 6) AS governor_cost,
-  round(greatest(soql_count_total / 100.0 * 100, dml_count_total / 150.0 * 100, sosl_count_total / 20.0 * 100,
-    soql_rows_total / 50000.0 * 100, dml_rows_total / 10000.0 * 100, heap_peak / 6000000.0 * 100), 6) AS governor_cost_max,
-  CAST(soql_count_total > 0 AS INT) + CAST(dml_count_total > 0 AS INT) + CAST(sosl_count_total > 0 AS INT)
-   + CAST(soql_rows_total > 0 AS INT) + CAST(dml_rows_total > 0 AS INT) + CAST(heap_peak > 0 AS INT) AS parts
-FROM tree""",
+    + LOG_LIMITS
+    + f"""SELECT log_id, event_index, coalesce(round(list_avg(p), 6), 0.0) AS governor_cost, coalesce(round(list_max(p), 6), 0.0) AS governor_cost_max,
+  len(list_filter(p, lambda x: x > 0)) AS parts FROM (SELECT log_id, event_index, [{_PERCENTS}] AS p FROM tree LEFT JOIN lim USING (log_id))""",
 )
 def _(spark, sf):
-    return trees.governor_cost(order_tree(spark, sf)).select(
+    return trees.governor_cost(order_tree(spark, sf), log_limits(spark, sf)).select(
         "log_id",
         "event_index",
         F.round("governor_cost", 6).alias("governor_cost"),

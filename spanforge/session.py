@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "8", app: str = "spanforge") -> SparkSession:
-    """A session for tests and benches; on a cluster the caller brings its own."""
-    spark = (
+def local_session(cores: str = "8", app: str = "spanforge", shared: str | None = None) -> SparkSession:
+    """A session for tests and benches, with `shared` as spark.checkpoint.dir; on a cluster the caller
+    brings its own."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores).replace("*", "8"))
@@ -26,27 +24,35 @@ def local_session(cores: str = "8", app: str = "spanforge") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """The shared folder for cut results: `spark.checkpoint.dir`, or a temporary one on local[*]."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    """This run's folder for cut results, below `spark.checkpoint.dir` or, where that is unset, below the
+    warehouse: both are shared by the driver and all executors. It goes when the session ends."""
     app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="spanforge-")
-        atexit.register(shutil.rmtree, _LOCAL_DIRS[app], ignore_errors=True)
-    return _LOCAL_DIRS[app]
+    if app not in _DIRS:
+        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_stage"
+        _DIRS[app] = f"{shared.rstrip('/')}/spanforge-{app}-{uuid.uuid4().hex[:8]}"
+        where = spark._jvm.org.apache.hadoop.fs.Path(_DIRS[app])
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+    return _DIRS[app]
+
+
+_DIRS: dict[str, str] = {}
 
 
-_LOCAL_DIRS: dict[str, str] = {}
+def release(spark: SparkSession) -> None:
+    """Delete all that this run has cut so far; results that still read it must be gone or written."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(stage_dir(spark))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -57,6 +63,6 @@ def cut(df: DataFrame) -> DataFrame:
     columns, and leaves nothing that dies with an executor.
     """
     spark = df.sparkSession
-    path = f"{stage_dir(spark)}/spanforge-{uuid.uuid4().hex}"
+    path = f"{stage_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

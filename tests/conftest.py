@@ -7,10 +7,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from spanforge.session import local_session
 
-    return local_session("4", "spanforge-tests")
+    return local_session("4", "spanforge-tests", str(tmp_path_factory.mktemp("shared")))
 
 
 @pytest.fixture(scope="session")

@@ -6,6 +6,7 @@ import glob
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -62,7 +63,7 @@ if __name__ == "__main__":
 
     sf = os.environ.get("SF", "0.01")
     sf_dir = f"{TESTDATA}/sf{sf}"
-    spark = local_session()
+    spark = local_session(shared=tempfile.mkdtemp(prefix="spanforge-oracle-"))
     con = connect(sf_dir)
     oracle = oracle_sql()
     bad = 0
