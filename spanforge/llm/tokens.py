@@ -107,22 +107,26 @@ class Table:
     """Values for distinct 64-bit keys; a lookup is a few gathers, whatever the size."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        size = 1 << max(4, int(len(keys) * 2).bit_length())
-        self.mask = U(size - 1)
-        self.slots = np.full(size, -1, dtype=np.int32)
+        bits = max(4, int(len(keys) * 2).bit_length())
+        self.mask, self.shift = U((1 << bits) - 1), U(64 - bits)
+        self.slots = np.full(1 << bits, -1, dtype=np.int32)
         self.keys, self.values = keys.astype(U), values
         left = np.arange(len(keys), dtype=np.int32)
-        at = self.keys & self.mask
+        at = self._first(self.keys)
         while len(left):
             free = self.slots[at] < 0
             self.slots[at[free]] = left[free]
             lost = self.slots[at] != left
             left, at = left[lost], (at[lost] + U(1)) & self.mask
 
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        """Keys may be hashes or pairs of small numbers."""
+        return keys * U(_ODD) >> self.shift
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Index of each key, -1 where it is missing."""
         out = np.full(len(keys), -1, dtype=np.int32)
-        todo, at = np.arange(len(keys)), keys & self.mask
+        todo, at = np.arange(len(keys)), self._first(keys)
         while len(todo):
             got = self.slots[at]
             hit = got >= 0
