@@ -11,6 +11,7 @@ from spanforge.functions.text import dml_operation, from_object
 from spanforge.operators.highlights import concentration
 from spanforge.operators.tree import caller_namespace, chain_of
 from spanforge.schema import DEFAULT_LIMITS, KEY, SOSL_ROWS_PER_QUERY, STATEMENT_TYPES
+from spanforge.session import cut
 
 KINDS = ("SOQL", "DML", "SOSL")
 UNKNOWN = "Unknown"
@@ -269,7 +270,7 @@ def db_asked_by(spans: DataFrame) -> DataFrame:
 
 def db_burned_in(spans: DataFrame) -> DataFrame:
     """Timed direct children charged to their own namespace, the remainder to the caller."""
-    asked = _asked(spans)
+    asked = cut(_asked(spans))
     child_ns = F.when(F.col("namespace") != "", F.col("namespace")).otherwise("default")
     inside = (
         spans.filter(F.col("is_parent") & (F.col("dur_total") > 0) & (F.col("parent_index") > 0))
@@ -277,6 +278,7 @@ def db_burned_in(spans: DataFrame) -> DataFrame:
         .agg(F.sum("dur_total").alias("child_time"))
         .join(asked.select(*KEY, "kind"), KEY)
     )
+    inside = cut(inside)
     spent = inside.groupBy(*KEY).agg(F.sum("child_time").alias("spent"))
     rest = asked.join(spent, KEY, "left").withColumn(
         "time_ns", F.greatest(F.lit(0), F.col("time_ns") - F.coalesce("spent", F.lit(0)))

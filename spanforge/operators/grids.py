@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanforge.operators.scan import running
 from spanforge.operators.tree import contains, covered
+from spanforge.session import cut
 
 # Types that only show debug output.
 DEBUG_TYPES = [
@@ -78,18 +79,21 @@ def filter_tree(
     total_ms: tuple[float | None, float | None] = (None, None),
     self_ms: tuple[float | None, float | None] = (None, None),
 ) -> DataFrame:
-    """The call-tree filters: each keeps a row when it or something below it passes."""
+    """The call-tree filters: each keeps a row when it or something below it passes.
+
+    A filter works on what the one before left and reads its input twice, so each but the first
+    starts from a cut: the scans grow with the number of filters, not as a power of it.
+    """
+    passes = [
+        (bool(namespaces), F.col("namespace").isin(list(namespaces))),
+        (bool(types), F.col("type").isin(list(types))),
+        (debug_only, F.col("type").isin(DEBUG_TYPES)),
+        (total_ms != (None, None), in_ms_range(F.col("dur_total"), *total_ms)),
+        (self_ms != (None, None), in_ms_range(F.col("dur_self"), *self_ms)),
+    ]
     out = spans
-    if namespaces:
-        out = filter_deep(out, F.col("namespace").isin(list(namespaces)))
-    if types:
-        out = filter_deep(out, F.col("type").isin(list(types)))
-    if debug_only:
-        out = filter_deep(out, F.col("type").isin(DEBUG_TYPES))
-    if total_ms != (None, None):
-        out = filter_deep(out, in_ms_range(F.col("dur_total"), *total_ms))
-    if self_ms != (None, None):
-        out = filter_deep(out, in_ms_range(F.col("dur_self"), *self_ms))
+    for n, keep in enumerate(keep for wanted, keep in passes if wanted):
+        out = filter_deep(cut(out) if n else out, keep)
     return out
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import split_issue
-from spanforge.operators.scan import following
+from spanforge.operators.scan import following, slice_of
 from spanforge.schema import CHUNK, KEY
 
 # Descriptions by summary.
@@ -88,8 +88,8 @@ def issue_ends(found: DataFrame, events: DataFrame, logs: DataFrame, size: int =
     """Skipped lines end at the next entry event; a size cut-off at the next later event; else the
     end of the log. Other issues are points.
 
-    The next entry is a forward scan. The next later event needs the issue's own time, so it is a
-    join on the log with one row per cut-off log on the small side.
+    The next entry is a forward scan. The next later event needs the issue's own time: it joins in per
+    slice of the cut-off logs' events, and the slices' first hits are combined.
     """
     ahead = following(
         events.select(*KEY, "ts_ns", "ends"),
@@ -102,12 +102,15 @@ def issue_ends(found: DataFrame, events: DataFrame, logs: DataFrame, size: int =
     cut_off = found.filter(F.col("summary") == "Max-Size-reached").select(
         "log_id", F.col("event_index").alias("from_index"), F.col("start_ns").alias("from_ns")
     )
+    sliced = events.select(*KEY, "ts_ns").withColumn("slice", slice_of("event_index", size))
+    asked = sliced.select("log_id", "slice").distinct().join(cut_off, "log_id")
     later = (
-        events.select(*KEY, "ts_ns")
-        .join(cut_off, "log_id")
+        sliced.join(asked, ["log_id", "slice"])
         .filter((F.col("event_index") > F.col("from_index")) & (F.col("ts_ns") > F.col("from_ns")))
+        .groupBy("log_id", "slice")
+        .agg(F.min("event_index").alias("at"), F.min_by("ts_ns", "event_index").alias("ts_ns"))
         .groupBy("log_id")
-        .agg(F.min_by("ts_ns", "event_index").alias("next_later"))
+        .agg(F.min_by("ts_ns", "at").alias("next_later"))
     )
     return (
         found.join(skip, KEY, "left")

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.operators.tree import chain_of, contains, covered, with_chain
+from spanforge.operators.tree import chain_of, contains, covered
 from spanforge.operators.trees import EXCLUDED_DETAIL_TYPES
 from spanforge.schema import KEY
+from spanforge.session import cut
 
 
 def _kept() -> Column:
@@ -36,7 +37,7 @@ def scoped_tree(spans: DataFrame, selected: Column) -> DataFrame:
     """
     picked = spans.filter(selected)
     inside = covered(spans, selected, "__in").filter("__in").drop("__in")
-    shown = contains(inside, _kept(), "__kept").filter(F.col("__kept") | selected).drop("__kept")
+    shown = cut(contains(cut(inside), _kept(), "__kept").filter(F.col("__kept") | selected).drop("__kept"))
     # Which selections a row is below: itself or an ancestor.
     frames = picked.select("log_id", "event_index", "last_index", "depth", "path")
     above = chain_of(shown.select(*KEY, "path"), frames, {"a": F.lit(1)}).select(
@@ -63,7 +64,9 @@ def scoped_tree(spans: DataFrame, selected: Column) -> DataFrame:
 
 def _with_paths(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """Key path from the log's top to each row, as the scoped tree nests them."""
-    linked = with_chain(spans, {"key": _key()}).select(*KEY, F.concat("chain.key", F.array(_key())).alias("key_path"))
+    rows = cut(rows)
+    wanted = spans.join(rows.select(*KEY).distinct(), KEY, "left_semi")
+    linked = chain_of(wanted, spans, {"key": _key()}).select(*KEY, F.concat("chain.key", F.array(_key())).alias("key_path"))
     return rows.join(linked, KEY)
 
 

@@ -268,11 +268,8 @@ def build_spans(events: DataFrame, marks: DataFrame, size: int = CHUNK) -> tuple
         .withColumn("dur_self", F.col("dur_total") - F.coalesce("__child_time", F.lit(0)))
         .drop("__child_time", "ts_ns", "type", "is_parent")
     )
-    texts = events.drop("n_rows", "own_ns")
+    texts = events.drop("n_rows", "own_ns", "line")
     spans = cut(rolled.join(texts, KEY))
-    flows = spans.filter(F.col("type").isin("FLOW_START_INTERVIEWS_BEGIN", *FLOW_ELEMENTS)).limit(1)
-    if flows.isEmpty():
-        return spans, issues
     return cut(flow_names(flow_residuals(spans, size), size)), issues
 
 

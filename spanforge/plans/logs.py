@@ -9,7 +9,7 @@ from spanforge.operators import facts, issues, scan
 from spanforge.operators.events import parse_errors, tag_lines
 from spanforge.plans.registry import TRACE, TREE, query
 from spanforge.session import cut
-from spanforge.sources.logs import body_lines, debug_levels, log_duration, log_user
+from spanforge.sources.logs import body_lines, log_duration
 from spanforge.sources.parse import parse_logs
 from spanforge.sources.tables import order_logs, table, user_logs
 
@@ -22,7 +22,8 @@ def parsed(spark, sf, name, source):
     """Parse a rendered log set once per session; its tables are files already."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _PARSED:
-        _PARSED[key] = parse_logs(body_lines(cut(source(spark, sf)), SLICE), SLICE)
+        raw = cut(source(spark, sf))
+        _PARSED[key] = parse_logs(body_lines(raw, SLICE), SLICE, raw)
     return _PARSED[key]
 
 
@@ -81,7 +82,7 @@ def _(spark, sf):
 CROSS JOIN (VALUES (0, 'APEX_CODE', 'FINE'), (1, 'APEX_PROFILING', 'NONE'), (2, 'DB', 'INFO')) v(position, category, level)""",
 )
 def _(spark, sf):
-    return debug_levels(order_logs(spark, sf))
+    return order_parsed(spark, sf).debug_levels
 
 
 @query(
@@ -90,7 +91,7 @@ def _(spark, sf):
   '(GMT+00:00) GMT' AS timezone FROM region""",
 )
 def _(spark, sf):
-    return log_user(order_logs(spark, sf))
+    return order_parsed(spark, sf).users
 
 
 @query(

@@ -13,6 +13,7 @@ from spanforge.operators.spans import build_spans
 from spanforge.operators.times import log_times
 from spanforge.schema import CHUNK
 from spanforge.session import cut
+from spanforge.sources.logs import debug_levels, log_user
 
 
 @dataclass
@@ -27,10 +28,16 @@ class ParsedLogs:
     parse_errors: DataFrame
     limit_snapshots: DataFrame
     namespaces: DataFrame
+    debug_levels: DataFrame
+    users: DataFrame
 
 
-def parse_logs(lines: DataFrame, size: int = CHUNK) -> ParsedLogs:
-    """Parse body lines (see sources.logs.read_logs) of many logs at once."""
+def parse_logs(lines: DataFrame, size: int = CHUNK, header: DataFrame | None = None) -> ParsedLogs:
+    """Parse body lines (see sources.logs.read_logs) of many logs at once.
+
+    Settings often stand before the body; `header` are the lines to look for them in, if others than
+    `lines`.
+    """
     tagged = cut(tag_lines(lines, size))
     events = cut(events_of(tagged, size))
     marks = tagged.filter(tagged.role == "max_size").select("log_id", "event_index").distinct()
@@ -47,4 +54,6 @@ def parse_logs(lines: DataFrame, size: int = CHUNK) -> ParsedLogs:
         parse_errors=parse_errors(tagged),
         limit_snapshots=limit_snapshots(events),
         namespaces=names,
+        debug_levels=debug_levels(lines if header is None else header),
+        users=log_user(lines),
     )
