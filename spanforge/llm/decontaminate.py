@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.stage import cut
+from spanforge.llm.stage import cut, marked, marks
 
 # Units that may follow a number.
 UNITS = (
@@ -20,7 +20,6 @@ UNITS = (
     "s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|dollars?|cents?|euros?|usd|eur|percent|degrees?|"
     "mph|kmh|kph|hz|khz|mhz|w|kw|v|volts?|watts?|j|joules?|n|pa|mol"
 )
-BITS = 1 << 20  # of the filter of window hashes, a fixed size
 
 
 def template(text: Column) -> Column:
@@ -84,12 +83,7 @@ def leaks(
     kept = [] if kept is None else kept
     items = cut(benchmark_windows(benchmark, item_col, item_text_col, window), kept)
     sizes = [r["size"] for r in items.select("size").distinct().orderBy("size").collect()]  # at most `window`
-    bit = F.pmod("h", F.lit(BITS))
-    marks = items.groupBy(F.floor(bit / 64).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {BITS}) % 64 as int))")).alias("v"))
-    bitmap = [0] * (BITS // 64)
-    for r in marks.collect():
-        bitmap[r["w"]] = r["v"]
-    marked = F.split(F.lit(",".join(map(str, bitmap))), ",").cast("array<long>")
+    bitmap = marks(items.select(F.col("h").alias("key")))
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     words = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_hash"), _words(template(text)).alias("t"), _words(text).alias("raw"))
@@ -97,11 +91,7 @@ def leaks(
     def hashes(size: int) -> Column:
         return F.transform(_windows(size, F.size("t")), lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), _hash(F.col("t"), i, size).alias("h")))
 
-    def known(s: Column) -> Column:
-        word = F.get(marked, F.floor(F.pmod(s["h"], F.lit(BITS)) / 64).cast("int"))
-        return F.call_function("shiftright", word, F.pmod(s["h"], F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-    hits = F.flatten(F.array(*[F.filter(hashes(n), known) for n in sizes])) if sizes else F.array().cast("array<struct<at:int,size:int,h:long>>")
+    hits = F.flatten(F.array(*[F.filter(hashes(n), lambda s: marked(bitmap, s["h"])) for n in sizes])) if sizes else F.array().cast("array<struct<at:int,size:int,h:long>>")
     rows = words.select("id", "text_hash", F.explode(F.transform(hits, lambda s: F.struct(s["at"].alias("doc_at"), s["size"].alias("size"), s["h"].alias("h"), F.slice("raw", s["at"], s["size"]).alias("doc_words")))).alias("s"))
     rows = rows.select("id", "text_hash", "s.*")
     small = items.count() <= most_broadcast
@@ -132,4 +122,9 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kept = [] if kept is None else kept
     found = leaks(docs, benchmark, id_col, text_col, kept=kept).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__same")).distinct()
     same = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    return docs.join(cut(found, kept), F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (same == F.col("__same")), "left_anti")
+    found = cut(found, kept)
+    bitmap = marks(found.select(F.xxhash64("__id", "__same").alias("key")))
+    here = docs.withColumn("__may", marked(bitmap, F.xxhash64(F.col(f"`{id_col}`"), same)))
+    match = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (same == F.col("__same"))
+    stay = here.filter("NOT __may").unionByName(here.filter("__may").join(found, match, "left_anti"))
+    return stay.drop("__may")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanforge.llm.components import components
-from spanforge.llm.stage import cut, slices
+from spanforge.llm.stage import cut, marked, marks, slices
 from spanforge.llm.tokens import U, chain, mix, owners, signed, unsigned, words
 
 BITS = 1 << 20  # sketch bits a part
@@ -407,12 +407,15 @@ def one_of_each(
     chosen = cut(named.groupBy("part").agg(F.min(place).alias("chosen")), kept)
     judged = named.join(chosen, "part").groupBy("id", "same").agg(F.count("*").alias("rows"), F.bool_or(place == F.col("chosen")).alias("stays"))
     judged = cut(judged.filter("rows > 1 OR NOT stays").toDF("__id", "__same", "__rows", "__stays"), kept)
+    # only rows that may be judged move; the others are kept where they are read
     same = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    here = lambda d: d.withColumn("__text", same)
+    bitmap, key = marks(judged.select(F.xxhash64("__id", "__same").alias("key"))), F.xxhash64(F.col(f"`{id_col}`"), F.col("__text"))
+    here = docs.withColumn("__text", same).withColumn("__may", marked(bitmap, key))
+    may = here.filter("__may")
     match = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__same"))
-    stay = here(docs).join(judged, match, "left_anti")
+    stay = here.filter("NOT __may").unionByName(may.join(judged, match, "left_anti"))
     again = judged.filter("__stays")
     if again.limit(1).count():
-        once = here(docs).join(again, match, "left_semi").dropDuplicates([id_col, "__text"])
+        once = may.join(again, match, "left_semi").dropDuplicates([id_col, "__text"])
         stay = stay.unionByName(once)
-    return stay.drop("__text")
+    return stay.drop("__text", "__may")

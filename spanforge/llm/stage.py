@@ -77,3 +77,25 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[
         size += n
     if begin < batch.num_rows:
         yield batch.slice(begin)
+
+
+MARKS = 1 << 20  # bits of a bitmap of keys, a fixed size
+
+
+def marks(keys: DataFrame) -> Column:
+    """From the column `key` (long), a literal for `marked`: a bit for each key modulo MARKS. Counted where
+    the keys are; what comes to the driver is bounded by MARKS."""
+    bit = f"cast(pmod(key, {MARKS}) as long)"
+    words = keys.groupBy(F.expr(f"cast({bit} div 64 as int)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({bit} % 64 as int))")).alias("v"))
+    bitmap = [0] * (MARKS // 64)
+    for r in words.collect():
+        bitmap[r["w"]] = r["v"]
+    return F.split(F.lit(",".join(map(str, bitmap))), ",").cast("array<long>")
+
+
+def marked(bitmap: Column, key: Column) -> Column:
+    """Whether `key` may be among the marked ones; true for all that are."""
+    bit = F.pmod(key, F.lit(MARKS))
+    word = F.get(bitmap, F.floor(bit / 64).cast("int"))
+    return F.call_function("shiftright", word, (bit % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
