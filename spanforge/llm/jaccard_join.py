@@ -337,10 +337,16 @@ def resolve(met: DataFrame, fetch: Callable[[np.ndarray], DataFrame], percent: i
     sets = fetch(filter_bits(met.select("node").distinct()))
     sets = cut(sets.groupBy("node").agg(F.first("size").alias("size"), F.first("folded").alias("folded"), F.first("set").alias("set")), kept)
 
-    near = met.select("node", F.explode(F.array("first", "before", "earlier")).alias("other")).filter("other <> node")
-    stars = near.select(F.least("other", "node").alias("a"), F.greatest("other", "node").alias("b")).distinct()
+    pair = [F.least("other", "node").alias("a"), F.greatest("other", "node").alias("b")]
+    stars = met.select("node", F.col("first").alias("other")).filter("other <> node").select(*pair).distinct()
     links = _linked(cut(stars, kept), sets, percent, kept)
     label = components(links, kept)
+    # the other partners matter, and their sets move, only where that left them in different components
+    more = met.select("node", F.explode(F.array("before", "earlier")).alias("other")).filter("other <> node").select(*pair).distinct()
+    more = more.join(label.toDF("a", "pa"), "a", "left").join(label.toDF("b", "pb"), "b", "left")
+    more = cut(more.filter("coalesce(pa, a) <> coalesce(pb, b)").select("a", "b"), kept)
+    links = cut(links.union(_linked(more, sets, percent, kept)), kept)
+    label = components(links, kept)
 
     member = met.join(label.toDF("node", "part"), "node", "left")
     member = cut(member.select("key", "node", "extra", F.coalesce("part", "node").alias("part")), kept)
