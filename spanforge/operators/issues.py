@@ -9,13 +9,8 @@ from spanforge.functions.text import split_issue
 from spanforge.operators.scan import following, slice_of
 from spanforge.schema import CHUNK, KEY
 
-# Descriptions by summary.
-DESCRIPTIONS = {
-    "Unexpected-End": "An entry event was found without a corresponding exit event e.g a `METHOD_ENTRY` event without a `METHOD_EXIT`",
-    "Unexpected-Exit": "An exit event was found without a corresponding entry event e.g a `METHOD_EXIT` event without a `METHOD_ENTRY`",
-    "Max-Size-reached": "The maximum log size has been reached. Part of the log has been truncated.",
-}
-SKIPPED = ". A section of the log has been skipped and the log has been truncated. Full details of this section of log can not be provided."
+# What an issue without a text of its own is told by.
+DESCRIPTIONS = {"Unexpected-End": "entry-without-exit", "Unexpected-Exit": "exit-without-entry", "Max-Size-reached": "cut-at-maximum-size"}
 
 
 def exceptions(events: DataFrame) -> DataFrame:
@@ -42,7 +37,7 @@ def collect_issues(tagged: DataFrame, events: DataFrame, structure: DataFrame) -
             *KEY,
             "start_ns",
             F.when(F.col("role") == "skip", "Skipped-Lines").otherwise("Max-Size-reached").alias("summary"),
-            F.when(F.col("role") == "skip", F.concat("line", F.lit(SKIPPED)))
+            F.when(F.col("role") == "skip", F.col("line"))
             .otherwise(DESCRIPTIONS["Max-Size-reached"])
             .alias("description"),
             F.lit("skip").alias("type"),

@@ -93,13 +93,10 @@ def order_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     line = table(spark, sf_dir, "lineitem")
 
-    # nation has one row per country: a fixed-size lookup.
-    place = F.broadcast(
-        nation.select(
-            F.col("n_nationkey").alias("nk"),
-            F.col("n_regionkey").cast("string").alias("log_id"),
-            F.col("n_name"),
-        )
+    place = nation.select(
+        F.col("n_nationkey").alias("nk"),
+        F.col("n_regionkey").cast("string").alias("log_id"),
+        F.col("n_name"),
     )
     cust = customer.select(
         F.col("c_nationkey").alias("nk"),
