@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.stage import cut
 
 
+FEW = 10_000  # edges that one task may finish
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, target) for all of a few edges (a, b), the target being the smallest node in reach."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            above[max(a, b)] = min(a, b)
+    nodes = list(above)
+    yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "target"])
+
+
 def components(edges: DataFrame, kept: list[str]) -> DataFrame:
     """`edges(a, b)`, both long -> `(node, component_id)` for every node of an edge, the id being the
     smallest node that it can reach. Nulls and loops are dropped; repeated edges count once.
@@ -17,14 +40,17 @@ def components(edges: DataFrame, kept: list[str]) -> DataFrame:
     near copies at once; the others by a hash of node and round, of which about half the nodes of any
     graph survive, so even a long chain takes rounds of its logarithm. Degrees are never gathered: a
     minimum combines before its shuffle, and joins on a hub can be split by adaptive execution because
-    both sides come straight from files.
+    both sides come straight from files. The last FEW edges, if any, are finished at once.
     """
     e = cut(
         edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(),
         kept,
     )
     first, maps, n = e, [], 0
-    while e.limit(1).count():
+    while left := e.count():
+        if left <= FEW:
+            maps.append(cut(e.coalesce(1).mapInArrow(_finish, "node long, target long"), kept))
+            break
         rank = (lambda c: F.xxhash64(F.lit(n), c)) if n and n % 2 == 0 else (lambda c: F.col(c))
         pair = lambda x, y: F.struct(rank(x).alias("r"), F.col(x).alias("u"), rank(y).alias("s"), F.col(y).alias("v"))  # noqa: B023, E731
         both = e.select(F.explode(F.array(pair("a", "b"), pair("b", "a"))).alias("p"))

@@ -2,11 +2,13 @@ import random
 
 import pytest
 
-from spanforge.llm.components import components
+from spanforge.llm import components as C
 
 
+@pytest.mark.parametrize("few", [0, 10, 10_000])
 @pytest.mark.parametrize("kind", ["chain", "star", "random", "none"])
-def test_components_equal_union_find(spark, kind):
+def test_components_equal_union_find(spark, kind, few, monkeypatch):
+    monkeypatch.setattr(C, "FEW", few)
     rng = random.Random(1)
     if kind == "chain":
         edges = [(i, i + 1) for i in range(60)] + [(100, 101)]
@@ -28,5 +30,5 @@ def test_components_equal_union_find(spark, kind):
         if a is not None and a != b:
             x, y = root(a), root(b)
             part[max(x, y)] = min(x, y)
-    got = components(spark.createDataFrame(edges, "a long, b long"), [])
+    got = C.components(spark.createDataFrame(edges, "a long, b long"), [])
     assert {tuple(r) for r in got.collect()} == {(x, root(x)) for x in part}
