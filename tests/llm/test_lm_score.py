@@ -77,3 +77,69 @@ def test_repeated_text_scores_better(spark):
 
 def test_end_token(spark):
     assert L.tokens(pa.array(["", None, "a"]))[0].tolist().count(int(END)) == 3
+
+
+def interpolated(texts, unseen):
+    """Brute force over all n-grams: absolute discounting of three orders."""
+    one, two, three, after1, after2 = (collections.Counter() for _ in range(5))
+    for text in texts:
+        w = [None, *split(text), None]
+        one.update(w[1:])
+        two.update(zip(w, w[1:], strict=False))
+        three.update(zip(w, w[1:], w[2:], strict=False))
+    after1.update(a for a, _ in two)
+    after2.update((a, b) for a, b, _ in three)
+    d = L.DISCOUNT
+
+    def prob(a, b, w):
+        p = (one[w] + 0.5) / unseen
+        if one[b]:
+            p = max(two[b, w] - d, 0) / one[b] + d * after1[b] / one[b] * p
+        if a != "first" and two[a, b]:
+            p = max(three[a, b, w] - d, 0) / two[a, b] + d * after2[a, b] / two[a, b] * p
+        return p
+
+    return prob, len(three)
+
+
+def test_every_ngram_counts(spark):
+    """Also those seen once, and however few are broadcast."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{min(int(x), 60)}" for x in rng.geometric(0.08, 50)) for _ in range(60)] + ["", None]
+    docs = spark.createDataFrame([*enumerate(texts), (500, texts[0]), (500, texts[0]), (None, "w1 new w2"), (501, None)], "doc_id long, text string")
+    learn = F.col("doc_id") < 50
+    n, v = sum(len(split(t)) + 1 for t in texts[:50]), len({w for t in texts[:50] for w in [*split(t), None]})
+    prob, _ = interpolated(texts[:50], n + 0.5 * (v + 1))
+
+    def want(text):
+        w = ["first", None, *split(text), None]
+        return sum(math.log10(prob(*x)) for x in zip(w, w[1:], w[2:], strict=False))
+
+    wanted = {i: want(t) for i, t in [*enumerate(texts), (500, texts[0]), (None, "w1 new w2"), (501, None)]}
+    for r in L.score(docs, learn, share=1, grams=1).collect():  # all by the join
+        assert abs(r.score - wanted[r.doc_id]) < 1e-6, r
+    for share, grams in ((1 << 21, 300), (30, 1 << 18)):  # the filter's levels are half powers of two
+        for r in L.score(docs, learn, share=share, grams=grams).collect():
+            assert abs(r.score - wanted[r.doc_id]) < 0.15 * r.n_tokens, (share, grams, r, wanted[r.doc_id])
+
+
+def test_what_is_held_grows_and_improves_held_out_scores(spark):
+    rng = np.random.default_rng(6)
+    follow = rng.integers(0, 3000, (3000, 3))
+
+    def say():
+        at, out = int(rng.integers(3000)), []
+        for _ in range(60):
+            at = int(follow[at, rng.integers(3)])
+            out.append(f"w{at}")
+        return " ".join(out)
+
+    texts = [(i, say()) for i in range(900)]
+    held, gain = [], []
+    for n in (200, 800):
+        model, table = L.train(spark.createDataFrame(texts[:n], "doc_id long, text string").select("text"), [], grams=300, whole=True)
+        held.append(table.filter("n IS NULL").count())
+        data = spark.createDataFrame([*texts[:n], *texts[800:]], "doc_id long, text string")
+        got = L.score(data, F.col("doc_id") < 800, grams=300).filter("doc_id >= 800").agg(F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens")).first()[0]
+        gain.append(got)
+    assert held[1] > 1.5 * held[0] and gain[1] > gain[0] + 0.3 and gain[1] > 1, (held, gain)
