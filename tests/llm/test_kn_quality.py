@@ -86,3 +86,17 @@ def test_nothing_trusted_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b", "l"), (2, None, None)], "doc_id long, text string, lang string")
     assert all(r.kept for r in K.judge(docs, F.lit(None).cast("boolean")).collect())
     assert K.judge(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_rare_pairs_count_whatever_is_broadcast(spark):
+    """Pairs below the broadcast share, and pairs with words below it."""
+    texts = corpus(150, 6)
+    rows = [*enumerate(texts), (900, "w1 unknown w2"), (901, None), (902, " ".join(reversed(texts[0].split()))), (None, "w59 w58 w59")]
+    data = spark.createDataFrame([(i, t, "l", i is not None and i < 150) for i, t in rows], "doc_id long, text string, lang string, good boolean")
+    prob = reference([r.text for r in data.filter("good AND pmod(xxhash64(text), 5) <> 0").collect()])
+    for share, pairs in ((1 << 22, 100), (60, 1 << 19), (1, 1)):
+        got = {r.doc_id: r.x for r in K.judge(data, F.col("good"), share=share, pairs=pairs).select("doc_id", F.log10("perplexity").alias("x")).collect()}
+        for i, t in rows:
+            w = [None, *(t or "").split(), None]
+            want = -sum(math.log10(prob(a, b)) for a, b in zip(w, w[1:], strict=False)) / (len(w) - 1)
+            assert abs(got[i] - want) < 1e-6, (share, pairs, i, want, got[i])
