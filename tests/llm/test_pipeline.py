@@ -84,6 +84,6 @@ def test_stages(spark, tmp_path):
 def test_every_operator_is_registered():
     import __spark_entry__ as e
 
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert {*QUERIES, "pipeline"} <= set(e.queries()) and set(ORACLE) <= set(e.oracle_sql())
     assert [n for n, _ in C.STAGES] == ["language_id", "ngram_jaccard_join", "benchmark_decontamination", "secret_scan", "packing"]
