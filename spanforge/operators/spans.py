@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanforge.operators import stack
@@ -26,17 +27,86 @@ FLOW_COUNTERS = {
 }
 
 
+def _sliced(rows: DataFrame, marks: DataFrame | None, size: int) -> DataFrame:
+    """`rows` (events) with their slice number; see stack.run_slices.
+
+    Even numbers are slices of the event index. Behind a log's first size marker slices begin at an event
+    that is no exit and later than all events before it; their numbers are odd.
+    """
+    plain = rows.withColumn("slice", slice_of("event_index", size) * 2)
+    none = [F.lit(False).alias("past"), F.lit(False).alias("strict"), F.lit(None).cast("long").alias("floor")]
+    if marks is None:
+        return plain.select("*", *none)
+    first = marks.groupBy("log_id").agg(F.min("event_index").alias("__first"))
+    # Slices from the one with a log's first marker on: none in nearly every log.
+    touched = plain.select("log_id", "slice").distinct().join(first, "log_id")
+    touched = touched.filter(F.col("slice") >= slice_of("__first", size) * 2)
+    marked = plain.join(touched, ["log_id", "slice"], "left")
+    before = marked.filter(F.col("__first").isNull()).drop("__first").select("*", *none)
+    # The time before the marker: one row per slice.
+    earlier = (
+        plain.join(first, "log_id", "left_semi").groupBy("log_id", "slice").agg(F.max("ts_ns").alias("top"))
+        .select("log_id", "slice", F.max("top").over(W.partitionBy("log_id").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)).alias("top"))
+    )
+    late = running(
+        cut(marked.filter(F.col("__first").isNotNull())), ["log_id"], ["event_index"], [F.col("slice")], {"seen": ("max", F.col("ts_ns"))}, inclusive=False
+    ).join(earlier, ["log_id", "slice"], "left")
+    late = late.withColumn("floor", F.greatest("seen", "top")).withColumn("strict", F.coalesce(F.col("ts_ns") > F.col("floor"), F.lit(True)))
+    start = F.col("strict") & ~F.col("true_exit") & (F.col("event_index") > F.col("__first"))
+    begins = late.filter(start).groupBy("log_id", "slice").agg(F.min("event_index").alias("event_index"), F.lit(True).alias("begins"))
+    late = cut(late.join(begins.drop("slice"), KEY, "left"))
+    placed = running(
+        late, ["log_id"], ["event_index"], [F.col("slice")],
+        {"own": ("last", F.when(F.col("begins"), F.col("slice") + 1)), "low": ("last", F.when(F.col("begins"), F.col("floor")))},
+    )
+    past = F.col("own").isNull() & (F.col("slice") > slice_of("__first", size) * 2)
+    after = placed.select(*rows.columns, F.coalesce("own", "slice").alias("slice"), past.alias("past"), "strict", F.col("low").alias("floor"))
+    return before.unionByName(after)
+
+
+_OPS = ["slice", "seq", "variant", "event_index", "op"]
+
+
+def _groups(ops: DataFrame, most: int) -> DataFrame:
+    """For each slice the group of neighbouring slices that it goes into: about `most` operations together."""
+    timed = F.col("slice") % 2
+    sizes = ops.groupBy("log_id", "slice").agg(F.count("*").alias("n")).withColumn("timed", timed)
+    before = F.sum("n").over(W.partitionBy("log_id").orderBy("slice").rowsBetween(W.unboundedPreceding, -1))
+    dealt = sizes.withColumn("bin", F.floor(F.coalesce(before, F.lit(0)) / most))
+    return dealt.select("log_id", "slice", F.min("slice").over(W.partitionBy("log_id", "timed", "bin")).alias("group"))
+
+
+def _most_of_a_log(ops: DataFrame) -> int:
+    return ops.groupBy("log_id").count().agg(F.max("count")).first()[0] or 0
+
+
+def _settled(rows: DataFrame, anchors: DataFrame | None, choice: DataFrame | None) -> DataFrame:
+    """The rows of a level that hold, with the outer path and namespace of their anchor."""
+    if choice is not None:
+        sure = rows.filter(F.col("variant") == "")
+        either = rows.filter(F.col("variant") != "").join(choice, ["log_id", "slice"]).filter(F.startswith("chosen_here", "variant"))
+        rows = sure.unionByName(either.drop("chosen_here"))
+    if anchors is None:
+        return rows.withColumns({"outer": F.array().cast("array<bigint>"), "outer_ns": F.lit(None).cast("string")})
+    return rows.withColumn("anchor", F.coalesce("anchor", F.lit(-1))).join(anchors, ["log_id", "slice", "anchor"], "left")
+
+
 def pair(
-    events: DataFrame, marks: DataFrame, size: int = CHUNK
+    events: DataFrame, marks: DataFrame, size: int = CHUNK, most: int | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Run the stack over all logs: placed events, closed frames, structure issues.
 
-    `marks` are the size markers (log_id, event_index of the event before them).
+    `marks` are the size markers (log_id, event_index of the event before them). A task gets the operations
+    of one group of slices, about `most`, and at the end those of one log; levels of groups are added while a log
+    has more than `most`, as long as a level settles a tenth of them at least.
     """
-    slice_ = slice_of("event_index", size).alias("slice")
-    rows = events.select(
+    most = most or max(2048, size // 8)
+    cut_off = not marks.isEmpty()
+    true_exit = F.col("is_exit") & (F.size("ends") == 0) & ~F.col("ends_at_next")
+    rows = _sliced(events.select(*KEY, "ts_ns", "type", "ends", true_exit.alias("true_exit"), "is_parent", "is_external", "line_number", "own_ns"), marks if cut_off else None, size)
+    rows = rows.select(
         "log_id",
-        slice_,
+        "slice",
         "event_index",
         F.lit(False).alias("mark"),
         "ts_ns",
@@ -44,49 +114,54 @@ def pair(
         (F.col("is_parent") & (F.size("ends") == 0)).alias("endless"),
         F.when(F.col("is_external"), -1).otherwise(F.col("line_number")).cast("int").alias("line"),
         F.coalesce("own_ns", F.lit("")).alias("ns"),
-    ).unionByName(
-        marks.select("log_id", slice_, "event_index", F.lit(True).alias("mark")), allowMissingColumns=True
-    )
-    # Slices behind the one with a log's first marker: none in nearly every log.
-    first_mark = marks.groupBy("log_id").agg(F.min(slice_of("event_index", size)).alias("marked"))
-    late = (
-        events.select("log_id", slice_)
-        .distinct()
-        .join(first_mark, "log_id")
-        .filter(F.col("slice") > F.col("marked"))
-        .select("log_id", "slice", F.lit(True).alias("past"))
+        "past",
+        "strict",
+        "floor",
     )
     ordered = (
-        rows.repartition("log_id", "slice")
-        .join(late, ["log_id", "slice"], "left")
+        rows.unionByName(rows.select(*KEY, "slice").join(marks, KEY).withColumn("mark", F.lit(True)), allowMissingColumns=True)
+        .repartition("log_id", "slice")
         .sortWithinPartitions("log_id", "slice", "event_index", "mark")
-        .select("log_id", "slice", "event_index", "mark", "ts_ns", "type", "endless", "line", "ns", "past")
-    )
-    first = cut(ordered.mapInArrow(stack.run_slices, stack.OUT_DDL))
-    ops = (
-        first.filter(F.col("kind") == "op")
-        .select("log_id", "slice", "seq", "event_index", "op")
-        .repartition("log_id")
-        .sortWithinPartitions("log_id", "slice", "seq")
-    )
-    second = cut(ops.mapInArrow(stack.replay, stack.OUT_DDL))
-
-    anchors = second.filter(F.col("kind") == "anchor").select(
-        "log_id", "slice", "anchor", F.col("path").alias("outer"), F.col("ns").alias("outer_ns")
+        .select("log_id", "slice", "event_index", "mark", "ts_ns", "type", "endless", "line", "ns", "past", "strict", "floor")
     )
-    local = first.filter(F.col("kind") == "event").withColumn("anchor", F.coalesce("anchor", F.lit(-1)))
-    placed = (
-        local.join(anchors, ["log_id", "slice", "anchor"], "left")
-        .select(
-            *KEY,
-            F.concat(F.coalesce("outer", F.array().cast("array<bigint>")), "path").alias("path"),
-            F.coalesce(F.when(F.col("ns") != "", F.col("ns")), "outer_ns", F.lit("")).alias("tree_ns"),
-        )
-        .unionByName(
-            second.filter(F.col("kind") == "event").select(*KEY, "path", F.col("ns").alias("tree_ns"))
+    levels = [cut(ordered.mapInArrow(stack.run_slices, stack.OUT_DDL))]
+    ops = levels[0].filter(F.col("kind") == "op").select("log_id", *_OPS)
+    left = _most_of_a_log(ops)
+    while left > most:
+        grouped = (
+            ops.join(_groups(ops, most), ["log_id", "slice"])
+            .select("log_id", "group", *_OPS)
+            .repartition("log_id", "group")
+            .sortWithinPartitions("log_id", "group", "slice", "seq", "variant")
         )
-    )
-    both = first.unionByName(second)
+        level = cut(grouped.mapInArrow(stack.merge_groups, stack.OUT_DDL))
+        levels.append(level)
+        ops = level.filter(F.col("kind") == "op").select("log_id", *_OPS)
+        before, left = left, _most_of_a_log(ops)
+        if left > 0.9 * before:
+            break
+    last = ops.repartition("log_id").sortWithinPartitions("log_id", "slice", "seq", "variant")
+    levels.append(cut(last.mapInArrow(stack.replay, stack.OUT_DDL)))
+
+    # From the real stack downwards: which variants hold, and the outer path of every anchor.
+    outer = F.coalesce("outer", F.array().cast("array<bigint>"))
+    name = F.coalesce(F.when(F.col("ns") != "", F.col("ns")), "outer_ns")
+    anchors = choice = None
+    settled = []
+    for k, level in reversed([*enumerate(levels)]):
+        rows = _settled(level.filter(F.col("kind") != "op").drop("op"), anchors, choice)
+        settled.append(rows.select("kind", *KEY, F.concat(outer, "path").alias("path"), name.alias("ns"), "ts", "closer", "last", "truncated", "issue"))
+        if k:
+            inner = [F.col("inner").alias("slice"), F.col("inner_anchor").alias("anchor")]
+            anchors = rows.filter(F.col("kind") == "anchor").select("log_id", *inner, F.concat(outer, "path").alias("outer"), name.alias("outer_ns"))
+            if cut_off:
+                choice = rows.filter(F.col("kind") == "choice").groupBy("log_id", F.col("inner").alias("slice")).agg(F.max("chosen").alias("chosen_here"))
+            if len(levels) > 2:
+                anchors, choice = cut(anchors), cut(choice) if cut_off else None
+    both = settled[0]
+    for rows in settled[1:]:
+        both = both.unionByName(rows)
+    placed = both.filter(F.col("kind") == "event").select(*KEY, "path", F.coalesce("ns", F.lit("")).alias("tree_ns"))
     closed = both.filter(F.col("kind") == "close").select(
         *KEY,
         F.col("ts").alias("exit_ns"),

@@ -240,3 +240,28 @@ def test_write_csv(spark, tmp_path):
     assert (row.dur_total, row.path) == ("1.235", "[1,2]")
     write_spans(df, str(tmp_path / "spans"), 4)
     assert spark.read.parquet(str(tmp_path / "spans")).count() == 1
+
+
+def test_levels_of_a_cut_off_log(spark):
+    """The stack in slices and groups of slices, with a size marker in the middle, against one slice."""
+    import random
+
+    from test_stack_slices import calls
+
+    from spanforge.operators.events import events_of, tag_lines
+    from spanforge.operators.spans import pair
+    from spanforge.session import cut
+
+    fields = {"METHOD_ENTRY": "[1]|id|A.b()", "METHOD_EXIT": "[1]|id|A.b()", "CODE_UNIT_FINISHED": "A", "EXCEPTION_THROWN": "[2]|E: x", "USER_DEBUG": "[3]|DEBUG|x"}
+    rows = []
+    for k in range(3):
+        text = [f"10:00:00.0 ({ts})|{kind}|{fields[kind]}" for _, ts, kind, _, _ in calls(random.Random(k), 1500)]
+        if k:
+            text[400 * k : 400 * k] = ["*** MAXIMUM DEBUG LOG SIZE REACHED ***"]
+        rows += [(str(k), i + 1, t) for i, t in enumerate(text)]
+    tagged = cut(tag_lines(spark.createDataFrame(rows, "log_id string, line_no long, line string")))
+    events = cut(events_of(tagged))
+    marks = cut(tagged.filter("role = 'max_size'").select("log_id", "event_index").distinct())
+    want, got = [[sorted(map(str, t.collect())) for t in pair(events, marks, size, most)] for size, most in ((10**6, 10**6), (60, 40))]
+    assert got == want
+    assert any("Max-Size" in r for r in got[2])
