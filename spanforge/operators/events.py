@@ -12,6 +12,7 @@ from spanforge.schema import CHUNK
 from spanforge.session import cut
 from spanforge.sources.logs import SETTINGS_LINE
 
+PIECE = 1_000
 FLOW_RUNNING = ["FLOW_ELEMENT_LIMIT_USAGE", "FLOW_BULK_ELEMENT_LIMIT_USAGE"]
 FLOW_LABELLED = ["FLOW_START_INTERVIEW_LIMIT_USAGE", "FLOW_INTERVIEW_FINISHED_LIMIT_USAGE"]
 
@@ -75,18 +76,23 @@ def parse_errors(tagged: DataFrame) -> DataFrame:
     return unsupported.unionByName(invalid).unionByName(bad_time)
 
 
+def _in_order(rows: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """The texts of a group as one, in order, joined by line ends."""
+    found = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, text))).alias("e"))
+    return found.select(*keys, F.array_join(F.col("e").getField(text), "\n").alias(text))
+
+
 def with_continuations(tagged: DataFrame) -> DataFrame:
     """Event lines with `extra`, their continuation lines.
 
-    Only events of types that accept text can have any; the others are not joined.
+    Only events of types that accept text can have any; the others are not joined. Lines come together in
+    runs of PIECE line numbers and those in their order, so no list holds more than PIECE lines, or as
+    many runs as a string has room for.
     """
     events = tagged.filter(F.col("role") == "event").drop("role")
-    extra = (
-        tagged.filter(F.col("role") == "text")
-        .groupBy("log_id", "event_index")
-        .agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("e"))
-        .select("log_id", "event_index", F.array_join("e.line", "\n").alias("extra"))
-    )
+    text = tagged.filter(F.col("role") == "text")
+    pieces = _in_order(text.withColumn("piece", slice_of("line_no", PIECE)), ["log_id", "event_index", "piece"], "line_no", "line")
+    extra = _in_order(pieces, ["log_id", "event_index"], "piece", "line").withColumnRenamed("line", "extra")
     hosts = events.filter("accepts_text").join(extra, ["log_id", "event_index"], "left")
     return hosts.unionByName(
         events.filter("NOT accepts_text").withColumn("extra", F.lit(None).cast("string"))

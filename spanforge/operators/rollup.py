@@ -1,14 +1,18 @@
-"""Subtree rollups: sums by prefix sums, maxima by path, self figures from direct children."""
+"""Subtree rollups: sums by prefix sums, maxima over index ranges, self figures from direct children."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.operators.scan import covered_slices, running, slice_of
 from spanforge.schema import CHUNK, KEY, METRICS
+from spanforge.session import cut
 
 
 def frame_totals(df: DataFrame, seeds: Mapping[str, Column], size: int = CHUNK) -> DataFrame:
@@ -64,29 +68,6 @@ def subtree_sums(df: DataFrame, seeds: Mapping[str, Column], size: int = CHUNK)
     )
 
 
-def ancestors(df: DataFrame, *cols: str) -> DataFrame:
-    """One row per (row, ancestor): `ancestor`, its position `at` in the path, and `cols`."""
-    return df.select("log_id", *cols, F.posexplode("path").alias("at", "ancestor"))
-
-
-def max_below(df: DataFrame, seed: str, out: str) -> DataFrame:
-    """Per frame, the largest positive seed among the rows below it."""
-    return (
-        ancestors(df.filter(F.col(seed) > 0), seed)
-        .groupBy("log_id", F.col("ancestor").alias("event_index"))
-        .agg(F.max(seed).alias(out))
-    )
-
-
-def rollup_max(df: DataFrame, seed: str, out: str) -> DataFrame:
-    """Largest seed anywhere in the subtree (0 when there is none)."""
-    return (
-        df.join(max_below(df, seed, "__below"), ["log_id", "event_index"], "left")
-        .withColumn(out, F.greatest(F.col(seed), F.coalesce("__below", F.lit(0))))
-        .drop("__below")
-    )
-
-
 def live_heap(leaves: DataFrame, bytes_col: str, size: int = CHUNK) -> DataFrame:
     """Add `live`, the heap held after each allocation leaf, in log order, never below 0."""
     summed = running(
@@ -101,14 +82,64 @@ def live_heap(leaves: DataFrame, bytes_col: str, size: int = CHUNK) -> DataFrame
 
 def heap_peaks(df: DataFrame, bytes_col: str = "heap_net_self", size: int = CHUNK) -> DataFrame:
     """Per row, the most live heap seen at it or below it; rows without heap are absent."""
-    leaves = df.filter(~F.col("is_parent") & (F.col(bytes_col) != 0)).select(*KEY, "path", bytes_col)
-    held = live_heap(leaves, bytes_col, size).filter(F.col("live") > 0)
-    every = F.explode(F.concat("path", F.array("event_index")))
-    return (
-        held.select("log_id", "live", every.alias("event_index"))
-        .groupBy(*KEY)
-        .agg(F.max("live").alias("heap_peak"))
+    leaves = df.filter(~F.col("is_parent") & (F.col(bytes_col) != 0)).select(*KEY, bytes_col)
+    held = cut(live_heap(leaves, bytes_col, size).filter(F.col("live") > 0).select("log_id", F.col("event_index").alias("at"), F.col("live").alias("value")))
+    frames = df.filter(F.col("last_index") > F.col("event_index")).select(*KEY, F.col("event_index").alias("low"), F.col("last_index").alias("high"))
+    own = held.select("log_id", F.col("at").alias("event_index"), F.col("value").alias("heap_peak"))
+    return own.unionByName(range_max(held, frames, size).withColumnRenamed("value", "heap_peak"))
+
+
+def range_max(points: DataFrame, ranges: DataFrame, size: int = CHUNK) -> DataFrame:
+    """For each range (log_id, event_index, low, high) the largest `value` of the points (log_id, at, value) in
+    it, as (log_id, event_index, value); ranges without a point are absent.
+
+    A range is its part of the first slice, its part of the last one, and the slices between, whose
+    maxima are again points. So a range makes three rows at most at each level, whatever it covers, and levels
+    shrink by `size`. Within a slice maxima come from a table over spans of 1, 2, 4, ... points.
+    """
+    sliced = points.withColumn("slice", slice_of("at", size))
+    tops = cut(sliced.groupBy("log_id", "slice").agg(F.max("value").alias("value")))
+    first, last = slice_of("low", size), slice_of("high", size)
+    bounds = ranges.select(*KEY, "low", "high", first.alias("first"), last.alias("last"))
+    ends = F.when(F.col("first") == F.col("last"), F.array(F.struct(F.col("first").alias("slice"), "low", "high"))).otherwise(
+        F.array(
+            F.struct(F.col("first").alias("slice"), "low", F.lit(2**62).alias("high")),
+            F.struct(F.col("last").alias("slice"), F.lit(0).cast("long").alias("low"), "high"),
+        )
+    )
+    parts = bounds.select(*KEY, F.explode(ends).alias("p")).select(*KEY, "p.*").join(tops.select("log_id", "slice"), ["log_id", "slice"], "left_semi")
+    none = F.lit(None).cast("long")
+    rows = sliced.select("log_id", "slice", none.alias("event_index"), F.col("at").alias("low"), none.alias("high"), "value").unionByName(
+        parts.withColumn("value", none)
     )
+    found = rows.groupBy("log_id", "slice").applyInArrow(_range_maxima, "log_id string, event_index long, value long")
+    between = bounds.filter(F.col("last") > F.col("first") + 1)
+    if not tops.isEmpty() and not between.isEmpty():
+        upper = between.select(*KEY, (F.col("first") + 1).alias("low"), (F.col("last") - 1).alias("high"))
+        found = found.unionByName(range_max(tops.withColumnRenamed("slice", "at"), upper, size))
+    return found.groupBy(*KEY).agg(F.max("value").alias("value"))
+
+
+def _range_maxima(table: pa.Table) -> pa.Table:
+    """One slice of `range_max`: rows with a value are points, the others ranges."""
+    is_point = table["value"].is_valid()
+    points, ranges = table.filter(is_point), table.filter(pc.invert(is_point))
+    at, value = points["low"].to_numpy(), points["value"].to_numpy()
+    order = np.argsort(at, kind="stable")
+    at, spans = at[order], [value[order]]
+    i, j = np.searchsorted(at, ranges["low"].to_numpy()), np.searchsorted(at, ranges["high"].to_numpy(), side="right")
+    out = np.full(len(i), -1, dtype=np.int64)
+    left = np.flatnonzero(j > i)
+    width = 1
+    while len(left):  # the widest spans of 2^k points that fit, from both ends
+        now = left[j[left] - i[left] < 2 * width]
+        out[now] = np.maximum(spans[-1][i[now]], spans[-1][j[now] - width])
+        left = left[j[left] - i[left] >= 2 * width]
+        if len(left):
+            spans.append(np.maximum(spans[-1][:-width], spans[-1][width:]))
+            width *= 2
+    hit = pa.array(out >= 0)
+    return pa.table({"log_id": ranges["log_id"].filter(hit), "event_index": ranges["event_index"].filter(hit), "value": pa.array(out).filter(hit)})
 
 
 def direct_child_sums(df: DataFrame, sums: Mapping[str, Column]) -> DataFrame:

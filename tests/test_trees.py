@@ -128,3 +128,52 @@ def test_nested_statements(spark):
     assert tree[("frame:run",)] == (20, 5, 1)
     assert tree[("frame:run", "DML:Insert A")] == (20, 10, 1)
     assert tree[("frame:run", "DML:Insert A", "frame:trigger", "SOQL:SELECT Id FROM B")] == (7, 7, 1)
+
+
+@pytest.mark.parametrize("size", [3, 40, 200_000])
+def test_range_maxima(spark, size):
+    from spanforge.operators.rollup import range_max
+
+    rng = random.Random(size)
+    points = [(log, at, rng.randint(1, 99)) for log in "ab" for at in rng.sample(range(1, 500), 120)]
+    ranges = [("abc"[k % 3], k, low := rng.randint(0, 500), low + rng.choice([0, 1, 5, 60, 400])) for k in range(300)]
+    got = range_max(
+        spark.createDataFrame(points, "log_id string, at long, value long").repartition(3),
+        spark.createDataFrame(ranges, "log_id string, event_index long, low long, high long"), size,
+    ).collect()
+    want = {}
+    for log, k, low, high in ranges:
+        inside = [v for name, at, v in points if name == log and low <= at <= high]
+        if inside:
+            want[log, k] = max(inside)
+    assert {(r.log_id, r.event_index): r.value for r in got} == want and len(got) == len(want)
+
+
+def test_heap_peaks_of_a_deep_tree(spark):
+    """A thousand frames inside each other: rows stay linear, no path is exploded."""
+    from spanforge.operators.rollup import heap_peaks
+
+    rng = random.Random(3)
+    depth = 1000
+    rows = [("d", i, True, 0, 3 * depth) for i in range(1, depth + 1)] + [("d", depth + i, False, rng.randint(-9, 10), depth + i) for i in range(1, 2 * depth + 1)]
+    df = spark.createDataFrame(rows, "log_id string, event_index long, is_parent boolean, heap_net_self long, last_index long")
+    peaks = heap_peaks(df, size=64)
+    plan = peaks._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(path" not in plan
+    got = {r.event_index: r.heap_peak for r in peaks.collect()}
+    live, held, want = 0, {}, {}
+    for _, i, _, b, _ in rows[depth:]:
+        live += b
+        if b and live > 0:
+            held[i] = live
+    want = held | {i: max(held.values()) for i in range(1, depth + 1)}
+    assert got == want
+
+
+def test_continuation_lines_in_pieces(spark):
+    from spanforge.operators import events
+
+    rows = [("a", 1, "10:00:00.0 (5)|USER_DEBUG|[1]|DEBUG|x")] + [("a", i, f"line {i}") for i in range(2, 3500)] + [("a", 3500, "10:00:00.0 (9)|USER_DEBUG|[1]|DEBUG|y")]
+    tagged = events.tag_lines(spark.createDataFrame(rows, "log_id string, line_no long, line string").repartition(5))
+    extra = {r.line_no: r.extra for r in events.with_continuations(tagged).collect()}
+    assert extra == {1: "\n".join(f"line {i}" for i in range(2, 3500)), 3500: None}
