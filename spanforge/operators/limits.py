@@ -8,8 +8,9 @@ only raise the value (`scoped`). Per namespace and metric:
 * the value shown is the last report plus what came after it, capped at the highest cumulative
   report (`fold_limits`).
 
-Both run over time slices: a slice is summed up as a function of the state it starts from, the
-functions are chained over the slices, and then each slice is worked with its known start.
+Both run over slices of the time order with a bounded number of rows: a slice is summed up as a function of the
+state it starts from, the functions are chained over the slices, and then each slice is worked with its
+known start. Metrics whose every change shows need no gathering and stay in columns (`_counted`).
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanforge.operators.scan import running
-from spanforge.schema import DEFAULT_LIMITS
+from spanforge.schema import CHUNK, DEFAULT_LIMITS
 from spanforge.session import cut
 
 POINTS = 500
-# Series are worked in slices of one second of log time unless the caller says otherwise.
+# Lookups at given times work in slices of one second of log time unless the caller says otherwise.
 SECOND = 1_000_000_000
 NS = ["log_id", "namespace", "metric"]
 ORDER = ["ts_ns", "rank", "event_index"]
@@ -302,14 +303,35 @@ def _sorted(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys, *more)
 
 
-def _worked(observations: DataFrame, caps: DataFrame, slice_ns: int) -> DataFrame:
+def _by_time(rows: DataFrame, size: int) -> DataFrame:
+    """`rows` with a `slice` that does not fall with log and time: sampled splitters bound its rows, whatever
+    the rate of observations. Rows of one time stay together."""
+    rows = cut(rows)
+    parts = -(-4 * rows.count() // size)
+    if parts < 2:
+        return rows.withColumn("slice", F.lit(0).cast("long"))
+    dealt = rows.repartitionByRange(parts, "log_id", "ts_ns")
+    return cut(dealt.withColumn("slice", F.spark_partition_id().cast("long")))
+
+
+def _worked(observations: DataFrame, caps: DataFrame, size: int) -> DataFrame:
     """Every observation with the state after it: released, pending, used, tracked, saw_delta."""
     threshold = F.greatest(F.lit(1), F.floor(F.col("limit") / POINTS)).cast("long")
-    rows = cut(
-        observations.withColumns({"threshold": threshold, "slice": F.expr(f"ts_ns div {slice_ns}")})
+    rows = _by_time(
+        observations.withColumn("threshold", threshold)
         .join(caps, NS, "left")
-        .select(*NS, "slice", *ORDER, "kind", "value", "threshold", "cap")
-    )
+        .select(*NS, *ORDER, "kind", "value", "threshold", "cap"),
+        size,
+    ).select(*NS, "slice", *ORDER, "kind", "value", "threshold", "cap")
+    low, high = rows.agg(F.min("threshold"), F.max("threshold")).first()
+    if low == high == 1:
+        return _counted(rows)
+    both = _gathered(rows.filter(F.col("threshold") > 1))
+    return both.unionByName(_counted(rows.filter(F.col("threshold") == 1))) if low == 1 else both
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    """`_worked` for metrics whose small changes are gathered: an automaton over the rows of a slice."""
     functions = _sorted(rows, *NS, "slice").mapInArrow(
         _summaries,
         f"{_KEY_DDL}, first array<long>, state array<long>, moves array<boolean>, low double, high double, "
@@ -326,7 +348,67 @@ def _worked(observations: DataFrame, caps: DataFrame, slice_ns: int) -> DataFram
     )
 
 
-def worked_series(observations: DataFrame, slice_ns: int = SECOND) -> DataFrame:
+FAR = 2**61
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """`_worked` for metrics whose every change shows, with columns alone.
+
+    Between reports a value moves by the sum of the changes. A report is x -> max(low, min(high, x + add)), with
+    the changes since the report before it as `add`; such functions are scanned in `chained`.
+    """
+    is_delta = F.col("kind") == "delta"
+    change = F.when(is_delta, F.col("value")).otherwise(0)
+    summed = cut(running(rows, NS, ORDER, [F.col("slice")], {"tracked": ("sum", change), "seen": ("max", is_delta.cast("int"))}))
+    reports = running(summed.filter(~is_delta), NS, ORDER, [F.col("slice")], {"before": ("last", F.col("tracked"))}, inclusive=False)
+    high = F.when(F.col("kind") == "cumulative", F.col("value")).otherwise(F.greatest(F.coalesce("cap", F.lit(FAR)), F.col("value")))
+    steps = reports.select(
+        *NS, "slice", *ORDER, F.struct(F.col("value").alias("low"), high.alias("high"), (F.col("tracked") - F.coalesce("before", F.lit(0))).alias("add")).alias("f")
+    )
+    at_report = chained(cut(steps), NS, ORDER)
+    keys = [*NS, "slice", *ORDER]
+    placed = summed.join(at_report.select(*keys, F.lit(False).alias("__delta"), "x"), [summed[k] == at_report[k] for k in keys] + [~is_delta], "left")
+    placed = placed.select(*[summed[c] for c in summed.columns], "x")
+    filled = running(placed, NS, ORDER, [F.col("slice")], {"base": ("last", F.when(F.col("x").isNotNull(), F.struct("x", "tracked")))})
+    value = F.coalesce("base.x", F.lit(0)) + F.col("tracked") - F.coalesce("base.tracked", F.lit(0))
+    return filled.select(
+        *NS, "slice", *ORDER, "kind", "value", is_delta.alias("released"), F.lit(0).cast("long").alias("pending"),
+        F.least(value, F.coalesce("cap", value)).alias("used"), "tracked", (F.col("seen") == 1).alias("saw_delta"),
+    )
+
+
+def _after(f: Column, g: Column) -> Column:
+    """The function that is f and then g."""
+    hold = lambda x: F.greatest(g["low"], F.least(g["high"], x + g["add"]))
+    both = F.struct(hold(f["low"]).alias("low"), hold(f["high"]).alias("high"), (f["add"] + g["add"]).alias("add"))
+    return F.when(f.isNull(), g).otherwise(both)
+
+
+def _scanned(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """`f` becomes all functions of its group up to it, by joining neighbours 1, 2, 4, ... rows back."""
+    most = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+    over = W.partitionBy(*keys).orderBy(*order)
+    for k in range((most - 1).bit_length()):
+        df = df.withColumn("f", _after(F.lag("f", 2**k).over(over), F.col("f")))
+    return df
+
+
+def chained(steps: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Add `x`, the value after each function `f` (low, high, add) of a series that starts at 0.
+
+    Functions are scanned inside slices, and those of whole slices over the slices, so a task sorts a
+    slice of a series, or one row for each of its slices.
+    """
+    inner = cut(_scanned(steps, [*keys, "slice"], order))
+    wholes = inner.groupBy(*keys, "slice").agg(F.max_by("f", F.struct(*order)).alias("f"))
+    carry = _scanned(wholes, keys, ["slice"]).select(*keys, "slice", F.lag("f").over(W.partitionBy(*keys).orderBy("slice")).alias("c"))
+    f, c = F.col("f"), F.col("c")
+    start = F.when(c.isNull(), F.lit(0)).otherwise(F.greatest(c["low"], F.least(c["high"], c["add"])))
+    value = F.greatest(f["low"], F.least(f["high"], start + f["add"]))
+    return inner.join(carry, [*keys, "slice"]).select(*inner.columns, value.alias("x"))
+
+
+def worked_series(observations: DataFrame, size: int = CHUNK) -> DataFrame:
     """Observations (with a `limit` column) gathered and folded, one row each.
 
     Deltas of a namespace and metric are gathered until they reach 1/500 of the limit (at least
@@ -334,7 +416,7 @@ def worked_series(observations: DataFrame, slice_ns: int = SECOND) -> DataFrame:
     report, dated at its last delta, and at the end of the series. `used` is the value shown after
     the row and `tracked` the sum of deltas so far; sums are the same wherever they are cut.
     """
-    worked = cut(_worked(observations, reported_caps(observations), slice_ns))
+    worked = cut(_worked(observations, reported_caps(observations), size))
     flagged = running(
         worked.withColumns(
             {"b_ts": -F.col("ts_ns"), "b_rank": -F.col("rank"), "b_idx": -F.col("event_index"), "b_slice": -F.col("slice")}
@@ -353,19 +435,19 @@ def worked_series(observations: DataFrame, slice_ns: int = SECOND) -> DataFrame:
     )
 
 
-def coalesce_deltas(observations: DataFrame, slice_ns: int = SECOND) -> DataFrame:
-    return worked_series(observations, slice_ns).select(*NS, *ORDER, "kind", "value", "shown")
+def coalesce_deltas(observations: DataFrame, size: int = CHUNK) -> DataFrame:
+    return worked_series(observations, size).select(*NS, *ORDER, "kind", "value", "shown")
 
 
-def fold_limits(observations: DataFrame, slice_ns: int = SECOND) -> DataFrame:
-    return worked_series(observations, slice_ns).select(*NS, *ORDER, "used", "tracked", "saw_delta")
+def fold_limits(observations: DataFrame, size: int = CHUNK) -> DataFrame:
+    return worked_series(observations, size).select(*NS, *ORDER, "used", "tracked", "saw_delta")
 
 
 def limit_series(
     observations: DataFrame,
     limits: DataFrame | None = None,
     defaults: Mapping[str, int] = DEFAULT_LIMITS,
-    slice_ns: int = SECOND,
+    size: int = CHUNK,
 ) -> DataFrame:
     """One row per point in time and metric seen so far: used, limit, and tracked when below used.
 
@@ -373,7 +455,7 @@ def limit_series(
     change, so the sums are running sums of changes and no namespace is repeated per point.
     """
     limited = with_limit(observations, limits, defaults).filter(F.col("limit") > 0)
-    folded = cut(worked_series(limited, slice_ns).filter("shown"))
+    folded = cut(worked_series(limited, size).filter("shown"))
     before = running(
         folded, NS, ORDER, [F.col("slice")], {"prev": ("last", F.struct("used", "tracked", "saw_delta"))}, inclusive=False
     )
@@ -394,10 +476,10 @@ def limit_series(
     )
     # A point shows every metric seen so far: at most 13 rows per point in time.
     instants = changes.select("log_id", "ts_ns", "slice").distinct()
-    names = changes.groupBy("log_id", "metric").agg(F.min("ts_ns").alias("since"))
+    names = changes.groupBy("log_id", "metric").agg(F.min("ts_ns").alias("since"), F.min("slice").alias("since_slice"))
     per_slice = (
         instants.select("log_id", "slice").distinct().join(names, "log_id")
-        .filter(F.expr(f"since div {slice_ns}") <= F.col("slice"))
+        .filter(F.col("since_slice") <= F.col("slice")).drop("since_slice")
     )
     grid = instants.join(per_slice, ["log_id", "slice"]).filter(F.col("ts_ns") >= F.col("since")).drop("since")
     dense = grid.join(changes, ["log_id", "metric", "ts_ns", "slice"], "left")

@@ -11,6 +11,8 @@ from spanforge.sources.tables import order_tree, user_traces
 
 # Activity spreads over weeks, so its slices are days.
 DAY = 86_400_000_000_000
+# So that even the test tables make several slices.
+ROWS = 2_000
 
 OBSERVED = (
     TRACE.replace("WITH trace", "WITH RECURSIVE trace")
@@ -79,7 +81,7 @@ _SERIES: dict = {}
 def series_of(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _SERIES:
-        _SERIES[key] = cut(lim.limit_series(observed(spark, sf), slice_ns=DAY))
+        _SERIES[key] = cut(lim.limit_series(observed(spark, sf), size=ROWS))
     return _SERIES[key]
 
 
@@ -114,7 +116,7 @@ def _(spark, sf):
     OBSERVED + "SELECT log_id, namespace, event_index, shown FROM shown",
 )
 def _(spark, sf):
-    gathered = lim.coalesce_deltas(lim.with_limit(observed(spark, sf), None), DAY)
+    gathered = lim.coalesce_deltas(lim.with_limit(observed(spark, sf), None), ROWS)
     return gathered.select("log_id", "namespace", "event_index", "shown")
 
 
@@ -129,7 +131,7 @@ def _(spark, sf):
 
 @query("l5_fold_limits", OBSERVED + "SELECT log_id, namespace, event_index, used, tracked FROM shown")
 def _(spark, sf):
-    folded = lim.fold_limits(lim.with_limit(observed(spark, sf), None), DAY)
+    folded = lim.fold_limits(lim.with_limit(observed(spark, sf), None), ROWS)
     return folded.select("log_id", "namespace", "event_index", "used", "tracked")
 
 
@@ -148,23 +150,28 @@ def _(spark, sf):
 
 @query(
     "l8_ranked_limits",
-    TREE
-    + """, u AS (SELECT log_id, unnest(['soqlQueries', 'queryRows', 'soslQueries', 'dmlStatements', 'dmlRows']) AS metric,
-  unnest([0, 1, 2, 3, 5]) AS pos, unnest([100, 50000, 20, 150, 10000]) AS "limit",
-  unnest([CAST(sum(soql_count_self) AS BIGINT), CAST(sum(soql_rows_self) AS BIGINT), CAST(sum(sosl_count_self) AS BIGINT),
-    CAST(sum(dml_count_self) AS BIGINT), CAST(sum(dml_rows_self) AS BIGINT)]) AS used FROM tree GROUP BY log_id)
+    TREE.replace("WITH place", "WITH RECURSIVE place")
+    + """, o AS (SELECT log_id, event_index, ts_ns, unnest(['soqlQueries', 'queryRows', 'soslQueries', 'dmlStatements', 'dmlRows', 'heapSize']) AS metric,
+  unnest([0, 1, 2, 3, 5, 7]) AS pos, unnest([100, 50000, 20, 150, 10000, 6000000]) AS "limit",
+  unnest([soql_count_self, soql_rows_self, sosl_count_self, dml_count_self, dml_rows_self, CASE WHEN type = 'HEAP_ALLOCATE' THEN hn ELSE 0 END]) AS value,
+  namespace FROM (SELECT t.*, CASE WHEN t.type = 'HEAP_ALLOCATE' THEN t.heap_net_self ELSE 0 END AS hn FROM tree t)),
+per_ts AS (SELECT log_id, metric, pos, "limit", ts_ns, CAST(sum(value) AS BIGINT) AS v FROM o WHERE value <> 0 GROUP BY ALL),
+run AS (SELECT *, CAST(sum(v) OVER (PARTITION BY log_id, metric ORDER BY ts_ns) AS BIGINT) AS total FROM per_ts),
+u AS (SELECT log_id, metric, pos, "limit", greatest(max(total), 0) AS used FROM run WHERE metric <> 'heapSize' GROUP BY ALL),
+-- Heap is gathered to a 500th of its limit: what shows is the sum at releases and at the end.
+hv AS (SELECT log_id, event_index, ts_ns, value, row_number() OVER (PARTITION BY log_id ORDER BY ts_ns, event_index) AS n FROM o WHERE metric = 'heapSize' AND value <> 0),
+hs AS (SELECT *, CAST(sum(value) OVER (PARTITION BY log_id ORDER BY n) AS BIGINT) AS total, max(n) OVER (PARTITION BY log_id) AS last FROM hv),
+walk AS (SELECT log_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS shown FROM (SELECT DISTINCT log_id FROM hs)
+  UNION ALL SELECT walk.log_id, hs.n, CASE WHEN abs(hs.total - walk.shown) >= 12000 OR hs.n = hs.last THEN hs.total ELSE walk.shown END
+  FROM walk JOIN hs ON hs.log_id = walk.log_id AND hs.n = walk.n + 1),
+held AS (SELECT walk.log_id, ts_ns, arg_max(shown, walk.n) AS shown FROM walk JOIN hs ON hs.log_id = walk.log_id AND hs.n = walk.n GROUP BY ALL),
+allu AS (SELECT * FROM u UNION ALL SELECT log_id, 'heapSize', 7, 6000000, greatest(max(shown), 0) FROM held GROUP BY log_id)
 SELECT log_id, metric, used, "limit", round(used * 100.0 / "limit", 6) AS ratio,
-  row_number() OVER (PARTITION BY log_id ORDER BY used * 100.0 / "limit" DESC, pos) AS rank FROM u QUALIFY rank <= 3""",
+  row_number() OVER (PARTITION BY log_id ORDER BY used * 100.0 / "limit" DESC, pos) AS rank FROM allu WHERE used > 0 QUALIFY rank <= 6""",
 )
 def _(spark, sf):
-    # Without frees and reports the peak of a count is its sum.
-    totals = (
-        lim.limit_observations(order_tree(spark, sf))
-        .filter(F.col("metric") != "heapSize")
-        .groupBy("log_id", "metric")
-        .agg(F.sum("value").alias("used"))
-    )
-    out = lim.ranked_limits(lim.with_limit(totals, None), 3)
+    series = lim.limit_series(lim.limit_observations(order_tree(spark, sf)))
+    out = lim.ranked_limits(lim.limit_totals(series).drop("has_limits"), 6)
     return out.withColumn("ratio", F.round("ratio", 6))
 
 
@@ -247,14 +254,31 @@ def _(spark, sf):
 
 @query(
     "l13_limit_points",
-    OBSERVED
-    + "SELECT log_id, ts_ns, round(used / 10000.0, 6) AS max_share, 0.0::DOUBLE AS tier3_max FROM series",
+    TREE
+    + """, o AS (SELECT log_id, ts_ns, unnest(['soqlQueries', 'soslQueries', 'dmlStatements']) AS metric, unnest([0, 2, 3]) AS pos, unnest([100, 20, 150]) AS "limit",
+  unnest([soql_count_self, sosl_count_self, dml_count_self]) AS value FROM tree
+  UNION ALL SELECT log_id, ts_ns, 'callouts', 8, 100, 1 FROM tree WHERE depth = 1 AND event_index % 3 = 0
+  UNION ALL SELECT log_id, ts_ns, 'futureCalls', 10, 50, 1 FROM tree WHERE depth = 0),
+d AS (SELECT log_id, metric, pos, "limit", ts_ns, CAST(sum(value) AS BIGINT) AS v FROM o WHERE value <> 0 GROUP BY ALL),
+t AS (SELECT DISTINCT log_id, ts_ns FROM d), m AS (SELECT log_id, metric, pos, "limit", min(ts_ns) AS since FROM d GROUP BY ALL),
+s AS (SELECT t.log_id, t.ts_ns, m.metric, m.pos, CAST(sum(coalesce(d.v, 0)) OVER (PARTITION BY t.log_id, m.metric ORDER BY t.ts_ns) AS BIGINT) / m."limit" AS share
+  FROM t JOIN m ON m.log_id = t.log_id AND m.since <= t.ts_ns LEFT JOIN d ON d.log_id = t.log_id AND d.ts_ns = t.ts_ns AND d.metric = m.metric),
+tier AS (SELECT log_id, metric, row_number() OVER (PARTITION BY log_id ORDER BY max(share) DESC, pos) AS rank, max(share) AS peak FROM s GROUP BY log_id, metric, pos)
+SELECT s.log_id, s.ts_ns, round(max(share), 6) AS max_share, round(coalesce(max(CASE WHEN rank > 3 AND peak < 0.8 THEN share END), 0), 6) AS tier3_max
+FROM s JOIN tier USING (log_id, metric) GROUP BY s.log_id, s.ts_ns""",
 )
 def _(spark, sf):
-    series = series_of(spark, sf)
-    # dmlRows leads or ties for the top three, so nothing of it is in tier 3.
-    tiers = lim.limit_tiers(series).withColumn("tier", F.when(F.col("metric") == "dmlRows", 1).otherwise(F.col("tier")))
-    return lim.limit_points(series, tiers).withColumn("max_share", F.round("max_share", 6))
+    # Statements lead, calls come second, and jobs, one per code unit, stay in the third tier.
+    tree = order_tree(spark, sf)
+    counts = lim.limit_observations(tree).filter(F.col("metric").isin("soqlQueries", "soslQueries", "dmlStatements"))
+    extra = F.when((F.col("depth") == 1) & (F.col("event_index") % 3 == 0), "callouts").when(F.col("depth") == 0, "futureCalls")
+    more = tree.select(
+        "log_id", "event_index", "ts_ns", F.lit("default").alias("namespace"), extra.alias("metric"), F.lit("delta").alias("kind"),
+        F.lit(1).cast("long").alias("value"), F.lit(1).alias("rank"),
+    )
+    series = cut(lim.limit_series(counts.unionByName(more.filter("metric is not null"))))
+    points = lim.limit_points(series, lim.limit_tiers(series))
+    return points.withColumns({c: F.round(c, 6) for c in ("max_share", "tier3_max")})
 
 
 @query(

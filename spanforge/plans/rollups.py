@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanforge.operators import trees
 from spanforge.plans.registry import TRACE, TREE, query
 from spanforge.sources.tables import order_tree, user_traces
 
@@ -43,7 +44,7 @@ def _(spark, sf):
     + "ts_ns + dur_total AS exit_ns, dur_self, dur_total FROM tree",
 )
 def _(spark, sf):
-    return order_tree(spark, sf).select(
+    return trees.time_order(order_tree(spark, sf)).select(
         "log_id", "event_index", "parent_index", "depth", "type", "namespace", "text", "ts_ns",
         "exit_ns", "dur_self", "dur_total",
     )

@@ -278,8 +278,10 @@ def _(spark, sf):
 @query(
     "g19_caller_namespace",
     TREE
-    + """SELECT t.log_id, t.event_index, coalesce(p.namespace, 'default') AS caller_namespace
-FROM tree t LEFT JOIN tree p ON p.log_id = t.log_id AND p.event_index = t.parent_index""",
+    + """SELECT log_id, event_index, CASE depth WHEN 0 THEN 'default' WHEN 1 THEN first_value(namespace) OVER a
+  WHEN 2 THEN first_value(namespace) OVER b ELSE first_value(namespace) OVER c END AS caller_namespace FROM tree
+WINDOW a AS (PARTITION BY log_id, nk ORDER BY event_index), b AS (PARTITION BY log_id, nk, ck ORDER BY depth, event_index),
+  c AS (PARTITION BY log_id, nk, ck, ok ORDER BY depth, event_index)""",
 )
 def _(spark, sf):
     return tree.caller_namespace(order_tree(spark, sf)).select(

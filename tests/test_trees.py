@@ -88,9 +88,9 @@ def _series(spark, obs, **kw):
     return [(r.ts_ns, r.used, r.tracked) for r in limit_series(df, **kw).orderBy("ts_ns").collect()]
 
 
-@pytest.mark.parametrize("slice_ns", [1, 1000])
-def test_limit_series_cases(spark, slice_ns):
-    kw = {"slice_ns": slice_ns}
+@pytest.mark.parametrize("size", [1, 1000])
+def test_limit_series_cases(spark, size):
+    kw = {"size": size}
     assert _series(spark, [(1, "delta", 1), (2, "delta", 1)], **kw) == [(1, 1, None), (2, 2, None)]
     got = _series(spark, [(1, "cumulative", 0), (2, "delta", 1), (3, "cumulative", 3)], **kw)
     assert got[-1] == (3, 3, 1)
@@ -177,3 +177,53 @@ def test_continuation_lines_in_pieces(spark):
     tagged = events.tag_lines(spark.createDataFrame(rows, "log_id string, line_no long, line string").repartition(5))
     extra = {r.line_no: r.extra for r in events.with_continuations(tagged).collect()}
     assert extra == {1: "\n".join(f"line {i}" for i in range(2, 3500)), 3500: None}
+
+
+@pytest.mark.parametrize("metric", ["soqlQueries", "cpuTime"])
+@pytest.mark.parametrize("size", [12, 200_000])
+def test_folds_equal_one_pass(spark, metric, size):
+    """Changes and reports of all kinds, with and without a cap, against one pass over each series."""
+    from spanforge.operators.limits import fold_limits, with_limit
+
+    rng = random.Random(7)
+    rows = []
+    for ns in range(12):
+        kinds = ["delta", "delta", "scoped"] + ["cumulative"] * (ns % 3)
+        for i in range(rng.choice([1, 5, 40])):
+            kind = rng.choice(kinds)
+            rows.append(("L", f"n{ns}", metric, i, i // 2, 0 if kind == "cumulative" else 1, kind, rng.choice([-40, -3, 1, 2, 9, 60]) if kind == "delta" else rng.randint(0, 80)))
+    schema = "log_id string, namespace string, metric string, event_index long, ts_ns long, rank int, kind string, value long"
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    got = {(r.namespace, r.event_index): (r.used, r.tracked, r.saw_delta) for r in fold_limits(with_limit(df, None), size).collect()}
+    want = {}
+    for ns in range(12):
+        mine = sorted((r for r in rows if r[1] == f"n{ns}"), key=lambda r: (r[4], r[5], r[3]))
+        cap = max([r[7] for r in mine if r[6] == "cumulative"], default=None)
+        x = tracked = 0
+        seen = False
+        for r in mine:
+            kind, value = r[6:]
+            if kind == "delta":
+                x, tracked, seen = x + value, tracked + value, True
+            elif kind == "cumulative":
+                x = value
+            else:
+                x = max(value, x if cap is None else min(x, cap))
+            want[r[1], r[3]] = (x if cap is None else min(x, cap), tracked, seen)
+    assert got == want
+
+
+def test_many_changes_in_one_second(spark):
+    from spanforge.operators import limits
+
+    n, size = 1_000_000, 200_000
+    obs = spark.range(n).select(
+        F.lit("L").alias("log_id"), F.col("id").alias("event_index"), (F.col("id") * 900).alias("ts_ns"), F.lit("default").alias("namespace"),
+        F.lit("soqlQueries").alias("metric"), F.lit("delta").alias("kind"), F.lit(1).cast("long").alias("value"), F.lit(1).alias("rank"),
+    )
+    slices = limits._by_time(obs, size).groupBy("slice").count().agg(F.max("count"), F.count("*"), F.sum("count")).first()
+    assert slices[0] <= size and slices[1] > 4 and slices[2] == n
+    worked = limits._worked(limits.with_limit(obs, None), limits.reported_caps(obs), size)
+    assert "Arrow" not in worked._jdf.queryExecution().toString()
+    folded = limits.fold_limits(limits.with_limit(obs, None), size)
+    assert folded.agg(F.max("used"), F.sum("used"), F.count("*")).first() == (n, n * (n + 1) // 2, n)
