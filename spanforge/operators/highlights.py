@@ -23,73 +23,81 @@ BINS = 24
 MIN_BIN_PERCENT = 10
 
 
+LEVELS = 8  # steps that are taken one by one
+
+
+def _path_id(*own: Column) -> Column:
+    """128 bits that stand for a path: a hash of the two hashes of every key from the top down to `own`."""
+    more = [F.array(c) for c in own] or [F.array().cast("array<bigint>")] * 2
+    return F.struct(*[F.xxhash64(F.concat(f"chain.{n}", m)).alias(n) for n, m in zip("ab", more, strict=True)])
+
+
+def _walk(edges: DataFrame) -> DataFrame:
+    """(log_id, id, step): the nodes on the way down from the top of every log, one edge a parent.
+
+    The first steps are taken one by one from a front of one node a log. Where a log goes on, the steps known are
+    then doubled in each round, by edges that jump 1, 2, 4, ... steps.
+    """
+    below = edges.filter("NOT top").select("log_id", F.col("parent").alias("id"), F.col("id").alias("to"))
+    front = cut(edges.filter("top").select("log_id", "id", F.lit(1).alias("step")))
+    found, step = front, 1
+    while step < LEVELS and not front.isEmpty():
+        front = cut(front.join(below, ["log_id", "id"]).select("log_id", F.col("to").alias("id"), (F.col("step") + 1).alias("step")))
+        found, step = found.unionByName(front), step + 1
+    jump, n = below, 1
+    while not front.isEmpty():
+        tail = found.filter(F.col("step") > step - n)
+        front = cut(tail.join(jump, ["log_id", "id"]).select("log_id", F.col("to").alias("id"), (F.col("step") + n).alias("step")))
+        found, step = cut(found.unionByName(front)), step + n
+        onward = jump.select("log_id", F.col("id").alias("to"), F.col("to").alias("end"))
+        jump, n = cut(jump.join(onward, ["log_id", "to"]).select("log_id", "id", F.col("end").alias("to"))), 2 * n
+    return found
+
+
 def hot_path(spans: DataFrame) -> DataFrame:
     """Follow the largest merged child while it holds 40 % of its parent and more than its self.
 
-    Each merged node is an edge from its parent path. A node is on the hot path when it and all
-    its prefixes are the largest child and pass the edge test, so no walk is needed.
+    Each merged node names its parent by an id of the path, and every parent its largest child. The walk
+    goes down all logs at once, one node a log, until no log goes on; paths themselves are not compared.
     """
-    linked = with_chain(spans, {"key": event_key()})
-    path = F.concat(F.col("chain.key"), F.array(event_key()))
-    nodes = linked.groupBy("log_id", path.alias("key_path")).agg(
-        F.sum("dur_total").alias("total"),
-        F.sum("dur_self").alias("self"),
-        F.count("*").alias("calls"),
-        F.min("event_index").alias("first_index"),
-        F.max_by(
-            F.struct("event_index", "text", "category"),
-            F.struct("dur_total", (-F.col("event_index")).alias("o")),
-        ).alias("worst"),
+    hashes = {"a": F.xxhash64(event_key()), "b": F.xxhash64(F.lit("key"), event_key())}
+    linked = with_chain(spans, hashes)
+    keyed = linked.select("*", _path_id(*hashes.values()).alias("id"), _path_id().alias("parent"), (F.size("chain") == 0).alias("top"))
+    # The merged nodes are read four times below.
+    nodes = cut(
+        keyed.groupBy("log_id", "id", "parent", "top").agg(
+            F.sum("dur_total").alias("total"),
+            F.sum("dur_self").alias("self"),
+            F.count("*").alias("calls"),
+            F.min("event_index").alias("first_index"),
+            F.max_by(
+                F.struct("event_index", "text", "category"),
+                F.struct("dur_total", (-F.col("event_index")).alias("o")),
+            ).alias("worst"),
+        )
     )
-    depth = F.size("key_path")
-    # The merged nodes are read four times, the edges three times below.
-    nodes = cut(nodes).withColumn("parent_path", F.slice("key_path", F.lit(1), depth - 1))
     lead = F.struct("total", (-F.col("first_index")).alias("o"))
-    best = nodes.groupBy("log_id", "parent_path").agg(
-        F.max_by(F.struct("key_path", "total", "self", "calls", "worst"), lead).alias("b")
-    )
-    parent = nodes.select(
-        "log_id",
-        F.col("key_path").alias("parent_path"),
-        F.col("total").alias("p_total"),
-        F.col("self").alias("p_self"),
-    )
-    follows = (F.col("p_total").isNull() & (F.col("b.total") > 0)) | (
-        (F.col("b.total") > 0)
-        & (F.col("b.total") >= FOLLOW_SHARE * F.col("p_total"))
-        & (F.col("p_self") <= F.col("b.total"))
-    )
-    edges = (
-        best.join(parent, ["log_id", "parent_path"], "left")
-        .filter((F.size("parent_path") == 0) | F.col("p_total").isNotNull())
-        .filter(follows)
-        .select("log_id", "b.*")
-    )
-    edges = cut(edges)
-    prefixes = edges.select(
-        "log_id", "key_path", F.explode(F.sequence(F.lit(1), depth)).alias("n")
-    ).select("log_id", "key_path", F.slice("key_path", F.lit(1), F.col("n")).alias("prefix"))
-    whole = (
-        prefixes.join(edges.select("log_id", F.col("key_path").alias("prefix")), ["log_id", "prefix"])
-        .groupBy("log_id", "key_path")
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") == depth)
-        .drop("n")
+    best = nodes.groupBy("log_id", "parent", "top").agg(F.max_by(F.struct("id", "total", "self", "calls", "worst"), lead).alias("b"))
+    above = nodes.select("log_id", F.col("id").alias("parent"), F.col("total").alias("p_total"), F.col("self").alias("p_self"))
+    follows = (F.col("b.total") > 0) & (
+        F.col("top") | ((F.col("b.total") >= FOLLOW_SHARE * F.col("p_total")) & (F.col("p_self") <= F.col("b.total")))
     )
-    on_path = cut(edges.join(whole, ["log_id", "key_path"]).withColumn("step", depth))
+    edges = cut(best.join(above, ["log_id", "parent"], "left").filter(follows).select("log_id", "parent", "top", "b.*"))
+    on_path = edges.join(_walk(edges), ["log_id", "id"])
     last = (
         on_path.groupBy("log_id")
-        .agg(F.max_by(F.struct("key_path", "total", "self", "step"), "step").alias("l"))
+        .agg(F.max_by(F.struct("id", "total", "self", "step"), "step").alias("l"))
         .select(
             "log_id",
-            F.col("l.key_path").alias("parent_path"),
+            F.col("l.id").alias("parent"),
             F.col("l.total").alias("l_total"),
             F.col("l.step").alias("l_step"),
             _clamped("l.self", "l.total").alias("l_self"),
         )
     )
     branches = (
-        nodes.join(last, ["log_id", "parent_path"])
+        nodes.filter("NOT top")
+        .join(last, ["log_id", "parent"])
         .filter(F.col("l_self") < SELF_DOMINANT_SHARE * F.col("l_total"))
         .filter(F.col("total") >= BRANCH_SHARE * F.col("l_total"))
         .withColumn("step", F.col("l_step") + 1)

@@ -227,3 +227,15 @@ def test_many_changes_in_one_second(spark):
     assert "Arrow" not in worked._jdf.queryExecution().toString()
     folded = limits.fold_limits(limits.with_limit(obs, None), size)
     assert folded.agg(F.max("used"), F.sum("used"), F.count("*")).first() == (n, n * (n + 1) // 2, n)
+
+
+def test_hot_path_deeper_than_a_round(spark):
+    """A chain longer than the steps of one plan, next to a path that ends at once."""
+    from spanforge.operators.highlights import LEVELS, hot_path
+
+    deep = [(k, f"f{k}", 1) for k in range(3 * LEVELS)] + [(3 * LEVELS, "leaf", 100)]
+    flat = [(0, "a", 10), (0, "b", 9), (1, "c", 1)]
+    rows = hot_path(span_table(spark, {"deep": deep, "flat": flat, "one": [(0, "x", 5)]})).collect()
+    path = lambda log: [r.text for r in sorted(rows, key=lambda r: r.step) if r.log_id == log and r.kind == "path"]
+    assert path("deep") == [t for _, t, _ in deep] and path("flat") == ["a"] and path("one") == ["x"]
+    assert len(rows) == len(deep) + 2
