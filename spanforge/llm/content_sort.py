@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanforge.llm.stage import cut, one_row, release
+from spanforge.llm.stage import cut, one_row, release, unused
 
 HEAD = 48  # characters of the range key
 SHARE = 1 << 16
@@ -80,15 +80,10 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Rows equal in id and text, whatever their other columns, leave one row, any of them.
     """
-    names = {n: _unused(docs, n) for n in ("id", "own")}
+    a, b, k_id, k_own = unused(docs, "id", "own", "k_id", "k_own")
     own = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    keys = docs.withColumns({names["id"]: F.col(f"`{id_col}`"), names["own"]: own}).dropDuplicates([*names.values()])
-    stay = copies(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("k_id"), F.col("text_hash").alias("k_own"))
-    same = F.col(names["id"]).eqNullSafe(F.col("k_id")) & (F.col(names["own"]) == F.col("k_own"))
+    keys = docs.withColumns({a: F.col(f"`{id_col}`"), b: own}).dropDuplicates([a, b])
+    stay = copies(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias(k_id), F.col("text_hash").alias(k_own))
+    same = F.col(a).eqNullSafe(F.col(k_id)) & (F.col(b) == F.col(k_own))
     return keys.join(stay, same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
-
-def _unused(docs: DataFrame, name: str) -> str:
-    while name in docs.columns:
-        name += "_"
-    return name

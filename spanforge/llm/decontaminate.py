@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.stage import cut, marked, marks
+from spanforge.llm.stage import cut, marked, marks, unused
 
 # Units that may follow a number.
 UNITS = (
@@ -118,13 +118,18 @@ def leaks(
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: list[str] | None = None) -> DataFrame:
-    """`docs`, all columns, without the rows that leak an item."""
+    """`docs`, all columns, without the rows that leak an item.
+
+    A row goes if its id and text leak, so rows repeated as a whole go together; null ids and texts are as in
+    `leaks`, rows with null or empty texts stay, an empty table stays empty.
+    """
     kept = [] if kept is None else kept
-    found = leaks(docs, benchmark, id_col, text_col, kept=kept).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__same")).distinct()
+    f_id, f_same, may = unused(docs, "__id", "__same", "__may")
+    found = leaks(docs, benchmark, id_col, text_col, kept=kept).select(F.col(id_col).alias(f_id), F.col("text_hash").alias(f_same)).distinct()
     same = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     found = cut(found, kept)
-    bitmap = marks(found.select(F.xxhash64("__id", "__same").alias("key")))
-    here = docs.withColumn("__may", marked(bitmap, F.xxhash64(F.col(f"`{id_col}`"), same)))
-    match = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (same == F.col("__same"))
-    stay = here.filter("NOT __may").unionByName(here.filter("__may").join(found, match, "left_anti"))
-    return stay.drop("__may")
+    bitmap = marks(found.select(F.xxhash64(f_id, f_same).alias("key")))
+    here = docs.withColumn(may, marked(bitmap, F.xxhash64(F.col(f"`{id_col}`"), same)))
+    match = F.col(f"`{id_col}`").eqNullSafe(F.col(f_id)) & (same == F.col(f_same))
+    stay = here.filter(~F.col(may)).unionByName(here.filter(F.col(may)).join(found, match, "left_anti"))
+    return stay.drop(may)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanforge.llm.components import components
-from spanforge.llm.stage import cut, marked, marks, slices
+from spanforge.llm.stage import cut, marked, marks, slices, unused
 from spanforge.llm.tokens import U, chain, mix, owners, signed, unsigned, words
 
 BITS = 1 << 20  # sketch bits a part
@@ -319,14 +319,16 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, kept: list[str]) ->
     near = cut(near, kept)
     whole = sets.select("node", "set")
     joined = near.join(whole.toDF("a", "sa"), "a").join(whole.toDF("b", "sb"), "b")
-    return cut(joined.mapInArrow(_verify(percent), "a long, b long"), kept)
+    linked = cut(joined.mapInArrow(_verify(percent), "a long, b long"), kept)
+    return linked
 
 
 def meet(rows: DataFrame, kept: list[str]) -> DataFrame:
     """Rows (key, node, extra) of keys with two nodes or more, each beside the first of its key and two before; and,
     with extra -1, nodes that a key has several times."""
     met = rows.repartition("key").sortWithinPartitions("key", "node")
-    return cut(met.mapInArrow(_meetings, "key long, node long, extra int, first long, before long, earlier long"), kept)
+    met = cut(met.mapInArrow(_meetings, "key long, node long, extra int, first long, before long, earlier long"), kept)
+    return met
 
 
 def resolve(met: DataFrame, fetch: Callable[[np.ndarray], DataFrame], percent: int, kept: list[str]) -> DataFrame:
@@ -411,17 +413,19 @@ def one_of_each(
     named = linked_rows(docs, id_col, text_col, words_each, percent, kept).filter("size > 0")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "same")
     chosen = cut(named.groupBy("part").agg(F.min(place).alias("chosen")), kept)
+    names = unused(docs, "__id", "__same", "__rows", "__stays", "__text", "__may")
+    r_id, r_same, rows, stays, text, may_be = names
     judged = named.join(chosen, "part").groupBy("id", "same").agg(F.count("*").alias("rows"), F.bool_or(place == F.col("chosen")).alias("stays"))
-    judged = cut(judged.filter("rows > 1 OR NOT stays").toDF("__id", "__same", "__rows", "__stays"), kept)
+    judged = cut(judged.filter("rows > 1 OR NOT stays").toDF(*names[:4]), kept)
     # only rows that may be judged move; the others are kept where they are read
     same = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    bitmap, key = marks(judged.select(F.xxhash64("__id", "__same").alias("key"))), F.xxhash64(F.col(f"`{id_col}`"), F.col("__text"))
-    here = docs.withColumn("__text", same).withColumn("__may", marked(bitmap, key))
-    may = here.filter("__may")
-    match = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__same"))
-    stay = here.filter("NOT __may").unionByName(may.join(judged, match, "left_anti"))
-    again = judged.filter("__stays")
+    bitmap, key = marks(judged.select(F.xxhash64(r_id, r_same).alias("key"))), F.xxhash64(F.col(f"`{id_col}`"), F.col(text))
+    here = docs.withColumn(text, same).withColumn(may_be, marked(bitmap, key))
+    may = here.filter(F.col(may_be))
+    match = F.col(f"`{id_col}`").eqNullSafe(F.col(r_id)) & (F.col(text) == F.col(r_same))
+    stay = here.filter(~F.col(may_be)).unionByName(may.join(judged, match, "left_anti"))
+    again = judged.filter(F.col(stays))
     if again.limit(1).count():
-        once = may.join(again, match, "left_semi").dropDuplicates([id_col, "__text"])
+        once = may.join(again, match, "left_semi").dropDuplicates([id_col, text])
         stay = stay.unionByName(once)
-    return stay.drop("__text", "__may")
+    return stay.drop(text, may_be)

@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.stage import cut, marked, marks
+from spanforge.llm.stage import cut, marked, marks, unused
 
 RUN = "[A-Za-z0-9+/_=-]"
 KEYWORD = r"(?i)(token|secret|passw|pwd|api.?key|apikey|access.?key|credential|auth|private|bearer|signature)"
@@ -131,19 +131,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", given:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: list[str] | None = None) -> DataFrame:
-    """Rows of `docs` with each secret replaced by a mark; a column `n_chars` is brought in line where text changes."""
+    """Rows of `docs` with each secret replaced by a mark; a column `n_chars` is brought in line where text changes.
+
+    No row goes and no other column changes. Null and empty texts stay as they are, rows repeated as a whole
+    change alike, null ids match by their text, an empty table stays empty.
+    """
     kept = [] if kept is None else kept
-    secrets = scan(docs, id_col, text_col, kept=kept).groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash"))
-    secrets = secrets.agg(F.array_sort(F.collect_set("run"), lambda a, b: F.length(b) - F.length(a)).alias("__runs"))
+    s_id, s_hash, runs, may = unused(docs, "__id", "__hash", "__runs", "__may")
+    secrets = scan(docs, id_col, text_col, kept=kept).groupBy(F.col(id_col).alias(s_id), F.col("text_hash").alias(s_hash))
+    secrets = secrets.agg(F.array_sort(F.collect_set("run"), lambda a, b: F.length(b) - F.length(a)).alias(runs))
     key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     secrets = cut(secrets, kept)
-    bitmap = marks(secrets.select(F.xxhash64("__id", "__hash").alias("key")))
-    here = docs.withColumn("__may", marked(bitmap, F.xxhash64(F.col(f"`{id_col}`"), key)))
-    match = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (key == F.col("__hash"))
-    joined = here.filter("__may").join(secrets, match, "left")
-    clean = F.when(F.col("__runs").isNull(), F.col(f"`{text_col}`")).otherwise(F.aggregate("__runs", F.col(f"`{text_col}`"), lambda t, s: F.replace(t, s, F.lit(MARK))))
+    bitmap = marks(secrets.select(F.xxhash64(s_id, s_hash).alias("key")))
+    here = docs.withColumn(may, marked(bitmap, F.xxhash64(F.col(f"`{id_col}`"), key)))
+    match = F.col(f"`{id_col}`").eqNullSafe(F.col(s_id)) & (key == F.col(s_hash))
+    joined = here.filter(F.col(may)).join(secrets, match, "left")
+    clean = F.when(F.col(runs).isNull(), F.col(f"`{text_col}`")).otherwise(F.aggregate(runs, F.col(f"`{text_col}`"), lambda t, s: F.replace(t, s, F.lit(MARK))))
     out = {text_col: clean}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("__runs").isNull(), F.col("n_chars")).otherwise(F.length(clean)).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(F.col(runs).isNull(), F.col("n_chars")).otherwise(F.length(clean)).cast(docs.schema["n_chars"].dataType)
     changed = joined.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
-    return here.filter("NOT __may").drop("__may").unionByName(changed)
+    return here.filter(~F.col(may)).drop(may).unionByName(changed)

@@ -56,6 +56,17 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
         release(spark, paths)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer where `df` has a column of that name, so that helper columns never clash."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text modulo `folds`; -1 for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(-1))

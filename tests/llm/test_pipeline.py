@@ -87,3 +87,23 @@ def test_every_operator_is_registered():
     assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert {*QUERIES, "pipeline"} <= set(e.queries()) and set(ORACLE) <= set(e.oracle_sql())
     assert [n for n, _ in C.STAGES] == ["language_id", "ngram_jaccard_join", "benchmark_decontamination", "secret_scan", "packing"]
+
+
+def test_helper_names_of_the_stages_do_not_clash(spark, tmp_path):
+    from spanforge.llm import content_sort, decontaminate, jaccard_join, secret_scan
+
+    taken = ["__id", "__same", "__rows", "__stays", "__text", "__may", "__hash", "__runs", "id", "own", "k_id", "k_own"]
+    secret = "a1b2c3d4e5" * 4
+    say = lambda k: " ".join("abcdefghij"[(i * 3 + k) % 10] + "klmnopq"[(i + 2 * k) % 7] + "rstuv"[i % 5] for i in range(60))
+    rows = [(i, say(i // 2) + (f' token = "{secret}"' if i == 5 else "")) for i in range(8)] + [(None, None), (9, "")]
+    docs = spark.createDataFrame([(*r, *range(len(taken))) for r in rows], "doc_id long, text string, " + ", ".join(f"`{c}` long" for c in taken))
+    items = spark.createDataFrame([(1, say(3))], "item_id long, text string")
+    for name, left, fewer in [
+        ("join", jaccard_join.one_of_each(docs), True),
+        ("leaks", decontaminate.without_leaks(docs, items), True),
+        ("secrets", secret_scan.redact(docs), False),
+        ("copies", content_sort.without_copies(docs), True),
+    ]:
+        got = left.collect()
+        assert left.columns == docs.columns and all(list(r)[2:] == [*range(len(taken))] for r in got)
+        assert (len(got) < len(rows)) == fewer, name
