@@ -1,6 +1,7 @@
-"""Secret scan: long key-like runs of characters, sorted out by a random forest.
+"""Secret scan: key-like runs of characters, sorted out by a random forest.
 
-Every run of key characters of some length is a candidate. The forest removes false positives by length,
+Every run of key characters of some length is a candidate; a shorter run, or a quoted value with other signs,
+is one if a keyword or an assignment stands before it and it holds a letter beside a digit or sign. The forest removes false positives by length,
 character classes and their changes, coverage by frequent letter triples of the corpus' long words, signs
 of a path, and the words beside it. It is trained from labelled findings: rows of `candidates` with a
 `label`, either given or set by `rule_labels`. Only DataFrame functions and the built-in forest are used.
@@ -16,25 +17,65 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.stage import cut, marked, marks, unused
 
-RUN = "[A-Za-z0-9+/_=-]"
-KEYWORD = r"(?i)(token|secret|passw|pwd|api.?key|apikey|access.?key|credential|auth|private|bearer|signature)"
+KEY = "[A-Za-z0-9+/_-]"  # an equals sign ends a name or fills up a value
+SIGN = "[^A-Za-z0-9+/_=.-]"
+KEYWORD = r"(?i)(token|secret|passw|pwd|api.?key|apikey|access.?key|credential|auth(?!or)|private|bearer|signature)"
+ASSIGNED = r"[=:]\s*[\"'`]?$"
+NEAR = 40  # characters before a run that count as its neighbours
 FEATURES = [
-    "length", "digits", "uppers", "distinct", "changes", "vowels", "covered", "slashes", "dots", "named", "assigned", "quoted", "next_is_word",
+    "length", "digits", "uppers", "distinct", "changes", "vowels", "covered", "slashes", "signs", "dots", "named", "assigned", "quoted", "next_is_word",
 ]
 MARK = "<secret>"
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 16) -> DataFrame:
-    """(id, text_hash, place, word, run, before, before2, after): runs of at least `least` key characters,
-    the word they stand in, its number and its neighbours."""
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 16, short: int = 6, most: int = 64) -> DataFrame:
+    """(id, text_hash, place, word, run, head, before, before2, after): runs of at least `least` key characters,
+    and behind a keyword or an assignment runs of at least `short` and quoted values of at most `most` characters.
+
+    `place` numbers the word a run stands in, `head` is what the word holds before it (NEAR characters), `before2`,
+    `before` and `after` are its neighbours; of words longer than `most` + 4 * NEAR `word` holds the head and the run.
+    A name and an equals sign before a value are no part of a run."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     words = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_hash"), F.split(text, r"[\x20\x09-\x0D]+").alias("w"))
-    # most words are too short: only numbers of the others go on
-    long = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (F.length(F.get("w", i)) >= least) & F.get("w", i).rlike(f"{RUN}{{{least},}}"))
     near = lambda i, by: F.coalesce(F.get("w", i + by), F.lit(""))
-    found = F.transform(long, lambda i: F.struct(i.alias("place"), F.get("w", i).alias("word"), near(i, -1).alias("before"), near(i, -2).alias("before2"), near(i, 1).alias("after")))
+    tied = lambda i: F.get("w", i).rlike("[=:]") | near(i, -1).rlike("[=:]$") | F.concat_ws(" ", near(i, -2), near(i, -1)).rlike(KEYWORD)
+    # most words are too short or stand alone: only numbers of the others go on
+    lengthy = lambda i: (F.length(F.get("w", i)) >= least) & F.get("w", i).rlike(f"{KEY}{{{least},}}")
+    brief = lambda i: (F.length(F.get("w", i)) >= short) & F.get("w", i).rlike(f"[0-9]|{SIGN}") & F.get("w", i).rlike("[A-Za-z]") & tied(i)
+    some = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: lengthy(i) | brief(i))
+    side = lambda c: F.substring(c, -NEAR, NEAR)
+    found = F.transform(some, lambda i: F.struct(i.alias("place"), F.get("w", i).alias("word"), side(near(i, -1)).alias("before"), side(near(i, -2)).alias("before2"), F.left(near(i, 1), F.lit(NEAR)).alias("after")))
     rows = words.select("id", "text_hash", F.explode(found).alias("s")).select("id", "text_hash", "s.*")
-    return rows.withColumn("run", F.explode(F.regexp_extract_all("word", F.lit(f"{RUN}{{{least},}}"), F.lit(0))))
+
+    start, end = f"(?<!{KEY})", f"(?!{KEY})"
+    patterns = [
+        f"{start}({KEY}{{{least},}}+=*+){end}",
+        f"{start}({KEY}{{{short},{least - 1}}}+=*+){end}",
+        rf"[\"'`]([^\"'`\\]{{{short},{most}}}+)[\"'`]",
+    ]
+
+    def pieces(kind: int) -> Column:
+        """What stands before each run of one pattern, as far as no earlier run does, and the run."""
+        at = F.lit(rf"(.{{0,{NEAR}}}?){patterns[kind]}")
+        return F.arrays_zip(F.regexp_extract_all("word", at, F.lit(1)).alias("head"), F.regexp_extract_all("word", at, F.lit(2)).alias("run"))
+
+    def whole(kind: int) -> Column:
+        """The pieces with heads of NEAR characters, through earlier runs too, and the rules for brief runs."""
+        name, back = f"p{kind}", range(-(-NEAR // short), 0, -1)
+        earlier = lambda i: [F.coalesce(F.get(name, i - k)[f], F.lit("")) for k in back for f in ("head", "run")]
+        both = F.transform(name, lambda p, i: F.struct(side(F.concat(*earlier(i), p["head"])).alias("head"), p["run"].alias("run")))
+        if kind == 0:
+            return both
+        ahead = lambda p: F.concat_ws(" ", "before2", "before", p["head"])
+        mixed = lambda p: p["run"].rlike("[A-Za-z]") & p["run"].rlike(f"[0-9]|{SIGN}")
+        plain = lambda p: ~p["run"].rlike(f"^{KEY}+=*$")
+        tied = lambda p: ahead(p).rlike(KEYWORD) | F.concat_ws(" ", "before", p["head"]).rlike(ASSIGNED)
+        return F.filter(both, lambda p: mixed(p) & tied(p) & (plain(p) if kind == 2 else F.lit(True)))
+
+    rows = rows.select("*", *[pieces(k).alias(f"p{k}") for k in range(3)])
+    rows = rows.select("*", F.explode(F.concat(*[whole(k) for k in range(3)])).alias("p")).select("*", "p.*").drop("p", "p0", "p1", "p2")
+    cut_off = F.length("word") > most + 4 * NEAR
+    return rows.withColumn("word", F.when(cut_off, F.concat("head", "run")).otherwise(F.col("word")))
 
 
 def frequent_triples(found: DataFrame, share: int = 2000) -> list[int]:
@@ -67,7 +108,7 @@ def features(found: DataFrame, bitmap: list[int]) -> DataFrame:
         return inside & (bit == 1)
 
     covered = F.size(F.filter(F.sequence(F.lit(1), size - 2), known)) / (size - 2)
-    context = F.concat_ws(" ", "before2", "before", F.expr("substring_index(word, run, 1)"))
+    context = F.concat_ws(" ", "before2", "before", "head")
     columns = {
         "length": size.cast("double"),
         "digits": count("[0-9]"),
@@ -77,9 +118,10 @@ def features(found: DataFrame, bitmap: list[int]) -> DataFrame:
         "vowels": count("[aeiouAEIOU]"),
         "covered": covered.cast("double"),
         "slashes": count("[/]"),
+        "signs": count(SIGN),
         "dots": F.col("word").contains(".").cast("double"),
         "named": context.rlike(KEYWORD).cast("double"),
-        "assigned": context.rlike(r"[=:]\s*[\"']?$").cast("double"),
+        "assigned": context.rlike(ASSIGNED).cast("double"),
         "quoted": F.col("word").rlike("[\"'`]").cast("double"),
         "next_is_word": F.col("after").rlike(r"^\p{L}+[.,]?$").cast("double"),
     }
@@ -87,11 +129,14 @@ def features(found: DataFrame, bitmap: list[int]) -> DataFrame:
 
 
 def rule_labels(rows: DataFrame) -> DataFrame:
-    """`label` 1 for runs of letters and digits that are assigned to a keyword, 0 for runs without keyword
-    that are letters or digits only, null where neither rule decides."""
-    mixed = (F.col("digits") > 0.1) & (F.col("digits") < 0.95) & (F.col("distinct") > 0.2)
+    """`label` 1 for runs of letters and digits or signs that are assigned to a keyword, 0 for runs without
+    keyword that are letters or digits only, null where neither rule decides. The rules look at some of the
+    features, so a forest trained from them repeats the rules on clear cases; reviewed findings, given as
+    labels, are better."""
+    part = F.col("digits") + F.col("signs")
+    mixed = (part > 0.1) & (F.col("digits") < 0.95) & (F.col("distinct") > 0.2)
     sure = (F.col("named") == 1) & (F.col("assigned") == 1) & mixed
-    plain = (F.col("named") == 0) & ((F.col("digits") == 0) | (F.col("digits") == 1))
+    plain = (F.col("named") == 0) & ((part == 0) | (F.col("digits") == 1))
     return rows.withColumn("label", F.when(sure, 1.0).when(plain, 0.0))
 
 
@@ -146,7 +191,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept
     here = docs.withColumn(may, marked(bitmap, F.xxhash64(F.col(f"`{id_col}`"), key)))
     match = F.col(f"`{id_col}`").eqNullSafe(F.col(s_id)) & (key == F.col(s_hash))
     joined = here.filter(F.col(may)).join(secrets, match, "left")
-    clean = F.when(F.col(runs).isNull(), F.col(f"`{text_col}`")).otherwise(F.aggregate(runs, F.col(f"`{text_col}`"), lambda t, s: F.replace(t, s, F.lit(MARK))))
+    alone = lambda s: F.concat(F.lit(rf"(?<!{KEY})\Q"), s, F.lit(rf"\E(?!{KEY})"))  # noqa: E731  short ones may be parts of words
+    clean = F.when(F.col(runs).isNull(), F.col(f"`{text_col}`")).otherwise(F.aggregate(runs, F.col(f"`{text_col}`"), lambda t, s: F.regexp_replace(t, alone(s), F.lit(MARK))))
     out = {text_col: clean}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(F.col(runs).isNull(), F.col("n_chars")).otherwise(F.length(clean)).cast(docs.schema["n_chars"].dataType)

@@ -1,6 +1,7 @@
 """Held-out findings, redaction and odd rows."""
 
 import random
+import re
 
 from spanforge.llm import secret_scan as S
 
@@ -49,6 +50,83 @@ def test_redaction_keeps_the_rest(spark):
     assert {r.doc_id for r in got.filter("text LIKE '%<secret>%'").collect()} == {*secrets, None, 502}
 
 
+def plain_candidates(text):
+    """(place, run) by loops over characters."""
+    key = lambda c: c.isascii() and (c.isalnum() or c in "+/_-")
+    words, out = [w for w in re.split(r"[ \t-\r]", text)], []
+    for place, w in enumerate(words):
+        around = words[max(place - 2, 0) : place]
+        spans = []
+        i = 0
+        while i < len(w):
+            if not key(w[i]):
+                i += 1
+                continue
+            j = i
+            while j < len(w) and key(w[j]):
+                j += 1
+            stop = j
+            while stop < len(w) and w[stop] == "=":
+                stop += 1
+            if j - i >= 6 and not (stop < len(w) and key(w[stop])):
+                spans.append((i, stop, j - i >= 16))
+            i = j
+        marks = [k for k, c in enumerate(w) if c in "\"'`"]
+        for a, b in zip(marks, marks[1:]):
+            inner = w[a + 1 : b]
+            if 6 <= len(inner) <= 64 and "\\" not in inner and not re.fullmatch(r"[A-Za-z0-9+/_-]+=*", inner):
+                spans.append((a + 1, b, False))
+        for a, b, sure in spans:
+            run, ahead = w[a:b], " ".join([*around, w[:a]])
+            mixed = re.search("[A-Za-z]", run) and re.search(r"[0-9]|[^A-Za-z0-9+/_=.-]", run)
+            if sure or mixed and (re.search(S.KEYWORD, ahead) or re.search(S.ASSIGNED, " ".join([*around[-1:], w[:a]]))):
+                out.append((place, run))
+    return sorted(out)
+
+
+ODD = [
+    'password = "hunter2x9" here', "api_key=abcd1234efgh and more", 'pwd: "tr0ub4dor&3!" ok', "the secret garden of 1234567", "x = item42b, and y = 12345678",
+    "auth: p@ss", "token abc12def", "author = chapter12x", "nothing abc12def here", 'log "a b" `c`', "export my_long_secret_access_key=QUJDRDEyMzQ1Njc4OTA=", "", "  ",
+    'password="hunter2x9"', '{"user":"some1abc","password":"p!ssw0rd","n":1}', 'see https://a.org/b?token=ab12cd34&x=1', "key = 'a.b$c!d'", "=abcdef1", 'passwd="un\\quoted1"',
+]
+
+
+def test_candidates_equal_loops_over_characters(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
+    got = {}
+    for r in S.candidates(docs).collect():
+        got.setdefault(r.id, []).append((r.place, r.run))
+    assert {i: sorted(v) for i, v in got.items()} == {i: plain_candidates(t) for i, t in enumerate(ODD) if plain_candidates(t)}
+
+
+def test_short_values_and_values_with_signs(spark):
+    rng = random.Random(3)
+    data, secrets = rows(rng, 160)
+    extra = {}
+    for i in range(1000, 1060):
+        size = rng.randint(8, 15)
+        value = "".join(rng.choice("abcdefghjkmnpqrstuvwxyz23456789" + "!@$" * (i % 2)) for _ in range(size - 3)) + "7k" + "!4"[i % 2 == 0]
+        extra[i] = value
+        data.append((i, f'all the words before password = "{value}" and all the words behind', "x", 1.0, 5))
+    harmless = [
+        (2000, "the author wrote chapter12x and the secret garden", "x", 1.0, 5), (2001, "note: item42bb of 2024-05-06 was sold", "x", 1.0, 5),
+        (2002, "summer1xyz and summer1xyzw", "x", 1.0, 5),
+    ]
+    docs = spark.createDataFrame(data + harmless, SCHEMA)
+    found = {(r.doc_id, r.run) for r in S.scan(docs).collect()}
+    assert len(found & set(extra.items())) >= 0.95 * len(extra) and {*secrets.items()} <= found
+    assert not {i for i, _ in found} & {2000, 2001, 2002}
+    one = spark.createDataFrame([(1, 'password = "summer1x" but summer1xyz stays, summer1x goes', "x", 1.0, 0)], SCHEMA)
+    assert [r.text for r in S.redact(one).collect()] == ['password = "<secret>" but summer1xyz stays, <secret> goes']
+
+
+def test_a_long_word_of_many_runs_stays_small(spark):
+    word = ",".join(f'"k{i}":"{"0123456789abcdef" * 2}{i}"' for i in range(3000))
+    got = S.candidates(spark.createDataFrame([(1, word), (2, "a" * 300_000 + "=b")], "doc_id long, text string"))
+    assert got.filter("id = 1 AND length(run) > 30").count() == 3000
+    assert got.agg({"word": "max"}).count() == 1 and got.selectExpr("max(length(word)) AS n").first().n < 300
+
+
 def test_one_class_and_empty(spark):
     docs = spark.createDataFrame([(1, "token = abcdef0123456789abcdef01 here", "x", 1.0, 5)], SCHEMA)
     assert [r.run for r in S.scan(docs).collect()] == ["abcdef0123456789abcdef01"]
