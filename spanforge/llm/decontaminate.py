@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.stage import cut, marked, marks, unused
+from spanforge.llm.stage import MARKS, cut, marked, marks, unused
 
 # Units that may follow a number.
 UNITS = (
@@ -43,6 +43,12 @@ def _hash(words: Column, at: Column, size: Column | int) -> Column:
     return F.xxhash64(F.slice(words, at, size))
 
 
+def _may(bitmap: Column, h: Column) -> Column:
+    """As `marked`, for every window of every text: bits instead of remainders, as MARKS is a power of two."""
+    word = F.get(bitmap, F.call_function("shiftright", h, F.lit(6)).bitwiseAND(F.lit(MARKS // 64 - 1)).cast("int"))
+    return F.call_function("shiftright", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """(item_id, n_windows, n_open, at, size, open, exact, h, item_words, slots): every window by its case-folded
     words (`exact`), and by its template as well where that has placeholders in half of its words at most (more
@@ -110,7 +116,7 @@ def leaks(
         at = lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), _hash(F.col("t"), i, size).alias("h"), _hash(F.col("raw"), i, size).alias("own"))
         return F.transform(_windows(size, F.size("t")), at)
 
-    near = [F.filter(hashes(n), lambda s: marked(bitmap, s["h"]) | marked(bitmap, s["own"])) for n in sizes]
+    near = [F.filter(hashes(n), lambda s: _may(bitmap, s["h"]) | ((s["own"] != s["h"]) & _may(bitmap, s["own"]))) for n in sizes]
     hits = F.flatten(F.array(*near)) if near else F.array().cast("array<struct<at:int,size:int,h:long,own:long>>")
     rows = words.select("id", "text_hash", F.explode(F.transform(hits, lambda s: F.struct(s["at"].alias("doc_at"), s["size"].alias("size"), s["h"].alias("h"), s["own"].alias("own"), F.slice("raw", s["at"], s["size"]).alias("doc_words")))).alias("s"))
     keys = F.array(F.struct(F.lit(True).alias("exact"), F.col("s.own").alias("h")), F.struct(F.lit(False).alias("exact"), F.col("s.h").alias("h")))
