@@ -34,6 +34,7 @@ from spanforge.llm.tokens import U, chain, mix, owners, signed, unsigned, words
 
 BITS = 1 << 20  # sketch bits a part
 FOLDED = 2048  # bits of the folded sketch
+SHORT = 256  # bits of it folded again
 BLOCK = 2048  # nodes of a key compared in one task
 BLOOM = 1 << 25  # bits of the filter of nodes whose sets are fetched; a fixed size
 
@@ -58,8 +59,11 @@ def distinct(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarra
     keep = (left >= n) | short
     out, own = out[keep], own[keep]
     begin = np.searchsorted(own, np.arange(len(offsets)))
-    parts = [np.unique(out[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
-    return np.concatenate([np.zeros(0, U), *parts]), np.cumsum([0, *map(len, parts)])
+    for a, b in zip(begin[:-1], begin[1:], strict=True):
+        out[a:b].sort()
+    new = np.ones(len(out), dtype=bool)
+    new[1:] = (out[1:] != out[:-1]) | (own[1:] != own[:-1])
+    return out[new], np.searchsorted(own[new], np.arange(len(offsets)))
 
 
 def nodes(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -105,9 +109,12 @@ def sketch(keys: np.ndarray, band: int, low: np.ndarray, percent: int) -> tuple[
     return chain(mix(named + U(band << 40), 15), value), max(spare - empty, 0)
 
 
-def fold(keys: np.ndarray) -> bytes:
-    bits = np.bincount((keys & U(FOLDED - 1)).astype(np.int64), minlength=FOLDED) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+def folds(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The folded sketch of each set, FOLDED / 8 bytes one after another."""
+    bit = (keys & U(FOLDED - 1)).astype(np.int64)
+    out = np.zeros((len(at) - 1) * FOLDED // 8, dtype=np.uint8)
+    np.bitwise_xor.at(out, owners(at) * (FOLDED // 8) + (bit >> 3), np.uint8(1) << (bit & 7).astype(np.uint8))
+    return out
 
 
 def in_filter(node: np.ndarray, bloom: np.ndarray) -> np.ndarray:
@@ -118,12 +125,18 @@ def in_filter(node: np.ndarray, bloom: np.ndarray) -> np.ndarray:
 SETS = "node long, size long, folded binary, set binary"
 
 
+def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
 def set_rows(keys: np.ndarray, at: np.ndarray, node: np.ndarray, bloom: np.ndarray) -> pa.RecordBatch:
     """SETS of the non-empty sets whose node is in the filter."""
     size = np.diff(at)
-    hit = np.flatnonzero((size > 0) & in_filter(node, bloom))
-    sets = [keys[at[i] : at[i + 1]] for i in hit]
-    columns = [pa.array(signed(node[hit])), pa.array(size[hit]), pa.array([fold(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+    hit = (size > 0) & in_filter(node, bloom)
+    node, keys, size = node[hit], keys[np.repeat(hit, size)], size[hit]
+    at = np.concatenate([[0], np.cumsum(size)])
+    each = np.arange(len(node) + 1) * (FOLDED // 8)
+    columns = [pa.array(signed(node)), pa.array(size), _binary(folds(keys, at), each), _binary(keys, at * 8)]
     return pa.record_batch(columns, ["node", "size", "folded", "set"])
 
 
@@ -246,14 +259,19 @@ def _across(half: np.ndarray, node: np.ndarray, part: np.ndarray, size: np.ndarr
         jobs = [(np.flatnonzero(~main), np.arange(len(node)))]
     else:
         jobs = [(np.flatnonzero((half == 0) & ~main), np.flatnonzero(half == 1)), (np.flatnonzero((half == 0) & main), np.flatnonzero((half == 1) & ~main))]
+    # folded once more: distances only shrink, and of small sets few pairs are left to compare in full
+    short = np.bitwise_xor.reduce(bits.reshape(len(bits), -1, SHORT // 64), axis=1)
     out = [np.zeros((0, 2), dtype=np.int64)]
     for left, right in jobs:
         for at in range(0, len(left), 16):
             x = left[at : at + 16]
-            ok = _near(bits[x][:, None], bits[right][None], size[x][:, None], size[right][None], percent)
+            ok = _near(short[x][:, None], short[right][None], size[x][:, None], size[right][None], percent)
             ok &= part[x][:, None] != part[right][None]
             i, j = np.nonzero(ok)
-            out.append(np.stack([np.minimum(node[x[i]], node[right[j]]), np.maximum(node[x[i]], node[right[j]])], axis=1))
+            i, j = x[i], right[j]
+            full = _near(bits[i], bits[j], size[i], size[j], percent)
+            i, j = i[full], j[full]
+            out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
     return np.unique(np.concatenate(out), axis=0)
 
 
@@ -336,7 +354,7 @@ def resolve(met: DataFrame, fetch: Callable[[np.ndarray], DataFrame], percent: i
     `meet`; extra % 4096 of a node's keys in band extra div 4096 may be left out. `fetch` gives SETS for the
     nodes in a filter."""
     met = met.filter("extra >= 0")
-    sets = fetch(filter_bits(met.select("node").distinct()))
+    sets = fetch(filter_bits(met.select("node")))
     sets = cut(sets.groupBy("node").agg(F.first("size").alias("size"), F.first("folded").alias("folded"), F.first("set").alias("set")), kept)
 
     pair = [F.least("other", "node").alias("a"), F.greatest("other", "node").alias("b")]
