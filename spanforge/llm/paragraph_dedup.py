@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from spanforge.llm.jaccard_join import SETS, distinct, filter_bits, in_filter, meet, nodes, resolve, set_rows
 from spanforge.llm.stage import cut, slices
-from spanforge.llm.tokens import U, chain, mix, owners, raw, signed, words
+from spanforge.llm.tokens import U, chain, mix, owners, raw, signed, unsigned, words
 
 
 class Shape(NamedTuple):
@@ -102,46 +102,45 @@ def units(texts: pa.Array, shape: Shape) -> Units:
     return Units(of, first - w.offsets[of], last - w.offsets[of], w.starts[first] - base, w.ends[last] - base, np.concatenate([nodes(keys, at), node]), keys, at, sets)
 
 
-PLACES = "id long, same long, first_word long, last_word long, start long, stop long, node long"
+UNITS = "id long, same long, first_word int, last_word int, start long, stop long, node long, keys array<long>"
 
 
-def _places(shape: Shape, bits: np.ndarray):
-    """PLACES of the units whose node is in the filter."""
+def _units(shape: Shape, bands: int, rows: int):
+    """UNITS of every text: `keys` are the bands of a line, and the one of a window."""
+    factors = mix(np.arange(1, bands * rows + 1, dtype=U), 61) | U(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 u = units(part.column("text"), shape)
-                hit = in_filter(u.node, bits)
-                doc = pa.array(u.doc[hit])
-                numbers = [pa.array(x[hit].astype(np.int64)) for x in (u.first_word, u.last_word, u.start, u.stop)]
-                columns = [part.column("id").take(doc), part.column("same").take(doc), *numbers, pa.array(signed(u.node[hit]))]
-                yield pa.record_batch(columns, [c.split()[0] for c in PLACES.split(", ")])
+                n, m = len(u.at) - 1, len(u.windows)
+                of_lines = np.empty((n, bands), dtype=U)
+                for b in range(bands if n else 0):
+                    key = np.full(n, b + 1, dtype=U)
+                    for f in factors[b * rows : (b + 1) * rows]:
+                        key = chain(key, np.minimum.reduceat(u.keys * f, u.at[:-1]))
+                    of_lines[:, b] = key
+                key = np.zeros(m, dtype=U)
+                for f in factors[:rows] if m else ():
+                    key = chain(key, np.where(u.windows == LAST, LAST, u.windows * f).min(axis=1))
+                ends = np.concatenate([np.arange(n + 1) * bands, n * bands + np.arange(1, m + 1)]).astype(np.int32)
+                doc = pa.array(u.doc)
+                columns = [
+                    part.column("id").take(doc), part.column("same").take(doc),
+                    *(pa.array(x.astype(np.int32)) for x in (u.first_word, u.last_word)), *(pa.array(x.astype(np.int64)) for x in (u.start, u.stop)),
+                    pa.array(signed(u.node)), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate([of_lines.ravel(), key])))),
+                ]
+                yield pa.record_batch(columns, [c.split()[0] for c in UNITS.split(", ")])
 
     return run
 
 
-def _bands(shape: Shape, bands: int, rows: int):
-    factors = mix(np.arange(1, bands * rows + 1, dtype=U), 61) | U(1)
-
-    def rows_of(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(signed(key)), pa.array(signed(node)), pa.array(np.zeros(len(node), np.int32))], ["key", "node", "extra"])
+def _among(bits: np.ndarray):
+    """The rows whose `node` is in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                u = units(part.column("text"), shape)
-                n = len(u.at) - 1
-                for b in range(bands if n else 0):
-                    key = np.full(n, b + 1, dtype=U)
-                    for f in factors[b * rows : (b + 1) * rows]:
-                        key = chain(key, np.minimum.reduceat(u.keys * f, u.at[:-1]))
-                    yield rows_of(key, u.node[:n])
-                if len(u.windows):
-                    key = np.zeros(len(u.windows), dtype=U)
-                    for f in factors[:rows]:
-                        key = chain(key, np.where(u.windows == LAST, LAST, u.windows * f).min(axis=1))
-                    yield rows_of(key, u.node[n:])
+            yield batch.filter(pa.array(in_filter(unsigned(np.asarray(batch.column("node"))), bits)))
 
     return run
 
@@ -185,10 +184,11 @@ def repeated_paragraphs(
     bands, rows = tune(percent / 100, recall)
     text = F.col(f"`{text_col}`")
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("same"), text.alias("text"))
-    met = meet(source.select("text").mapInArrow(_bands(shape, bands, rows), "key long, node long, extra int"), kept)
+    each = cut(source.mapInArrow(_units(shape, bands, rows), UNITS), kept)
+    met = meet(each.select(F.explode("keys").alias("key"), "node", F.lit(0).alias("extra")), kept)
     label = resolve(met, lambda bits: source.select("text").mapInArrow(_sets(shape, bits), SETS), percent, kept)
-    bits = filter_bits(met.select("node").distinct())
-    named = source.mapInArrow(_places(shape, bits), PLACES).join(label.toDF("node", "part"), "node", "left")
+    places = each.drop("keys")
+    named = places.mapInArrow(_among(filter_bits(met.select("node"))), places.schema).join(label.toDF("node", "part"), "node", "left")
     named = cut(named.withColumn("cluster", F.coalesce("part", "node")).drop("node", "part"), kept)
     doc = F.struct(F.col("id").isNull().alias("none"), "id", "same")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "same", "start")
@@ -198,6 +198,6 @@ def repeated_paragraphs(
     upto = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
     run = F.sum((F.coalesce(upto, F.lit(-1)) < F.col("start")).cast("int")).over(by)
     stretch = found.withColumn("run", run).groupBy("id", "same", "removed", "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("last_word") - F.min("first_word") + 1).alias("n_words")
+        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("last_word") - F.min("first_word") + 1).cast("long").alias("n_words")
     )
     return stretch.select(F.col("id").alias(id_col), "start", "stop", "n_words", "removed")
