@@ -139,11 +139,17 @@ def _table(schema: str, fn):
 def fit(
     docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample: int = 20_000, most_languages: int = 256, smooth: float = 0.2
 ) -> Model:
-    """A model from the rows with a language, at most about `sample` rows of each of the `most_languages`
-    most frequent languages (ties by name). Which rows is settled by a hash of the text. Whole texts count.
+    """A model from the rows with a language, at most about `sample` rows of each. Which rows is settled by a
+    hash of the text; whole texts count. Null languages and texts are passed over, repeated rows count each
+    time, an empty table gives a model that knows no language, other columns are not read.
+
+    The model holds a row of scores a language, and so does each task while it counts; with more than
+    `most_languages` languages this raises ValueError instead of leaving any out.
     """
     rows = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    sizes = rows.groupBy("lang").count().limit(most_languages + 1).collect()  # one more tells that there are too many
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages: give fit a larger most_languages")
     langs = sorted(r["lang"] for r in sizes)
     table = np.full((len(langs), BUCKETS), smooth, dtype=np.float64)
     seen = np.zeros((len(SCRIPTS), len(langs)))

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from spanforge.llm import language_id as L
 
@@ -70,3 +71,11 @@ def test_script_rules_out_languages(spark):
     model = model_of(spark)
     scores = L.word_scores(L.read(["при the"]), model)
     assert scores[0].argmax() == 2 and scores[0][0] < -1e5 and scores[1][2] < -1e5
+
+
+def test_many_languages_are_all_learned_or_refused(spark):
+    rows = [(i, f"w{i}", " ".join(chr(97 + (i * 7 + k * k) % 26) + chr(97 + i % 26) + chr(97 + i // 26 % 26) for k in range(12))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    with pytest.raises(ValueError, match="languages"):
+        L.fit(docs)
+    assert L.fit(docs, most_languages=300).langs == sorted(r[1] for r in rows)
