@@ -46,6 +46,25 @@ def test_every_long_repeated_passage_is_found(spark):
         assert stays and stays[0] == 3 * k and removed
 
 
+def test_short_lines_against_all_pairs(spark):
+    rng = random.Random(4)
+    lines: dict[int, list[str]] = {i: [say(rng, rng.randint(5, 40)) for _ in range(3)] for i in range(160)}
+    for i in range(0, 160, 2):  # a line of the next document: as it is, or with its middle word changed
+        n = (7, 15, 30, 49)[i // 2 % 4]
+        one = say(rng, n).split(" ")
+        two = [*one[: n // 2], "changed", *one[n // 2 + 1 :]] if n == 49 and i % 16 == 6 else one
+        lines[i].insert(1, " ".join(one))
+        lines[i + 1].insert(rng.randrange(3), " ".join(two).upper())
+    grams = [
+        (i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for i, some in lines.items() for w in (x.lower().split(" ") for x in some)
+    ]
+    expected = {i for a, (i, x) in enumerate(grams) for b, (j, y) in enumerate(grams) if i != j and 100 * len(x & y) >= 80 * len(x | y)}
+    assert len(expected) == 160
+    docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in lines.items()], "doc_id long, text string").repartition(4)
+    found = {r.doc_id for r in P.repeated_paragraphs(docs, shape=P.Shape(line=5)).collect()}
+    assert found <= expected and len(found) >= 0.95 * len(expected)
+
+
 def test_bands_reach_the_recall():
     for s, recall in ((0.8, 0.998), (0.5, 0.9), (0.9, 0.99)):
         bands, rows = P.tune(s, recall)
