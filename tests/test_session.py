@@ -1,8 +1,10 @@
-"""Joins on cut tables: what is broadcast is measured in rows, not guessed from packed files."""
+"""Cut tables: what is broadcast is measured in rows, not guessed from packed files; tables on the way go."""
+
+import os
 
 from pyspark.sql import functions as F
 
-from spanforge.session import SMALL_FILE, cut, measured_broadcasts
+from spanforge.session import SMALL_FILE, cut, measured_broadcasts, scratch
 
 
 def test_packed_files_are_not_broadcast_unmeasured(spark):
@@ -25,3 +27,32 @@ def test_a_lower_threshold_of_the_caller_stays(spark):
             assert spark.conf.get(key) == value
     finally:
         spark.conf.set(key, before)
+
+
+def _there(df):
+    return [os.path.exists(f.removeprefix("file://")) for f in df.inputFiles()]
+
+
+def test_tables_on_the_way_go_and_results_stay(spark):
+    with scratch(spark) as keep:
+        with scratch(spark) as keep_inner:
+            inner = cut(spark.range(5))
+            passed_on = keep_inner(inner.filter("id > 1"))
+        gone = [inner, passed_on]
+        files = [f.removeprefix("file://") for df in gone for f in df.inputFiles()]
+        assert not all(_there(inner)) and all(_there(passed_on))
+        result = keep(passed_on.filter("id > 2"))
+    assert not any(map(os.path.exists, files))
+    assert sorted(r.id for r in result.collect()) == [3, 4]
+
+
+def test_a_built_tree_leaves_one_table_and_a_parse_no_unread_fields(spark, parse):
+    from spanforge.session import stage_dir
+
+    before = set(os.listdir(stage_dir(spark).removeprefix("file://")))
+    p = parse({"a": "10:00:00.0 (1)|METHOD_ENTRY|[1]|01p|Foo.bar()\n10:00:00.0 (2)|METHOD_EXIT|[1]|01p|Foo.bar()"})
+    after = set(os.listdir(stage_dir(spark).removeprefix("file://"))) - before
+    # The lines, the tagged lines, the events, the spans and the issues of the structure.
+    assert len(after) == 5
+    assert [r.text for r in p.spans.collect()] == ["Foo.bar()"]
+    assert p.issues.count() == 0
