@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from spanforge.operators.rollup import subtree_sums  # noqa: E402
+from spanforge.operators.rollup import rollup, subtree_sums  # noqa: E402
 from spanforge.plans.registry import TREE  # noqa: E402
 from spanforge.session import cut  # noqa: E402
 from spanforge.sources.tables import build_order_tree, order_nodes, order_units, placed_units  # noqa: E402
@@ -75,6 +75,16 @@ def test_repeated_orders_and_lines_without_a_number(spark, tmp_path):
     assert [b - a for a, b in zip(times, times[1:], strict=False)] == [r.dur_self for r in tree[:-1]]
 
 
+def test_heap_behind_the_end_of_its_parent(spark):
+    rows = [("a", 1, 3, 0, True, 0), ("a", 2, 2, 1, True, 0), ("a", 3, 3, 2, False, 70), ("a", 4, 4, 2, False, 5)]
+    spans = spark.createDataFrame(rows, "log_id string, event_index long, last_index long, parent_index long, is_parent boolean, heap_net_self long")
+    spans = cut(spans.withColumn("heap_gross_self", F.col("heap_net_self")))
+    rolled = rollup(spans, ["heap_net", "heap_gross"], size=2).orderBy("event_index")
+    assert [tuple(r) for r in rolled.select("heap_net_self", "heap_gross_self", "heap_net_total", "heap_peak").collect()] == [
+        (0, 0, 70, 70), (75, 75, 0, 0), (70, 70, 70, 70), (5, 5, 5, 75)
+    ]
+
+
 def test_leaves_take_no_join_for_their_sums(spark):
     spans = cut(spark.range(1, 9).select(
         F.lit("a").alias("log_id"), F.col("id").alias("event_index"), F.when(F.col("id") == 3, 6).otherwise(F.col("id")).alias("last_index")
