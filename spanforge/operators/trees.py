@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.operators.tree import contains, event_key, stack_key, with_chain
-from spanforge.schema import METRICS
+from spanforge.schema import KEY, METRICS
 
 
 def _links() -> dict[str, Column]:
@@ -92,15 +92,15 @@ def bottom_up(
         linked.select("log_id", nearest.alias("event_index"), *totals)
         .filter(F.col("event_index").isNotNull())
         .groupBy("log_id", "event_index")
-        .agg(*[F.sum(t).alias(f"__in_{t}") for t in totals])
+        .agg(*[F.sum(t).alias(t) for t in totals])
     )
-    net = linked.join(inner, ["log_id", "event_index"], "left")
-    stacks = net.groupBy(
-        "log_id", F.concat(F.array(event_key()), F.reverse(F.col("chain.key"))).alias("full")
-    ).agg(
-        F.count("*").alias("calls"),
-        *[F.sum(s).alias(s) for s in selfs],
-        *[F.sum(F.col(t) - F.coalesce(f"__in_{t}", F.lit(0))).alias(t) for t in totals],
+    # Only frames have spans inside them, so the many leaves are not joined with what lowers a total.
+    full = F.concat(F.array(event_key()), F.reverse(F.col("chain.key"))).alias("full")
+    frames = linked.filter(F.col("last_index") > F.col("event_index")).select(*KEY, full)
+    lowered = frames.join(inner, KEY).select("log_id", "full", *[(-F.col(t)).alias(t) for t in totals])
+    counted = linked.select("log_id", full, F.lit(1).alias("calls"), *selfs, *totals, "heap_peak")
+    stacks = counted.unionByName(lowered, allowMissingColumns=True).groupBy("log_id", "full").agg(
+        *[F.sum(c).alias(c) for c in ["calls", *selfs, *totals]],
         F.max("heap_peak").alias("heap_peak"),
     )
     levels = F.size("full") if max_depth is None else F.least(F.size("full"), F.lit(max_depth))
