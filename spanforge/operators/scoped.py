@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.operators.tree import chain_of, contains, covered
+from spanforge.operators.tree import chain_of, contains, covered, frame_paths, with_paths
 from spanforge.operators.trees import EXCLUDED_DETAIL_TYPES
 from spanforge.schema import KEY
 from spanforge.session import cut
@@ -30,60 +30,68 @@ def whole_tree(spans: DataFrame) -> DataFrame:
     return shown.filter(F.col("__kept") | (F.col("depth") == 0)).drop("__kept")
 
 
+_ROW = [*KEY, "root", "depth", "type", "namespace", "text", "dur_total", "dur_self", "ancestor"]
+
+
 def scoped_tree(spans: DataFrame, selected: Column) -> DataFrame:
     """Rows of the selected subtrees (`ancestor` false) and of the ancestors of each selection.
 
     A row below two selections appears once for each, as the selections do.
     """
-    picked = spans.filter(selected)
+    return _scoped(spans, selected)[0].select(*_ROW)
+
+
+def _scoped(spans: DataFrame, selected: Column) -> tuple[DataFrame, DataFrame]:
+    """The scoped rows with their event key and the id of the path above them, and the names of the paths."""
+    columns = ["depth", "type", "namespace", "text", "dur_total", "dur_self"]
+    # Two sorts of all rows follow, so only what is used moves.
+    spans = spans.select(*KEY, "parent_index", "last_index", "path", *columns, selected.alias("__selected"))
+    selected = F.col("__selected")
     inside = covered(spans, selected, "__in").filter("__in").drop("__in")
-    shown = cut(contains(cut(inside), _kept(), "__kept").filter(F.col("__kept") | selected).drop("__kept"))
-    # Which selections a row is below: itself or an ancestor.
-    frames = picked.select("log_id", "event_index", "last_index", "depth", "path")
-    above = chain_of(shown.select(*KEY, "path"), frames, {"a": F.lit(1)}).select(
-        *KEY, F.col("chain.index").alias("roots")
-    )
+    shown = contains(cut(inside), _kept(), "__kept").filter(F.col("__kept") | selected).drop("__kept")
     own = F.when(selected, F.array("event_index")).otherwise(F.array().cast("array<bigint>"))
+    # Which selections a row is below: itself or an ancestor.
+    picked = {"picked": F.coalesce(selected, F.lit(False))}
+    roots = lambda chain: {"roots": F.transform(F.filter(chain, lambda a: a["picked"]), lambda a: a["index"])}
+    frames = frame_paths(spans, picked, roots)
+    narrow = shown.select(*KEY, "parent_index", "last_index", "path", *columns, own.alias("own"))
+    placed, names = with_paths(narrow, spans, frames, picked, roots)
     rows = (
-        shown.join(above, KEY)
-        .withColumn("root", F.explode(F.concat("roots", own)))
-        .drop("roots")
-        .withColumn("ancestor", F.lit(False))
+        placed.filter(F.col("log_id").isNotNull())
+        .withColumn("root", F.explode(F.concat("roots", "own")))
+        .select(*KEY, "root", *columns, F.lit(False).alias("ancestor"), _key().alias("key"), "pa", "pb")
     )
-    lead = chain_of(picked, spans, {"type": F.col("type"), "namespace": F.col("namespace"), "text": F.col("text")})
+    fields = {n: F.col(n) for n in ("type", "namespace", "text")} | {n: F.col(f"own.{n}") for n in ("pa", "pb")}
+    lead = chain_of(spans.filter(selected).select(*KEY, "path", "dur_total"), frames, fields)
     ancestors = lead.select(
         "log_id", F.col("event_index").alias("root"), F.col("dur_total").alias("t"), F.explode("chain").alias("f")
     ).select(
         "log_id", F.col("f.index").alias("event_index"), "root", F.col("f.at").alias("depth"),
         F.col("f.type").alias("type"), F.col("f.namespace").alias("namespace"), F.col("f.text").alias("text"),
         F.col("t").alias("dur_total"), F.lit(0).cast("long").alias("dur_self"), F.lit(True).alias("ancestor"),
+        _key("f.").alias("key"), "f.pa", "f.pb",
     )
-    cols = [*KEY, "root", "depth", "type", "namespace", "text", "dur_total", "dur_self", "ancestor"]
-    return rows.select(*cols).unionByName(ancestors.select(*cols))
+    return rows.unionByName(ancestors), names
 
 
-def _with_paths(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Key path from the log's top to each row, as the scoped tree nests them."""
-    rows = cut(rows)
-    wanted = spans.join(rows.select(*KEY).distinct(), KEY, "left_semi")
-    linked = chain_of(wanted, spans, {"key": _key()}).select(*KEY, F.concat("chain.key", F.array(_key())).alias("key_path"))
-    return rows.join(linked, KEY)
+_PATH = ["log_id", "pa", "pb"]
 
 
 def scoped_top_down(spans: DataFrame, selected: Column) -> DataFrame:
     """Scoped rows merged by key path with plain sums (no recursion guard)."""
-    rows = _with_paths(scoped_tree(spans, selected), spans)
-    return rows.groupBy("log_id", "key_path").agg(
+    rows, names = _scoped(spans, selected)
+    merged = rows.groupBy(*_PATH, "key").agg(
         F.sum("dur_total").alias("dur_total"), F.sum("dur_self").alias("dur_self"), F.count("*").alias("calls")
     )
+    path = F.concat("above", F.array("key")).alias("key_path")
+    return merged.join(names, _PATH).select("log_id", path, "dur_total", "dur_self", "calls")
 
 
 def scoped_bottom_up(spans: DataFrame, selected: Column) -> DataFrame:
     """Rows with self time as seeds, their callers below; every level carries the seed's self."""
-    rows = _with_paths(scoped_tree(spans, selected), spans).filter(F.col("dur_self") > 0)
-    stacks = rows.groupBy("log_id", F.reverse("key_path").alias("full")).agg(
-        F.sum("dur_self").alias("t"), F.count("*").alias("n")
-    )
+    rows, names = _scoped(spans, selected)
+    merged = rows.filter(F.col("dur_self") > 0).groupBy(*_PATH, "key").agg(F.sum("dur_self").alias("t"), F.count("*").alias("n"))
+    stacks = merged.join(names, _PATH).withColumn("full", F.concat(F.array("key"), F.reverse("above")))
     levels = stacks.withColumn("n_levels", F.explode(F.sequence(F.lit(1), F.size("full"))))
     out = levels.groupBy("log_id", F.slice("full", F.lit(1), F.col("n_levels")).alias("caller_path")).agg(
         F.sum("t").alias("dur_total"), F.sum("n").alias("calls")
@@ -94,7 +102,9 @@ def scoped_bottom_up(spans: DataFrame, selected: Column) -> DataFrame:
 
 def row_occurrences(spans: DataFrame, selected: Column) -> DataFrame:
     """Which events stand behind each merged row: (key_path, event_index), distinct."""
-    return _with_paths(scoped_tree(spans, selected), spans).select("log_id", "key_path", "event_index").distinct()
+    rows, names = _scoped(spans, selected)
+    path = F.concat("above", F.array("key")).alias("key_path")
+    return rows.select(*KEY, "pa", "pb", "key").distinct().join(names, _PATH).select("log_id", path, "event_index")
 
 
 def rows_by_event(occurrences: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanforge.operators.rollup import lookup
 from spanforge.operators.scan import covered_slices, following, running, slice_of
 from spanforge.schema import CHUNK, KEY
+from spanforge.session import cut
 
 
 def event_key() -> Column:
@@ -67,6 +68,74 @@ def with_chain(
     return out.withColumn("chain", F.coalesce("chain", F.array().cast(deep.schema["chain"].dataType)))
 
 
+def _hashes(key: Column) -> dict[str, Column]:
+    return {"a": F.xxhash64(key), "b": F.xxhash64(F.lit("key"), key)}
+
+
+def _folded(chain: Column) -> dict[str, Column]:
+    """128 bits that stand for the keys of a chain; those of one link more follow from them and its hashes."""
+    none = F.lit(0).cast("long")
+    return {f"p{n}": F.aggregate(chain[n], none, lambda sofar, h: F.xxhash64(sofar, h)) for n in "ab"}
+
+
+def frame_paths(
+    spans: DataFrame,
+    fields: Mapping[str, Column] | None = None,
+    more: Callable[[Column], Mapping[str, Column]] = lambda chain: {},
+    size: int = CHUNK,
+) -> DataFrame:
+    """The frames of `spans` with what `with_paths` gives for them (`own`) and for what is right below (`below`).
+
+    `more` makes columns from the ancestors, an array as in chain_of with `fields`.
+    """
+    fields = _hashes(event_key()) | dict(fields or {})
+    made = lambda chain: F.struct(*[c.alias(n) for n, c in (_folded(chain) | dict(more(chain))).items()])
+    link = F.struct(F.col("depth").alias("at"), F.col("event_index").alias("index"), *[c.alias(n) for n, c in fields.items()])
+    frames = spans.filter(F.col("last_index") > F.col("event_index")).select(*KEY, "last_index", "path", "type", "namespace", "text", link.alias("link"))
+    linked = chain_of(frames, spans, fields, size)
+    return cut(linked.select("*", made(F.col("chain")).alias("own"), made(F.concat("chain", F.array("link"))).alias("below")).drop("chain", "link"))
+
+
+def with_paths(
+    rows: DataFrame,
+    spans: DataFrame,
+    frames: DataFrame,
+    fields: Mapping[str, Column] | None = None,
+    more: Callable[[Column], Mapping[str, Column]] = lambda chain: {},
+    size: int = CHUNK,
+) -> tuple[DataFrame, DataFrame]:
+    """(`rows` with `pa` and `pb`, names (log_id, pa, pb, above)), for rows of `spans` and its `frame_paths`.
+
+    `pa` and `pb` are 128 bits for the event keys of a row's ancestors, and `above` holds those keys, outermost first.
+    Texts are joined once for each path, not for each row: paths are exploded for frames, with hashes only, and a
+    leaf takes what its parent frame passes on. A leaf whose path is not its parent's is looked up by itself.
+    """
+    fields = _hashes(event_key()) | dict(fields or {})
+    is_frame = F.coalesce(F.col("last_index") > F.col("event_index"), F.lit(False))
+    passed = {"__made": F.col("below"), "__at": F.xxhash64("path")}
+    leaves = cut(lookup(rows.filter(~is_frame), "parent_index", frames, passed, size))
+    plain = F.coalesce(F.col("__at") == F.xxhash64(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))), F.lit(False))
+    heads = rows.filter(is_frame).join(frames.select(*KEY, F.col("own").alias("__made")), KEY, "left")
+    columns = [*rows.columns, "__made.*"]
+    out = heads.filter("__made IS NOT NULL").select(*columns).unionByName(leaves.filter(plain).select(*columns))
+
+    # One frame stands for each path that ends in it.
+    below = ["log_id", F.col("below.pa").alias("pa"), F.col("below.pb").alias("pb")]
+    first = frames.groupBy(*below).agg(F.min("event_index").alias("event_index"))
+    text = {"key": event_key()}
+    shown = frames.select(*KEY, "path", event_key().alias("key")).join(first, KEY)
+    names = chain_of(shown, spans, text, size).select("log_id", "pa", "pb", F.concat("chain.key", F.array("key")).alias("above"))
+    strays = cut(leaves.filter(~plain).drop("__made", "__at").unionByName(heads.filter("__made IS NULL").drop("__made")))
+    if not strays.isEmpty():
+        looked = chain_of(strays, spans, fields | text, size)
+        odd = cut(looked.withColumn("__made", F.struct(*[c.alias(n) for n, c in (_folded(F.col("chain")) | dict(more(F.col("chain")))).items()])))
+        out = out.unionByName(odd.select(*columns))
+        names = names.unionByName(odd.select("log_id", "__made.pa", "__made.pb", F.col("chain.key").alias("above")))
+    none = F.lit(0).cast("long")
+    tops = spans.select("log_id").distinct().select("log_id", none.alias("pa"), none.alias("pb"), F.array().cast("array<string>").alias("above"))
+    return out, cut(names.unionByName(tops).dropDuplicates(["log_id", "pa", "pb"]))
+
+
 def _inputs(df: DataFrame, fields: Mapping[str, Column]) -> list[str]:
     skip = {*KEY, "last_index", "path", "depth"}
     return [c for c in ("type", "namespace", "text", "category", "is_parent", "dur_self", "dur_total", "line_number") if c in df.columns and c not in skip]

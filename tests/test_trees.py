@@ -239,3 +239,100 @@ def test_hot_path_deeper_than_a_round(spark):
     path = lambda log: [r.text for r in sorted(rows, key=lambda r: r.step) if r.log_id == log and r.kind == "path"]
     assert path("deep") == [t for _, t, _ in deep] and path("flat") == ["a"] and path("one") == ["x"]
     assert len(rows) == len(deep) + 2
+
+
+def brute_bottom_up(nodes):
+    """{caller path: [calls, self, total]} by walking up from every row of span_table's input."""
+    path, total = {}, {i: own for i, (_, _, own) in enumerate(nodes, 1)}
+    for i, (parent, _, _) in enumerate(nodes, 1):
+        path[i] = path[parent] + [parent] if parent else []
+    for i, (_, _, own) in enumerate(nodes, 1):
+        for a in path[i]:
+            total[a] += own
+    text = {i: t for i, (_, t, _) in enumerate(nodes, 1)}
+    net = dict(total)
+    for i in total:
+        equal = [a for a in path[i] if text[a] == text[i]]
+        if equal:
+            net[equal[-1]] -= total[i]
+    out = {}
+    for i, (_, _, own) in enumerate(nodes, 1):
+        full = [text[i], *[text[a] for a in reversed(path[i])]]
+        for n in range(1, len(full) + 1):
+            row = out.setdefault(tuple(full[:n]), [0, 0, 0])
+            for k, v in enumerate((1, own, net[i])):
+                row[k] += v
+    return out
+
+
+def random_nodes(seed, n=80):
+    rng = random.Random(seed)
+    nodes, stack = [], []
+    for i in range(1, n):
+        while stack and rng.random() < 0.5:
+            stack.pop()
+        nodes.append((stack[-1] if stack else 0, rng.choice("pqr"), rng.randrange(1, 20)))
+        stack.append(i)
+    return nodes
+
+
+def test_bottom_up_equals_a_walk(spark):
+    from spanforge.operators.trees import bottom_up
+
+    logs = {name: random_nodes(seed) for seed, name in enumerate("ab")}
+    got = bottom_up(span_table(spark, logs)).collect()
+    for name, nodes in logs.items():
+        rows = {tuple(k.split("|")[-1] for k in r.caller_path): [r.calls, r.dur_self, r.dur_total] for r in got if r.log_id == name}
+        assert rows == brute_bottom_up(nodes)
+
+
+@pytest.mark.parametrize("size", [4, 200_000])
+def test_paths_by_id_equal_paths_by_text(spark, size):
+    """Ids of the paths above, their names, and what `more` makes, with a leaf whose path is not its parent's."""
+    from spanforge.operators.tree import chain_of, event_key, frame_paths, with_paths
+    from spanforge.schema import KEY
+
+    spans = span_table(spark, {"a": random_nodes(3), "b": random_nodes(4), "c": [(0, "x", 1), (0, "y", 2), (2, "x", 3)]})
+    stray = (F.col("log_id") == "a") & (F.col("last_index") == F.col("event_index")) & (F.size("path") > 2)
+    spans = spans.withColumn("path", F.when(stray, F.slice("path", 2, 100)).otherwise(F.col("path"))).localCheckpoint()
+    assert spans.filter(stray).count() > 3
+    index = lambda chain: {"up": F.transform(chain, lambda a: a["index"])}
+    rows, names = with_paths(spans, spans, frame_paths(spans, None, index, size), None, index, size)
+    got = rows.join(names, ["log_id", "pa", "pb"]).select(*KEY, "above", "up")
+    want = chain_of(spans, spans, {"key": event_key()}, size).select(*KEY, "chain.key", "chain.index")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == spans.count()
+
+
+def test_scoped_trees_move_only_what_they_use(spark, monkeypatch):
+    """Counters, times and heap of spans stay out of the sorts behind a scoped tree; its rows are those of a walk."""
+    from spanforge.operators import scoped
+    from spanforge.operators.scoped import row_occurrences, rows_by_event, scoped_bottom_up, scoped_top_down
+    from spanforge.schema import METRICS
+
+    kept, cut = [], scoped.cut
+    monkeypatch.setattr(scoped, "cut", lambda df: kept.extend(df.columns) or cut(df))
+    nodes = random_nodes(6)
+    spans = span_table(spark, {"a": nodes}).localCheckpoint()
+    picked = F.expr("text = 'q' AND dml_count_self = 0")
+    path = {}
+    want, seeds, rows = {}, {}, {}
+    total = {r.event_index: r.dur_total for r in spans.collect()}
+    for i, (parent, text, own) in enumerate(nodes, 1):
+        path[i] = path[parent] + [i] if parent else [i]
+        key = lambda j: f"METHOD_ENTRY|default|{nodes[j - 1][1]}"
+        names = [tuple(key(j) for j in path[i][: k + 1]) for k in range(len(path[i]))]
+        below = [a for a in path[i] if nodes[a - 1][1] == "q"]
+        seen = [(i, total[i], own)] * len(below) + ([(a, total[i], 0) for a in path[i][:-1]] if text == "q" else [])
+        for at, t, s in seen:
+            name = names[path[i].index(at)]
+            row = want.setdefault(name, [0, 0, 0])
+            for k, v in enumerate((t, s, 1)):
+                row[k] += v
+            rows[at] = " > ".join(name)
+            for n in range(1, len(name) + 1):
+                if s > 0:
+                    seeds[name[::-1][:n]] = seeds.get(name[::-1][:n], 0) + s
+    assert {tuple(r.key_path): [r.dur_total, r.dur_self, r.calls] for r in scoped_top_down(spans, picked).collect()} == want
+    assert "text" in kept and not {"heap_peak", "ts_ns", *[f"{m}_total" for m in METRICS]} & set(kept)
+    assert {tuple(r.caller_path): r.dur_total for r in scoped_bottom_up(spans, picked).collect()} == seeds
+    assert {r.event_index: r.rows for r in rows_by_event(row_occurrences(spans, picked)).collect()} == {i: [x] for i, x in rows.items()}
