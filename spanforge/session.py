@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Largest file, in bytes, that may be broadcast unmeasured.
 SMALL_FILE = 256 * 1024
+# Largest side, in bytes of its rows, that may be broadcast once it has been measured.
+SMALL_ROWS = 1024 * 1024
 
 
 def local_session(cores: str = "8", app: str = "spanforge", shared: str | None = None) -> SparkSession:
@@ -42,14 +44,16 @@ def measured_broadcasts(spark: SparkSession) -> None:
     """Let only the smallest files be broadcast by their size; adaptive execution decides on the rest.
 
     Parquet packs span columns so well that a side estimated at 10 MB at most was a table of up to 151 MB
-    in the driver. What has been shuffled is measured in rows, so the caller's threshold holds there.
+    in the driver. What has been shuffled is measured in rows; there SMALL_ROWS holds, as a parse has dozens of
+    joins, and every table they broadcast passes through the driver. A measured threshold that the caller set stays.
     """
     static, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
     asked = spark.conf.get(static)
-    if asked.startswith("-") or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(asked) <= SMALL_FILE:
+    size = 0 if asked.startswith("-") else spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(asked)
+    if size <= SMALL_FILE:
         return
     if spark.conf.get(measured, None) is None:
-        spark.conf.set(measured, asked)
+        spark.conf.set(measured, str(min(size, SMALL_ROWS)))
     spark.conf.set(static, str(SMALL_FILE))
 
 

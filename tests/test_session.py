@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from spanforge.session import SMALL_FILE, cut, measured_broadcasts, scratch
+from spanforge.session import SMALL_FILE, SMALL_ROWS, cut, measured_broadcasts, scratch
 
 
 def test_packed_files_are_not_broadcast_unmeasured(spark):
@@ -29,6 +29,32 @@ def test_a_lower_threshold_of_the_caller_stays(spark):
         spark.conf.set(key, before)
 
 
+def test_only_small_measured_sides_are_broadcast(spark):
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = [spark.conf.get(k, None) for k in keys]
+    try:
+        spark.conf.set(keys[0], "10MB")
+        spark.conf.unset(keys[1])
+        measured_broadcasts(spark)
+        assert spark.conf.get(keys[1]) == str(SMALL_ROWS)
+        rows = cut(spark.range(0, 600_000, 1, 4).select(F.col("id").cast("string").alias("log_id"), F.col("id").alias("event_index")))
+        # Both sides have an estimate of megabytes; the rows that are left are 100 here, and 100,000 (3 MB) there.
+        for most, joins in ((100, True), (100_000, False)):
+            some = rows.filter(F.pmod(F.hash("event_index"), F.lit(600_000)) < most)
+            joined = rows.join(some, ["log_id", "event_index"])
+            assert joined.count() == some.count()
+            found = joined.groupBy().count()
+            found.collect()
+            assert ("BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]) == joins
+        spark.conf.set(keys[0], "10MB")
+        spark.conf.set(keys[1], "5MB")
+        measured_broadcasts(spark)
+        assert spark.conf.get(keys[1]) == "5MB"
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _there(df):
     return [os.path.exists(f.removeprefix("file://")) for f in df.inputFiles()]
 
