@@ -36,6 +36,7 @@ BITS = 1 << 20  # sketch bits a part
 FOLDED = 2048  # bits of the folded sketch
 SHORT = 256  # bits of it folded again
 BLOCK = 2048  # nodes of a key compared in one task
+HELD = 256  # nodes of either side whose sets are held at once to check their pairs
 BLOOM = 1 << 25  # bits of the filter of nodes whose sets are fetched; a fixed size
 
 
@@ -304,14 +305,23 @@ def _compare(percent: int):
 
 
 def _verify(percent: int):
+    """Over rows (g, a, b, set) sorted by g and with the sets of a group, those of nodes a, before its pairs: the linked pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, {}
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), dtype=U) for s in (x, y))
+            out = []
+            for g, a, b, found in zip(*(batch.column(c).to_pylist() for c in ("g", "a", "b")), batch.column("set"), strict=True):
+                if g != group:
+                    group, held = g, {}
+                if found.is_valid:
+                    held[a] = np.frombuffer(found.as_py(), dtype=U)
+                    continue
+                x, y = held[a], held[b]
                 both = len(x) + len(y) - len(np.union1d(x, y))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    out.append((a, b))
+            yield pa.record_batch([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -326,6 +336,18 @@ def filter_bits(found: DataFrame) -> np.ndarray:
     return bits
 
 
+def _needed(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`sets` without those whose node is surely none of the column `node` of `nodes`, so that they need not move."""
+    shared = sets.sparkSession.sparkContext.broadcast(filter_bits(nodes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array(in_filter(unsigned(np.asarray(batch.column("node"))), bloom)))
+
+    return sets.mapInArrow(run, sets.schema)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int, kept: list[str]) -> DataFrame:
     """The linked ones of distinct pairs (a, b)."""
     thin = sets.select("node", "size", "folded")
@@ -335,9 +357,18 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, kept: list[str]) ->
         .mapInArrow(_close(percent), "a long, b long")
     )
     near = cut(near, kept)
-    whole = sets.select("node", "set")
-    joined = near.join(whole.toDF("a", "sa"), "a").join(whole.toDF("b", "sb"), "b")
-    linked = cut(joined.mapInArrow(_verify(percent), "a long, b long"), kept)
+    # a pair is checked where its group is, so that a set moves once for all its pairs there
+    label = components(near, kept).toDF("node", "part")
+    blocks = F.ceil(F.col("many") / HELD).cast("int")
+    placed = label.join(label.groupBy("part").agg(F.count("*").alias("many")), "part")
+    placed = cut(placed.select("node", "part", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own")), kept)
+    dealt = near.join(placed.toDF("a", "part", "i"), "a").join(placed.select(F.col("node").alias("b"), F.col("own").alias("j")), "b")
+    dealt = cut(dealt.select(F.xxhash64("part", "i", "j").alias("g"), "a", "b"), kept)
+    asked = dealt.select("g", F.explode(F.array("a", "b")).alias("node")).distinct()
+    there = asked.join(_needed(sets.select("node", "set"), placed), "node").select("g", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "set")
+    rows = there.unionByName(dealt.withColumn("set", F.lit(None).cast("binary")))
+    rows = rows.repartition("g").sortWithinPartitions("g", F.col("b").asc_nulls_first())
+    linked = cut(rows.mapInArrow(_verify(percent), "a long, b long"), kept)
     return linked
 
 

@@ -100,3 +100,33 @@ def test_hot_keys_are_compared_by_blocks(spark, monkeypatch):
         rows.append((i, " ".join(words), "l"))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert sorted([tuple(r) for r in J.jaccard_components(docs).collect()], key=str) == brute(rows, 4, 85)
+
+
+@pytest.mark.parametrize("held", [256, 16])
+def test_a_set_moves_once_for_all_its_pairs_in_a_group(spark, monkeypatch, held):
+    rng, base = np.random.default_rng(3), np.arange(1, 201, dtype=U)
+    sets = {i: np.unique(np.concatenate([base[: 200 - 3 * (i % 20)], mix(rng.integers(1, 1 << 60, i % 7).astype(U))])) for i in range(60)}
+    rows = [(i, len(s), bytes(J.folds(s, np.array([0, len(s)]))), s.tobytes()) for i, s in sets.items()]
+    pairs = [(a, b) for b in range(60) for a in range(b)]
+    moved, real = spark.sparkContext.accumulator(0), J._verify
+
+    def counting(percent):
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    moved.add(batch.num_rows - batch.column("set").null_count)
+                    yield batch
+
+            yield from real(percent)(seen())
+
+        return run
+
+    monkeypatch.setattr(J, "_verify", counting)
+    monkeypatch.setattr(J, "HELD", held)
+    got = J._linked(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(rows, J.SETS), 85, [])
+    both = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    linked = [(a, b) for a, b in pairs if 100 * both(a, b) >= 85 * (len(sets[a]) + len(sets[b]) - both(a, b))]
+    assert 0 < len(linked) < len(pairs)
+    assert sorted(map(tuple, got.collect())) == sorted(linked)
+    # 1,700 pairs or so: one set row for each node and group it is in
+    assert 0 < moved.value <= 60 * (1 if held == 256 else 8)
