@@ -175,3 +175,21 @@ def test_rows_of_a_task_are_bounded(seed):
     quiet[160] = (161, 322, "EXCEPTION_THROWN", 0, "")  # unwinding from here to the end
     tally = []
     assert run(quiet, marks, size, most, tally) == run(quiet, marks, None) and max(tally) < 3 * most
+
+
+def test_frames_closed_in_columns():
+    """Closed frames are collected and columns read without a Python object per row beside the value."""
+    for column in (pa.array([3, 1], pa.int64()), pa.array([True, False]), pa.array(["b", "a"]), pa.array([None, 2], pa.int32()),
+                   pa.array([None, None], pa.string()), pa.array([["x"], []]), pa.array([], pa.string())):
+        assert stack._values(column) == column.to_pylist()
+    out = stack.Writer()
+    machine = stack.FirstSlice(out, "log")
+    entry = (1, 10, "METHOD_ENTRY", ["METHOD_EXIT"], 0, False, False, True, False, "", False)
+    machine.step(entry)
+    assert machine.step((2, 15, "METHOD_EXIT", [], 0, True, False, False, False, "", False))
+    assert not out.rows
+    rows = [r for b in out.drain(force=True) for r in b.to_pylist()]
+    assert [r["kind"] for r in rows] == ["event", "close"]
+    assert {k: v for k, v in rows[1].items() if v is not None} == {
+        "log_id": "log", "slice": 0, "variant": "", "kind": "close", "event_index": 1, "ts": 15, "closer": 2, "last": 1, "truncated": False,
+    }
